@@ -1,4 +1,149 @@
 """Queries over the driver's tables, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import checks, patterns, regression, temporal, univariate
+from ..operators.imputers import MissingnessClassifier, MiceImputer, MultipleImputer, SingleImputer
+from ..operators.pooling import MiLinearRegression
+from ..sources.masked import masked, masked_sql
+
+ORDERS = ["o_totalprice", "o_orderstatus", "o_orderpriority"]
+
+
+def _orders(spark, d: str, *keep: str) -> DataFrame:
+    return masked(spark, d, "orders", *keep)
+
+
+def _cells(spark, d: str) -> DataFrame:
+    return _orders(spark, d).select(*ORDERS)
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in names})
+
+
+def _impute(strategy: dict, **kw):
+    def run(spark, d: str) -> DataFrame:
+        df = _orders(spark, d)
+        return SingleImputer(strategy, key=["o_orderkey"], **kw).fit_transform(df.select("o_orderkey", *strategy))
+
+    return run
+
+
+def _series(how, **kw):
+    def run(spark, d: str) -> DataFrame:
+        df = masked(spark, d, "events", "user_id", "ts").select("event_id", "user_id", "ts", "value")
+        return _rounded(how(df, "value", ["ts", "event_id"], ["user_id"], **kw).select("event_id", "value"), "value", digits=6)
+
+    return run
+
+
+def _numeric(spark, d: str) -> DataFrame:
+    return _orders(spark, d, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _regress(strategy: str):
+    def run(spark, d: str) -> DataFrame:
+        out = regression.fill(_numeric(spark, d), "o_totalprice", strategy, ["o_custkey"], ["o_orderkey"], 7)
+        return _rounded(out.select("o_orderkey", "o_totalprice"), "o_totalprice", digits=4)
+
+    return run
+
+
+def _mixed(strategy: str, target: str):
+    return lambda spark, d: regression.fill(_orders(spark, d), target, strategy, [c for c in ORDERS if c != target], ["o_orderkey"], 7)
+
+
+def _multiple(cls, **kw):
+    def run(spark, d: str) -> DataFrame:
+        return cls(n=3, strategy={"o_totalprice": "stochastic"}, predictors={"o_totalprice": ["o_custkey"]}, key=["o_orderkey"], seed=3, **kw).fit_transform(_numeric(spark, d))
+
+    return run
+
+
+def _pooled(spark, d: str) -> DataFrame:
+    mi = MultipleImputer(n=5, strategy={"o_totalprice": "stochastic"}, predictors={"o_totalprice": ["o_custkey"]}, key=["o_orderkey"], seed=3)
+    return MiLinearRegression(mi).fit(_numeric(spark, d), "o_totalprice", ["o_custkey"]).summary(spark)
+
+
+QUERIES = {
+    "flux": lambda s, d: _rounded(patterns.flux(_cells(s, d)), "pobs", "influx", "outflux", "ainb", "aout"),
+    "md_pairs": lambda s, d: patterns.md_pairs(_cells(s, d)),
+    "md_pattern": lambda s, d: patterns.md_pattern(_cells(s, d)),
+    "md_locations": lambda s, d: patterns.md_locations(_cells(s, d), both=True),
+    "proportions": lambda s, d: _rounded(patterns.proportions(_cells(s, d)), "poms", "pobs"),
+    "inbound": lambda s, d: _rounded(patterns.inbound(_cells(s, d)), "inbound"),
+    "outbound": lambda s, d: _rounded(patterns.outbound(_cells(s, d)), "outbound"),
+    "nullity_cov": lambda s, d: _rounded(patterns.nullity_cov(_cells(s, d)), "cov"),
+    "nullity_corr": lambda s, d: _rounded(patterns.nullity_corr(_cells(s, d)), "corr"),
+    "listwise_delete": lambda s, d: checks.listwise_delete(_orders(s, d)),
+    "impute_mean": lambda s, d: _rounded(_impute({"o_totalprice": "mean"})(s, d), "o_totalprice", digits=4),
+    "impute_median": lambda s, d: _rounded(_impute({"o_totalprice": "median"})(s, d), "o_totalprice", digits=4),
+    "impute_mode": _impute({"o_orderstatus": "mode", "o_orderpriority": "mode"}),
+    "impute_random": _impute({"o_orderpriority": "random"}, seed=1),
+    "impute_categorical": _impute({"o_orderstatus": "categorical"}, seed=1),
+    "impute_norm": _impute({"o_totalprice": "norm"}, seed=1),
+    "impute_norm_unit": _impute({"o_totalprice": "normal unit variance"}, seed=1),
+    "impute_default_univariate": _impute({"o_totalprice": "default univariate", "o_orderstatus": "default univariate"}),
+    "locf": _series(temporal.locf),
+    "nocb": _series(temporal.nocb),
+    "locf_mean": _series(temporal.locf, start="mean"),
+    "interpolate_linear": _series(temporal.interpolate),
+    "interpolate_time": _series(temporal.interpolate, method="time"),
+    "interpolate_cubic": _series(temporal.interpolate, method="cubic"),
+    "least_squares": _regress("least squares"),
+    "stochastic": _regress("stochastic"),
+    "bayesian_least_squares": _regress("bayesian least squares"),
+    "pmm": _regress("pmm"),
+    "lrd": _regress("lrd"),
+    "binary_logistic": lambda s, d: regression.fill(_orders(s, d).where("o_orderstatus IN ('F', 'O') OR o_orderstatus IS NULL"), "o_orderstatus", "binary logistic", ["o_totalprice"], ["o_orderkey"]),
+    "multinomial_logistic": _mixed("multinomial logistic", "o_orderstatus"),
+    "multiple_imputation": _multiple(MultipleImputer),
+    "mice": _multiple(MiceImputer, k=2),
+    "pooled_regression": _pooled,
+    "missingness_classifier": lambda s, d: MissingnessClassifier(key=["o_orderkey"], rounds=5).fit(_orders(s, d)).predict(_orders(s, d)),
+}
+
+_O = f"WITH t AS ({masked_sql('orders')})"
+_N = f"WITH t AS ({masked_sql('orders', 'o_custkey')})"
+_E = f"WITH t AS ({masked_sql('events', 'user_id', 'ts')})"
+_LONG = ", r AS (SELECT " + ", ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END AS r{i}" for i, c in enumerate(ORDERS)) + " FROM t), p AS ("
+_LONG += " UNION ALL ".join(f"SELECT '{a}' AS var_j, '{b}' AS var_k, CAST(SUM(r{i}*r{j}) AS BIGINT) AS rr, CAST(SUM(r{i}*(1-r{j})) AS BIGINT) AS rm, CAST(SUM((1-r{i})*r{j}) AS BIGINT) AS mr, CAST(SUM((1-r{i})*(1-r{j})) AS BIGINT) AS mm FROM r" for i, a in enumerate(ORDERS) for j, b in enumerate(ORDERS)) + ")"
+_COV = _O + _LONG + ", c AS (SELECT var_j, var_k, (mm - (mr+mm)*1.0*(rm+mm)/(rr+rm+mr+mm))/(rr+rm+mr+mm-1) AS cov FROM p)"
+_FLUX = "SELECT var_j AS \"column\", ROUND(MAX(CASE WHEN var_j=var_k THEN rr*1.0/(rr+mm) END),8) AS pobs, ROUND(SUM(mr)*1.0/SUM(mr+rr),8) AS influx, ROUND(SUM(rm)*1.0/SUM(rm+mm),8) AS outflux, ROUND(SUM(CASE WHEN var_j<>var_k THEN mr*1.0/(mr+mm) END)/2,8) AS ainb, ROUND(SUM(CASE WHEN var_j<>var_k THEN rm*1.0/(rm+rr) END)/2,8) AS aout FROM p GROUP BY var_j"
+
+
+def _mode_sql(c: str) -> str:
+    return f"(SELECT {c} FROM t WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY COUNT(*) DESC, {c} LIMIT 1)"
+
+
+_BOTH = "MAX(CASE WHEN value IS NOT NULL THEN {at} END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, MIN(CASE WHEN value IS NOT NULL THEN {at} END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b"
+_LERP = _E + ", n AS (SELECT *, {at} AS n FROM t), k AS (SELECT *, LAST_VALUE(value IGNORE NULLS) OVER u AS va, FIRST_VALUE(value IGNORE NULLS) OVER d AS vb, " + _BOTH.format(at="n") + " FROM n WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT event_id, ROUND(COALESCE(value, va + (vb-va)/NULLIF(b-a,0)*(n-a), va, vb), 6) AS value FROM k"
+_FILL = "LAST_VALUE(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_BACK = "FIRST_VALUE(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+_WHOLE = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+ORACLE_SQL = {
+    "flux": f"{_O}{_LONG} {_FLUX}",
+    "md_pairs": f"{_O}{_LONG} SELECT * FROM p",
+    "md_pattern": f"{_O}, r AS (SELECT " + ", ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END AS {c}" for c in ORDERS) + f" FROM t) SELECT {', '.join(ORDERS)}, COUNT(*) AS count, 3 - {' - '.join(ORDERS)} AS nmis FROM r GROUP BY {', '.join(ORDERS)}",
+    "md_locations": f"{_O} SELECT {', '.join(ORDERS)}, " + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}_missing" for c in ORDERS) + " FROM t",
+    "proportions": f"{_O}{_LONG}, f AS ({_FLUX}) SELECT \"column\", ROUND(1 - pobs, 8) AS poms, pobs FROM f",
+    "inbound": f"{_O}{_LONG} SELECT var_j, var_k, ROUND(mr*1.0/(mr+mm), 8) AS inbound FROM p",
+    "outbound": f"{_O}{_LONG} SELECT var_j, var_k, ROUND(rm*1.0/(rm+rr), 8) AS outbound FROM p",
+    "nullity_cov": f"{_COV} SELECT var_j, var_k, ROUND(cov, 8) AS cov FROM c",
+    "nullity_corr": f"{_COV} SELECT c.var_j, c.var_k, ROUND(c.cov / SQRT(a.cov * b.cov), 8) AS corr FROM c JOIN c a ON a.var_j = c.var_j AND a.var_k = c.var_j JOIN c b ON b.var_j = c.var_k AND b.var_k = c.var_k",
+    "listwise_delete": f"{_O} SELECT * FROM t WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ORDERS),
+    "impute_mean": f"{_O} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, AVG(o_totalprice) OVER ()), 4) AS o_totalprice FROM t",
+    "impute_median": f"{_O} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, MEDIAN(o_totalprice) OVER ()), 4) AS o_totalprice FROM t",
+    "impute_mode": f"{_O} SELECT o_orderkey, COALESCE(o_orderstatus, {_mode_sql('o_orderstatus')}) AS o_orderstatus, COALESCE(o_orderpriority, {_mode_sql('o_orderpriority')}) AS o_orderpriority FROM t",
+    "locf": f"{_E} SELECT event_id, ROUND(COALESCE({_FILL}, FIRST_VALUE(value IGNORE NULLS) {_WHOLE}), 6) AS value FROM t",
+    "nocb": f"{_E} SELECT event_id, ROUND(COALESCE({_BACK}, LAST_VALUE(value IGNORE NULLS) {_WHOLE}), 6) AS value FROM t",
+    "locf_mean": f"{_E} SELECT event_id, ROUND(COALESCE({_FILL}, AVG(value) {_WHOLE}), 6) AS value FROM t",
+    "interpolate_linear": _LERP.format(at="ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id)"),
+    "interpolate_time": _LERP.format(at="CAST(EPOCH_US(ts) AS DOUBLE)"),
+    "least_squares": f"{_N} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, (SELECT REGR_INTERCEPT(o_totalprice, o_custkey) FROM t) + (SELECT REGR_SLOPE(o_totalprice, o_custkey) FROM t) * o_custkey), 4) AS o_totalprice FROM t",
+}
