@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .secret_scan import op9_secret_scan
 from .token_counts import op8_token_counts
 
 QUERIES = {
     "op8_token_counts": op8_token_counts,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
