@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op10_decontaminate
+from .near_dedup import op5_near_dedup
 from .secret_scan import op9_secret_scan
 from .token_counts import op8_token_counts
 
 QUERIES = {
+    "op5_near_dedup": op5_near_dedup,
+    "op10_decontaminate": op10_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
 }
