@@ -108,7 +108,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], share: float = 0.5, weights:
     eq = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
     cut = ends.where("__end > part AND __start <= part").select(*[F.col(c) for c in key], "__start")
     border = placed.join(F.broadcast(cut) if few else cut, eq(placed, cut)).select(*[placed[c] for c in key], "__id", "__t", "n_tokens", "__o", "part", "__start")
-    run = F.sum("n_tokens").over(W.partitionBy(*key).orderBy("__o", "__id", "__t").rowsBetween(W.unboundedPreceding, 0))
+    run = F.sum("n_tokens").over(W.partitionBy(*key).orderBy("__o").rangeBetween(W.unboundedPreceding, 0))
     # the last place in the order that the prefix takes; none: the bucket's start
     last = border.withColumn("__sum", run + F.col("__start")).where("__sum <= part").groupBy(*path).agg(F.max(F.struct("__b", "__o")).alias("__last"))
     cuts = cut.groupBy(*path).agg(F.min("__b").alias("__cut"))

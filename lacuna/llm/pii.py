@@ -41,6 +41,10 @@ def kind_of(e: Column) -> Column:
     return F.when(e.contains("@"), "email").when(e.rlike(rf"^{IP}$"), "ip").when(e.rlike(r"^\p{L}"), "name").when((digits == 16) & ~e.startswith("+"), "card").otherwise("phone")
 
 
+def _number(entities: str, kind: str) -> Column:
+    return F.size(F.filter(entities, lambda e: kind_of(e) == kind)).cast("long")
+
+
 def _byte(h: Column, i: Column) -> Column:
     return F.conv(F.substr(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
@@ -120,7 +124,7 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text
     gaps = F.split(F.col(text_col), ANY, -1)
     new = F.transform("__e", lambda e: surrogate(e, key, attempt(e)))
     filled = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("s")), lambda z: F.concat(F.coalesce(z["g"], F.lit("")), F.coalesce(z["s"], F.lit("")))), "")
-    counts = {f"n_{k}": F.size(F.filter("__e", lambda e, k=k: kind_of(e) == k)).cast("long") for k in KINDS}
+    counts = {f"n_{k}": _number("__e", k) for k in KINDS}
     cells = [(F.when(F.size("__e") > 0, filled).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
     return marked.select(*cells, *[v.alias(n) for n, v in counts.items()])
 
