@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from .chat_format import op1_chat_format
 from .decontaminate import op10_decontaminate
 from .mixing import op4_mixing
 from .near_dedup import op5_near_dedup
+from .neighbours import op7_neighbours
 from .pii import op3_pii
+from .repeats import op2_repeats
 from .secret_scan import op9_secret_scan
 from .token_counts import op8_token_counts
 from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_repeats": op2_repeats,
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
     "op5_near_dedup": op5_near_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op6_toxicity": op6_toxicity,
+    "op7_neighbours": op7_neighbours,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
 }
