@@ -88,7 +88,6 @@ def walk(matrices: list[np.ndarray], entry: int, leave: int | None = None) -> tu
     return best, states[::-1]
 
 
-@F.pandas_udf("array<long>")
 def _matrix(roles: pd.Series) -> pd.Series:
     def one(names):
         m = _TURN[role_of(names[0])]
@@ -99,7 +98,6 @@ def _matrix(roles: pd.Series) -> pd.Series:
     return roles.map(one)
 
 
-@F.pandas_udf("struct<cost:long,entry:array<int>,leave:array<int>>")
 def _chain(matrices: pd.Series) -> pd.DataFrame:
     out = []
     for held in matrices:
@@ -108,7 +106,6 @@ def _chain(matrices: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cost", "entry", "leave"])
 
 
-@F.pandas_udf("array<struct<before:array<string>,role:string,merged:boolean,relabelled:boolean>>")
 def _repair(roles: pd.Series, entry: pd.Series, leave: pd.Series) -> pd.Series:
     out = []
     for names, s, end in zip(roles, entry, leave):
@@ -137,12 +134,12 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     placed = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left")
     seg = F.struct("block", F.when(F.col("n").isNotNull(), F.col("turn")).alias("turn"), F.when(F.col("n").isNotNull(), F.floor(point * F.col("n") / SEGMENT)).alias("part"))
     one = F.struct("turn", "h", "role", "text", "copies")
-    held = materialize(placed.groupBy("conv_id", seg.alias("seg")).agg(F.array_sort(F.collect_list(one)).alias("turns")).withColumn("matrix", _matrix(F.col("turns.role"))), "segments")
-    chain = held.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seg", "matrix"))).alias("s")).withColumn("r", _chain(F.col("s.matrix")))
+    held = materialize(placed.groupBy("conv_id", seg.alias("seg")).agg(F.array_sort(F.collect_list(one)).alias("turns")).withColumn("matrix", F.pandas_udf(_matrix, "array<long>")(F.col("turns.role"))), "segments")
+    chain = held.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seg", "matrix"))).alias("s")).withColumn("r", F.pandas_udf(_chain, "struct<cost:long,entry:array<int>,leave:array<int>>")(F.col("s.matrix")))
     ends = chain.select(F.col("conv_id").alias("c"), F.col("r.cost").alias("cost"), F.size("s").alias("n_segments"), F.posexplode(F.arrays_zip(F.col("s.seg").alias("sg"), F.col("r.entry").alias("entry"), F.col("r.leave").alias("leave"))).alias("k", "z"))
     ends = ends.select("c", "cost", "n_segments", "k", F.col("z.sg").alias("sg"), F.col("z.entry").alias("entry"), F.col("z.leave").alias("leave"))
-    both = held.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg") .eqNullSafe(F.col("sg"))))
-    fixed = both.withColumn("fix", _repair(F.col("turns.role"), F.col("entry"), F.col("leave")))
+    both = held.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seg").eqNullSafe(F.col("sg"))))
+    fixed = both.withColumn("fix", F.pandas_udf(_repair, "array<struct<before:array<string>,role:string,merged:boolean,relabelled:boolean>>")(F.col("turns.role"), F.col("entry"), F.col("leave")))
     empty = lambda names: F.array_join(F.transform(names, lambda r: F.concat(F.lit("<|"), r, F.lit("|>\n\n"))), "")
     body = F.transform(F.arrays_zip(F.col("turns").alias("t"), F.col("fix").alias("f")), lambda z: F.concat(empty(z["f"]["before"]), F.when(z["f"]["merged"], F.lit("")).otherwise(F.concat(F.lit("<|"), z["f"]["role"], F.lit("|>\n"))), z["t"]["text"], F.lit("\n")))
     last = F.col("k") == F.col("n_segments") - 1
