@@ -46,8 +46,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """What the optimizer takes the size of df to be; for files, their size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """What the optimizer takes the size of df to be; for files, their size; 0 where it can't tell."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
