@@ -54,7 +54,7 @@ def gram_hashes(raw: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
         left >>= 1
         if left:
             now = now[: len(now) - size] * power + now[size:]
-            power = power * power * np.uint64(3) + np.uint64(2)
+            power = np.uint64((int(power) ** 2 * 3 + 2) % (1 << 64))
             size *= 2
     return _mix(total)
 
