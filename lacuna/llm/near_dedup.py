@@ -1,18 +1,21 @@
 """Near-duplicates: a chosen-path join of shingle sets under Jaccard similarity.
 
-1. Each text becomes its set of word shingles, a signature of minwise tokens
-   and a hash of the set. Equal sets form a class, of which the smallest id
-   stands for all (aggregated before the shuffle).
-2. Each tree branches a class along a path of ``depth`` minwise tokens; classes
-   at the same node may be similar. Nodes with more than ``small`` members
-   branch on, token by token, up to ``deepest``.
-3. Each node links its members to its smallest one; links are confirmed on full
-   sets. Members of a node that are still in different components are then
-   compared exhaustively with one another.
+1. One pass turns each text into the size and a hash of its set of word
+   shingles, the path of its first ``DEPTH`` minwise tokens in each tree, and a
+   byte of each later token. Equal sets form a class, of which the smallest id
+   stands for all (aggregated before the shuffle). The sets aren't kept: texts
+   are smaller, and only candidates need theirs again.
+2. Classes at the same node of a tree may be similar. Nodes with more than
+   ``SMALL`` members branch on, token by token, up to ``DEEPEST``.
+3. Each class is linked with the smallest class of a node it is in, of several
+   the one whose bytes agree most; links are confirmed on full sets. Members of
+   a node that are still in different components are then compared
+   exhaustively with one another.
 4. Components spread by smallest labels, with a written table in each round.
 
 A pair of similarity 0.8 shares a path of 4 tokens in one tree with chance 0.41,
-so 40 trees miss it with chance 7e-10.
+so 40 trees miss it with chance 7e-10. Pairs reach full sets if ``AGREE`` of the
+160 bytes agree, which such a pair misses with a chance below 1e-10.
 
 Cases: null and empty texts, and texts without words, have empty sets and are
 linked with nothing; a text of fewer words than a shingle is one shingle;
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialize
 
-TREES, DEPTH, DEEPEST, SMALL = 40, 4, 8, 64
+TREES, DEPTH, DEEPEST, SMALL, AGREE = 40, 4, 8, 64, 0.55
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _ODD = np.random.default_rng(20240521).integers(1, 1 << 63, (TREES * DEEPEST, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -60,45 +63,47 @@ def signature(held: np.ndarray) -> np.ndarray:
     return out
 
 
-def paths(held: np.ndarray) -> np.ndarray:
-    """Hash of the path after each token, by tree and depth from DEPTH to DEEPEST."""
+def paths(held: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Hash of the path after DEPTH tokens in each tree, and a byte of each token beyond."""
     sig = signature(held).reshape(TREES, DEEPEST)
     now = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    out = []
-    for d in range(DEEPEST):
+    for d in range(DEPTH):
         now = (now ^ sig[:, d]) * np.uint64(0xFF51AFD7ED558CCD)
         now ^= now >> np.uint64(32)
-        if d + 1 >= DEPTH:
-            out.append(now.copy())
-    return np.array(out).T.astype(np.uint64).view(np.int64)
+    return now.astype(np.uint32).view(np.int32), sig[:, DEPTH:].astype(np.uint8).tobytes()
 
 
 def _sets(width: int):
+    kinds = pa.schema([("n_shingles", pa.int64()), ("class_id", pa.binary()), ("path", pa.list_(pa.int32())), ("tail", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            held = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
-            raw = [h.tobytes() for h in held]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(h) for h in held], pa.int64()), pa.array([xxhash.xxh3_128_digest(r) if r else None for r in raw], pa.binary()), pa.array(raw, pa.binary())],
-                names=["doc_id", "n_shingles", "class_id", "held"],
-            )
+            rows = []
+            for text in batch.column("text").to_pylist():
+                held = shingle_hashes(text, width)
+                rows.append((len(held), xxhash.xxh3_128_digest(held.tobytes()), *paths(held)) if len(held) else (0, None, None, None))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]], names=["doc_id", *kinds.names])
 
     return run
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "held", 1 << 20):
-        for i, raw in enumerate(batch.column("held").to_pylist()):
-            p = paths(np.frombuffer(raw, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("rep")[i].as_py()] * TREES, pa.int64()), pa.array(list(p), pa.list_(pa.int64()))], names=["rep", "path"])
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ta", "tb"))
+            agree = (x == y).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree)], names=["a", "b", "agree"]).filter(pa.array(agree >= AGREE))
 
 
-def _similar(percent: int):
+def _similar(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, i, j in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb")):
+                if a != last:
+                    last, x = a, shingle_hashes(i.as_py(), width)
+                y = shingle_hashes(j.as_py(), width)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -106,13 +111,21 @@ def _similar(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar; sizes tell most of the others apart before sets are joined."""
-    left = sets.select(F.col("rep").alias("a"), F.col("held").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("held").alias("sb"))
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and tail bytes allow the similarity, with the part of bytes that agree."""
     near = pairs.where((100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    # b, the many, meets its set first; a hub's set then joins under skew handling
-    return near.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a long, b long")
+    left, right = reps.select(F.col("rep").alias("a"), F.col("tail").alias("ta")), reps.select(F.col("rep").alias("b"), F.col("tail").alias("tb"))
+    return near.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_agree, "a long, b long, agree double")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar."""
+    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = materialize(rows.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
+    right = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("sb")), "b")
+    # b, the many, meets its text first; a hub's text then joins under skew handling
+    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_similar(width, percent), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -133,32 +146,34 @@ def components(links: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = materialize(rows.mapInArrow(_sets(width), "doc_id long, n_shingles long, class_id binary, held binary"), "sets")
-    classes = materialize(base.where("class_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
-    # one set for each class: its smallest row, found by a join on the id, which few rows share
-    mine = base.where("class_id IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id"), F.col("class_id").alias("own")), "doc_id").where("class_id = own")
-    sets = materialize(mine.select(F.col("doc_id").alias("rep"), "n_shingles", "held").dropDuplicates(["rep"]), "reps")
+    base = materialize(rows.mapInArrow(_sets(width), "doc_id long, n_shingles long, class_id binary, path array<int>, tail binary"), "sets")
+    first = F.min(F.struct("doc_id", "n_shingles", "path", "tail")).alias("m")
+    classes = base.where("class_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_id").agg(first)
+    classes = materialize(classes.select("class_id", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("size"), "m.path", "m.tail"), "classes")
+    # an id with several texts is several classes; its smallest stands for the id in the trees
+    reps = materialize(classes.groupBy("rep").agg(F.min(F.struct("class_id", "size", "path", "tail")).alias("m")).select("rep", "m.size", "m.path", "m.tail"), "reps")
 
-    tree = materialize(sets.select("rep", "held").mapInArrow(_branch, "rep long, path array<long>"), "paths")
     leaves = None
-    at = tree.select("rep", "path", F.element_at("path", 1).alias("node"))
-    for d in range(1, DEEPEST - DEPTH + 2):
+    at = reps.select("rep", F.posexplode("path").alias("tree", "p")).select("rep", (F.shiftleft(F.col("tree").cast("long"), 32) + F.col("p").cast("long")).alias("node"), "tree")
+    for d in range(DEPTH, DEEPEST + 1):
         # only nodes that are shared matter; what is counted is partial before the shuffle
         count = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         shared = materialize(at.join(count, "node"), "nodes")
-        last = d == DEEPEST - DEPTH + 1
+        last = d == DEEPEST
         leaf = shared.where("true" if last else f"n <= {SMALL}").select("rep", "node")
         leaves = leaf if leaves is None else leaves.union(leaf)
         if last:
             break
         deeper = shared.where(f"n > {SMALL}")
         # a node's star also holds before it branches on
-        leaves = leaves.union(deeper.select("rep", "node")) if d == 1 else leaves
-        at = deeper.select("rep", "path", F.element_at("path", d + 1).alias("node"))
-    sized = materialize(leaves.distinct().join(sets.select("rep", F.col("n_shingles").alias("size")), "rep"), "leaves")
+        leaves = leaves.union(deeper.select("rep", "node")) if d == DEPTH else leaves
+        token = F.substring("tail", F.col("tree") * (DEEPEST - DEPTH) + (d - DEPTH + 1), F.lit(1))
+        at = deeper.join(reps.select("rep", "tail"), "rep").select("rep", F.xxhash64("node", token).alias("node"), "tree")
+    sized = materialize(leaves.distinct().join(reps.select("rep", "size"), "rep"), "leaves")
     hub = sized.groupBy("node").agg(F.min(F.struct("rep", "size")).alias("hub"))
     star = sized.join(hub, "node").select(F.col("hub.rep").alias("a"), F.col("hub.size").alias("na"), F.col("rep").alias("b"), F.col("size").alias("nb")).where("a < b")
-    links = materialize(confirmed(star.distinct(), sets, percent), "star")
+    best = likely(star, reps, percent).groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    links = materialize(confirmed(materialize(best, "stars"), rows, width, percent), "star")
     label = components(links)
 
     # members of a node outside its largest component, against all its members of other components
@@ -170,10 +185,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     many = mixed.select("node", F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("label").alias("ly"), "main")
     cross = few.join(many, "node").where(f"lx <> ly AND (ly = main OR x < y) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     pairs = cross.select(F.least("x", "y").alias("a"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    more = materialize(confirmed(pairs, sets, percent), "cross")
-    if not more.isEmpty():
-        label = components(links.union(more))
-    final = classes.join(label, "rep", "left").select("class_id", F.coalesce("label", "rep").alias("component"))
+    left = materialize(likely(pairs, reps, percent).select("a", "b"), "pairs")
+    if not left.isEmpty():
+        more = materialize(confirmed(left, rows, width, percent), "cross")
+        label = components(links.union(more)) if not more.isEmpty() else label
+    final = classes.select("class_id", "rep").join(label, "rep", "left").select("class_id", F.coalesce("label", "rep").alias("component"))
     return base.select("doc_id", "n_shingles", "class_id").join(final, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
