@@ -2,7 +2,7 @@
 
 1. One pass turns each text into the size and a hash of its set of word
    shingles, the path of its first ``DEPTH`` minwise tokens in each tree, and a
-   byte of each later token. Equal sets form a class, of which the smallest id
+   byte of each token. Equal sets form a class, of which the smallest id
    stands for all (aggregated before the shuffle). The sets aren't kept: texts
    are smaller, and only candidates need theirs again.
 2. Classes at the same node of a tree may be similar. Nodes with more than
@@ -10,12 +10,13 @@
 3. Each class is linked with the smallest class of a node it is in, of several
    the one whose bytes agree most; links are confirmed on full sets. Members of
    a node that are still in different components are then compared
-   exhaustively with one another.
+   exhaustively with one another, the likeliest pairs first, so that those
+   whose ends get linked in the meantime are spared.
 4. Components spread by smallest labels, with a written table in each round.
 
 A pair of similarity 0.8 shares a path of 4 tokens in one tree with chance 0.41,
 so 40 trees miss it with chance 7e-10. Pairs reach full sets if ``AGREE`` of the
-160 bytes agree, which such a pair misses with a chance below 1e-10.
+320 bytes agree, which such a pair misses with a chance below 1e-7.
 
 Cases: null and empty texts, and texts without words, have empty sets and are
 linked with nothing; a text of fewer words than a shingle is one shingle;
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialize
 
-TREES, DEPTH, DEEPEST, SMALL, AGREE = 40, 4, 8, 64, 0.55
+TREES, DEPTH, DEEPEST, SMALL, AGREE, ROUNDS = 40, 4, 8, 64, 0.66, 2
+#: Bytes of shingle sets that a task keeps for the pairs to come.
+CACHE = 64 << 20
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _ODD = np.random.default_rng(20240521).integers(1, 1 << 63, (TREES * DEEPEST, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -64,13 +67,13 @@ def signature(held: np.ndarray) -> np.ndarray:
 
 
 def paths(held: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Hash of the path after DEPTH tokens in each tree, and a byte of each token beyond."""
+    """Hash of the path after DEPTH tokens in each tree, and a byte of each token."""
     sig = signature(held).reshape(TREES, DEEPEST)
     now = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for d in range(DEPTH):
         now = (now ^ sig[:, d]) * np.uint64(0xFF51AFD7ED558CCD)
         now ^= now >> np.uint64(32)
-    return now.astype(np.uint32).view(np.int32), sig[:, DEPTH:].astype(np.uint8).tobytes()
+    return now.astype(np.uint32).view(np.int32), sig.astype(np.uint8).tobytes()
 
 
 def _sets(width: int):
@@ -97,13 +100,22 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similar(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
+        known: dict[int, np.ndarray] = {}  # sets of texts seen before, emptied beyond CACHE bytes
+        held = 0
         for batch in batches:
             keep = []
-            for a, i, j in zip(batch.column("a").to_pylist(), batch.column("sa"), batch.column("sb")):
-                if a != last:
-                    last, x = a, shingle_hashes(i.as_py(), width)
-                y = shingle_hashes(j.as_py(), width)
+            a, b, texts = batch.column("a").to_pylist(), batch.column("b").to_pylist(), {"a": batch.column("sa"), "b": batch.column("sb")}
+            for i, ends in enumerate(zip(a, b)):
+                x, y = sets = [known.get(e) for e in ends]
+                if x is None or y is None:
+                    for k, e in enumerate(ends):
+                        if sets[k] is None:
+                            sets[k] = shingle_hashes(texts["ab"[k]][i].as_py(), width)
+                            held += sets[k].nbytes
+                    if held > CACHE:
+                        known, held = {}, sets[0].nbytes + sets[1].nbytes
+                    known.update(zip(ends, sets))
+                    x, y = sets
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -112,7 +124,7 @@ def _similar(width: int, percent: int):
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and tail bytes allow the similarity, with the part of bytes that agree."""
+    """The pairs whose sizes and bytes allow the similarity, with the part of bytes that agree."""
     near = pairs.where((100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("tail").alias("ta")), reps.select(F.col("rep").alias("b"), F.col("tail").alias("tb"))
     return near.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_agree, "a long, b long, agree double")
@@ -167,7 +179,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         deeper = shared.where(f"n > {SMALL}")
         # a node's star also holds before it branches on
         leaves = leaves.union(deeper.select("rep", "node")) if d == DEPTH else leaves
-        token = F.substring("tail", F.col("tree") * (DEEPEST - DEPTH) + (d - DEPTH + 1), F.lit(1))
+        token = F.substring("tail", F.col("tree") * DEEPEST + (d + 1), F.lit(1))
         at = deeper.join(reps.select("rep", "tail"), "rep").select("rep", F.xxhash64("node", token).alias("node"), "tree")
     sized = materialize(leaves.distinct().join(reps.select("rep", "size"), "rep"), "leaves")
     hub = sized.groupBy("node").agg(F.min(F.struct("rep", "size")).alias("hub"))
@@ -185,10 +197,22 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     many = mixed.select("node", F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("label").alias("ly"), "main")
     cross = few.join(many, "node").where(f"lx <> ly AND (ly = main OR x < y) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
     pairs = cross.select(F.least("x", "y").alias("a"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    left = materialize(likely(pairs, reps, percent).select("a", "b"), "pairs")
-    if not left.isEmpty():
-        more = materialize(confirmed(left, rows, width, percent), "cross")
-        label = components(links.union(more)) if not more.isEmpty() else label
+    left = materialize(likely(pairs, reps, percent), "pairs")
+    for k in range(ROUNDS + 1):
+        if left.isEmpty():
+            break
+        # first each end's likeliest pair: what that links needs no other pair; in the last round all that are left
+        ends = left.select(F.col("a").alias("e"), "a", "b", "agree").union(left.select("b", "a", "b", "agree"))
+        top = ends.groupBy("e").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        tried = materialize(top if k < ROUNDS else left.select("a", "b"), "tried")
+        more = materialize(confirmed(tried, rows, width, percent), "cross")
+        if not more.isEmpty():
+            links = materialize(links.union(more), "links")
+            label = components(links)
+        if k < ROUNDS:
+            near = label.select(F.col("rep").alias("a"), F.col("label").alias("la")), label.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
+            open_ = left.join(tried, ["a", "b"], "left_anti").join(near[0], "a", "left").join(near[1], "b", "left")
+            left = materialize(open_.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b", "agree"), "pairs")
     final = classes.select("class_id", "rep").join(label, "rep", "left").select("class_id", F.coalesce("label", "rep").alias("component"))
     return base.select("doc_id", "n_shingles", "class_id").join(final, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
