@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_missing, is_numeric, normal, observed, uniform
+from ..functions.missing import is_missing, is_numeric, normal, observed
 
 NUMERIC = ("mean", "median", "norm", "normal unit variance")
 BY_COUNTS = ("mode", "random", "categorical")
 STRATEGIES = ("mean", "median", "mode", "random", "norm", "normal unit variance", "categorical", "default univariate")
+#: Hashed buckets of distinct values for each shuffle partition. So few distinct values (five rows each) are broadcast.
+BUCKETS = 4
+SMALL = 10_000
 
 
 def resolve(df: DataFrame, column: str, strategy: str) -> str:
@@ -31,11 +34,7 @@ def resolve(df: DataFrame, column: str, strategy: str) -> str:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """Distinct observed values with their counts and cumulative shares, by value.
-
-    The running sum is taken within hash-free ranges of the counts table, whose
-    rows are distinct values, not rows of the input.
-    """
+    """Distinct observed values with their counts."""
     return df.select(observed(df, column).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -51,21 +50,20 @@ def moments(df: DataFrame, columns: dict[str, str]) -> dict[str, dict[str, float
     return {c: row[i].asDict() for i, c in enumerate(columns)}
 
 
-def mode_of(df: DataFrame, column: str, fill_strategy: str | None = None) -> Any:
-    """The smallest ('first', None) or largest ('last') of the most frequent values; 'random': all of them, sorted."""
+def modes(df: DataFrame, column: str) -> DataFrame:
+    """The most frequent values with their count."""
     counts = value_counts(df, column)
-    top = counts.agg(F.max("n")).first()[0]
-    if top is None:
-        return None
-    ties = counts.where(F.col("n") == top)
-    if fill_strategy == "random":
-        return [r[0] for r in ties.select("value").orderBy("value").limit(10_000).collect()]
-    return ties.agg((F.max if fill_strategy == "last" else F.min)("value")).first()[0]
+    return counts.where(F.col("n") == F.lit(counts.agg(F.max("n")).first()[0]))
+
+
+def mode_of(df: DataFrame, column: str, fill_strategy: str | None = None) -> Any:
+    """The smallest ('first', None) or largest ('last') of the most frequent values."""
+    return modes(df, column).agg((F.max if fill_strategy == "last" else F.min)("value")).first()[0]
 
 
 def fit(df: DataFrame, plan: dict[str, str], kwargs: dict[str, dict] | None = None, seed: int = 0) -> dict[str, dict]:
     """Fitted parameters by column."""
-    plan = {c: resolve(df, c, s) for c, s in plan.items()}
+    asked, plan = plan, {c: resolve(df, c, s) for c, s in plan.items()}
     stats = moments(df, {c: s for c, s in plan.items() if s in NUMERIC})
     out = {}
     for c, s in plan.items():
@@ -77,7 +75,8 @@ def fit(df: DataFrame, plan: dict[str, str], kwargs: dict[str, dict] | None = No
 
             p["mu"] = p["mean"] + Random(f"{seed}/{c}").gauss(0, 1) / p["n"] ** 0.5
         if s == "mode":
-            how = ((kwargs or {}).get(c) or {}).get("fill_strategy", "random" if plan.get(c) == "default univariate" else None)
+            how = ((kwargs or {}).get(c) or {}).get("fill_strategy", "random" if asked[c] == "default univariate" else None)
+            p["tied"] = how == "random"
             p["value"] = mode_of(df, c, how)
             if p["value"] is None:
                 raise ValueError(f"all values missing in {c}")
@@ -86,24 +85,35 @@ def fit(df: DataFrame, plan: dict[str, str], kwargs: dict[str, dict] | None = No
 
 
 def _pick(df: DataFrame, column: str, strategy: str, seed: int, key: list[str], source: DataFrame) -> DataFrame:
-    """Fill by a draw among distinct values ('random': each alike, else by frequency), joined on the draw's bucket.
+    """Fill by a draw among distinct values ('random': each alike; 'mode': the most frequent alike; else by frequency).
 
-    Values get half-open ranges of [0, 2^20); ranges are cut at multiples of
-    256, so that the join is an equi-join on the bucket with a range condition.
+    Each value has a range of [0, total) as long as its weight. Sums of hashed
+    buckets go to the driver, and each bucket adds up its own values. A row
+    draws a whole number below total and meets the ranges of its cell by an
+    equi-join; with a quarter of the mean weight as a cell, a draw compares
+    with 5/4 ranges on average.
     """
-    weights = value_counts(source, column)
-    w = F.lit(1) if strategy == "random" else F.col("n")
-    total = weights.agg(F.sum(w)).first()[0]
-    if not total:
+    weights = modes(source, column) if strategy == "mode" else value_counts(source, column)
+    buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weights = weights.select("value", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int").alias("part"), (F.col("n") if strategy == "categorical" else F.lit(1)).cast("long").alias("w"))
+    sums = {r[0]: r[1:] for r in weights.groupBy("part").agg(F.sum("w"), F.count(F.lit(1))).collect()}
+    if not sums:
         raise ValueError(f"all values missing in {column}")
-    span = 1 << 20
-    run = F.sum(w).over(W.orderBy("value"))  # over distinct values
-    ranged = weights.select("value", F.floor((run - w) / total * span).alias("lo"), F.floor(run / total * span).alias("hi")).where("hi > lo")
-    ranged = ranged.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / 256), F.floor((F.col("hi") - 1) / 256))))
-    u = F.floor(uniform(seed, column, *key) * span)
-    marked = df.withColumn("__u", F.when(is_missing(df, column), u)).withColumn("__b", F.floor(F.col("__u") / 256))
-    hit = marked.join(ranged, (F.col("__b") == F.col("bucket")) & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")), "left")
-    return hit.withColumn(column, F.when(F.col("__u").isNull(), F.col(f"`{column}`")).otherwise(F.col("value"))).select(*[f"`{c}`" for c in df.columns])
+    starts, total = [], 0
+    for i in range(buckets):
+        starts.append(total)
+        total += sums.get(i, (0, 0))[0]
+    values = sum(n for _, n in sums.values())
+    cell = max(1, total // (4 * values))
+    lo = F.get(F.from_json(F.lit(str(starts)), "array<bigint>"), F.col("part")) + F.sum("w").over(W.partitionBy("part").orderBy("value")) - F.col("w")
+    ranged = weights.withColumn("lo", lo).withColumn("hi", F.col("lo") + F.col("w"))
+    whole = lambda c: F.expr(f"{c} div {cell}")
+    ranged = ranged.select("value", "lo", "hi", F.explode(F.sequence(whole("lo"), whole("(hi - 1)"))).alias("__cell"))
+    draw = F.when(is_missing(df, column), F.pmod(F.xxhash64(F.lit(seed), F.lit(column), *key), F.lit(total)))
+    marked = df.withColumn("__u", draw).withColumn("__b", whole("__u"))
+    gaps = marked.where("__u IS NOT NULL").join(F.broadcast(ranged) if values <= SMALL else ranged, (F.col("__b") == F.col("__cell")) & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")), "left")
+    cells = [F.col("value").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]
+    return marked.where("__u IS NULL").select(*[f"`{c}`" for c in df.columns]).unionByName(gaps.select(*cells))
 
 
 def fill(df: DataFrame, params: dict[str, dict], source: DataFrame, seed: int, key: list[str]) -> DataFrame:
@@ -119,19 +129,17 @@ def fill(df: DataFrame, params: dict[str, dict], source: DataFrame, seed: int, k
             # J/n + I: one draw that all cells share, and one of each cell
             v = F.lit(p["mu"]) + normal(seed, c, *key)
         elif s == "mode":
-            if isinstance(p["value"], list):
-                many = F.array(*[F.lit(x) for x in p["value"]])
-                v = F.element_at(many, (F.floor(uniform(seed, c, *key) * len(p["value"])) + 1).cast("int"))
-            else:
-                v = F.lit(p["value"])
+            if p["tied"]:
+                continue
+            v = F.lit(p["value"])
         else:
             continue
         made[c] = F.when(is_missing(df, c), v).otherwise(F.col(f"`{c}`"))
     out = df.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
     for c, p in params.items():
-        if p["strategy"] in ("random", "categorical"):
+        if p["strategy"] in ("random", "categorical") or p.get("tied"):
             out = _pick(out, c, p["strategy"], seed, key, source)
     return out
 
 
-__all__ = ["STRATEGIES", "fill", "fit", "mode_of", "moments", "resolve", "value_counts"]
+__all__ = ["STRATEGIES", "fill", "fit", "mode_of", "modes", "moments", "resolve", "value_counts"]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import temporal
+from lacuna.operators import temporal, univariate
 
 
 def test_spline_memory_is_linear():
@@ -38,3 +38,32 @@ def test_series_are_cut(spark, monkeypatch, name, kw):
     assert len(cut) == n and cut.keys() == whole.keys()
     for i, v in whole.items():
         assert (v is None) == (cut[i] is None) and (v is None or abs(v - cut[i]) < 1e-9), (i, v, cut[i])
+
+
+def _drawn(df, strategy, kwargs=None, column="v"):
+    return univariate.fill(df, univariate.fit(df, {column: strategy}, kwargs), df, 1, ["id"])
+
+
+def test_random_draws_are_not_rounded(spark):
+    """3,000,000 distinct values: more than 2^20 of them can be drawn, and each draw finds a value."""
+    df = spark.range(6_000_000).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    got = _drawn(df, "random").where("id % 2 = 1").agg(F.count(F.lit(1)), F.count("v"), F.countDistinct("v")).first()
+    assert got[:2] == (3_000_000, 3_000_000)
+    assert abs(got[2] - 3_000_000 * (1 - np.exp(-1))) < 10_000
+
+
+def test_rare_categories_are_drawn(spark):
+    """200 values of one row beside one of 4,000,000: shares below 2^-20."""
+    df = spark.range(8_000_200).select("id", F.when(F.col("id") < 200, F.concat(F.lit("r"), "id")).when(F.col("id") % 2 == 0, "x").alias("v"))
+    got = {r[0]: r[1] for r in _drawn(df, "categorical").where("id >= 200 AND id % 2 = 1").groupBy("v").count().collect()}
+    assert sum(got.values()) == 4_000_000 and None not in got
+    rare = [n for v, n in got.items() if v != "x"]
+    assert 140 < sum(rare) < 260 and 100 < len(rare) < 155
+
+
+def test_tied_modes_are_all_drawn(spark):
+    df = spark.range(120_000).select("id", F.when(F.col("id") < 40_000, F.concat(F.lit("s"), (F.col("id") % 20_000).cast("string"))).alias("v"))
+    for strategy, kwargs in (("mode", {"v": {"fill_strategy": "random"}}), ("default univariate", None)):
+        got = _drawn(df, strategy, kwargs).where("id >= 40000").agg(F.count("v"), F.countDistinct("v")).first()
+        assert got[0] == 80_000 and abs(got[1] - 20_000 * (1 - np.exp(-4))) < 200
+    assert _drawn(df, "mode").where("id >= 40000").select("v").distinct().count() == 1
