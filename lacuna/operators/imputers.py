@@ -124,8 +124,8 @@ class MiceImputer(MultipleImputer):
 class MissingnessClassifier:
     """Gradient-boosted trees that tell from the other columns whether a cell is missing."""
 
-    def __init__(self, predictors: Any = "all", key: Iterable[str] = (), rounds: int = 20, seed: int = 0):
-        self.predictors, self.key, self.rounds, self.seed = predictors, list(key), rounds, seed
+    def __init__(self, predictors: Any = "all", key: Iterable[str] = (), rounds: int = 100, seed: int = 0, depth: int = 6, step: float = 0.3):
+        self.predictors, self.key, self.rounds, self.seed, self.depth, self.step = predictors, list(key), rounds, seed, depth, step
 
     def fit(self, df: DataFrame) -> MissingnessClassifier:
         from pyspark.ml.classification import GBTClassifier
@@ -141,7 +141,7 @@ class MissingnessClassifier:
             plan = regression.design(df, names)
             cells = lambda d, plan=plan, names=names: array_to_vector(F.array(*plan.columns(d)[1:], *[is_missing(d, x).cast("double") for x in names]))
             train = df.select(is_missing(df, c).cast("double").alias("label"), cells(df).alias("features"))
-            self.models_[c] = (cells, GBTClassifier(maxIter=self.rounds, seed=self.seed).fit(train))
+            self.models_[c] = (cells, GBTClassifier(maxIter=self.rounds, maxDepth=self.depth, stepSize=self.step, seed=self.seed).fit(train))
         return self
 
     def predict_proba(self, df: DataFrame) -> DataFrame:

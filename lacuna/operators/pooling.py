@@ -8,15 +8,50 @@ from pyspark.sql import DataFrame
 from .regression import Linear, least_squares
 
 
-def rubin(betas: np.ndarray, variances: np.ndarray) -> dict[str, np.ndarray]:
-    """Pooled estimates of m fits: within (vw), between (vb) and total variance (vt), standard errors and lambda."""
+def rubin(betas: np.ndarray, variances: np.ndarray, dfcom: float = np.inf) -> dict[str, np.ndarray]:
+    """Pooled estimates of m fits: within (vw), between (vb) and total variance (vt), standard errors, lambda, and what follows from it.
+
+    dfadj are Barnard and Rubin's degrees of freedom, dfcom those of the
+    complete table; riv is the relative increase in variance, fmi the fraction
+    of missing information and eff the efficiency relative to infinitely many
+    imputations. lambda counts as 1e-4 at least for dfadj, and so does fmi for eff.
+    """
     m = len(betas)
     mean, vw = betas.mean(axis=0), variances.mean(axis=0)
     vb = betas.var(axis=0, ddof=1) if m > 1 else np.zeros_like(mean)
-    vt = vw + vb * (1 + 1 / m)
-    lam = np.divide(vb * (1 + 1 / m), vt, out=np.zeros_like(vt), where=vt > 0)
-    dof = np.divide(m - 1, lam**2, out=np.full_like(vt, np.inf), where=lam > 0)
-    return {"coefs": mean, "vw": vw, "vb": vb, "vt": vt, "std": np.sqrt(vt), "lambda_": lam, "dof": dof}
+    more = vb * (1 + 1 / m)
+    vt = vw + more
+    lam = np.divide(more, vt, out=np.zeros_like(vt), where=vt > 0)
+    riv = np.divide(more, vw, out=np.where(more > 0, np.inf, 0.0), where=vw > 0)
+    floor = np.maximum(lam, 1e-4)
+    old = (m - 1) / floor**2
+    if np.isinf(dfcom):
+        dfadj = old
+    else:
+        seen = (dfcom + 1) / (dfcom + 3) * dfcom * (1 - floor)
+        dfadj = np.divide(old * seen, old + seen, out=np.zeros_like(old), where=old + seen > 0)
+    fmi = (dfadj + 1) / (dfadj + 3) * lam + 2 / (dfadj + 3)
+    eff = 1 / (1 + np.maximum(fmi, 1e-4) / m)
+    return {"coefs": mean, "vw": vw, "vb": vb, "vt": vt, "std": np.sqrt(vt), "dfcom": np.full_like(vt, dfcom), "dfadj": dfadj, "lambda_": lam, "riv": riv, "fmi": fmi, "eff": eff}
+
+
+def _same_length(q_bar, q) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.atleast_1d(np.asarray(q_bar, float)), np.atleast_1d(np.asarray(q, float))
+    if a.shape != b.shape:
+        raise ValueError("estimates and true values differ in number")
+    return a, b
+
+
+def raw_bias(q_bar, q) -> np.ndarray:
+    """Estimates less the true values."""
+    a, b = _same_length(q_bar, q)
+    return a - b
+
+
+def percent_bias(q_bar, q) -> np.ndarray:
+    """The size of the bias in percent of the true values, with their sign."""
+    a, b = _same_length(q_bar, q)
+    return 100 * np.abs(a - b) / b
 
 
 class MiLinearRegression:
@@ -28,14 +63,16 @@ class MiLinearRegression:
     def fit(self, df: DataFrame, target: str, names: list[str]) -> MiLinearRegression:
         self.models_: list[Linear] = [least_squares(d, target, names) for d in self.imputer.fit(df).each(df)]
         var = np.array([np.diag(m.cov) * m.mse * m.n / max(1, m.n - len(m.beta)) for m in self.models_])
-        self.statistics_ = rubin(np.array([m.beta for m in self.models_]), var)
+        first = self.models_[0]
+        self.statistics_ = rubin(np.array([m.beta for m in self.models_]), var, first.n - len(first.beta))
         self.terms_ = ["const", *[c if v is None else f"{c}_{v}" for c, v in self.models_[0].design.terms]]
         return self
 
     def summary(self, spark) -> DataFrame:
         s = self.statistics_
-        rows = [(t, *[float(s[k][i]) for k in ("coefs", "std", "vw", "vb", "vt", "lambda_")]) for i, t in enumerate(self.terms_)]
-        return spark.createDataFrame(rows, "term string, coefs double, std double, vw double, vb double, vt double, lambda double")
+        names = ("coefs", "std", "vw", "vb", "vt", "dfcom", "dfadj", "lambda_", "riv", "fmi", "eff")
+        rows = [(t, *[float(s[k][i]) for k in names]) for i, t in enumerate(self.terms_)]
+        return spark.createDataFrame(rows, "term string, " + ", ".join(f"{k.rstrip('_')} double" for k in names))
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         return df.withColumn(name, self.models_[0].predict(df, self.statistics_["coefs"]))

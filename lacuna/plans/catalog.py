@@ -104,7 +104,7 @@ QUERIES = {
     "multiple_imputation": _multiple(MultipleImputer),
     "mice": _multiple(MiceImputer, k=2),
     "pooled_regression": _pooled,
-    "missingness_classifier": lambda s, d: MissingnessClassifier(key=["o_orderkey"], rounds=5).fit(_orders(s, d)).predict(_orders(s, d)),
+    "missingness_classifier": lambda s, d: MissingnessClassifier(key=["o_orderkey"]).fit(_orders(s, d)).predict(_orders(s, d)),
 }
 
 _O = f"WITH t AS ({masked_sql('orders')})"

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import temporal, univariate
+from lacuna.operators import pooling, temporal, univariate
+from lacuna.plans.catalog import QUERIES
 
 
 def test_spline_memory_is_linear():
@@ -67,3 +68,28 @@ def test_tied_modes_are_all_drawn(spark):
         got = _drawn(df, strategy, kwargs).where("id >= 40000").agg(F.count("v"), F.countDistinct("v")).first()
         assert got[0] == 80_000 and abs(got[1] - 20_000 * (1 - np.exp(-4))) < 200
     assert _drawn(df, "mode").where("id >= 40000").select("v").distinct().count() == 1
+
+
+def test_pooled_columns(spark):
+    """By hand for m = 2, vw = 1.5, vb = 2, dfcom = 10; and the columns of the registered summary."""
+    r = pooling.rubin(np.array([[1.0], [3.0]]), np.array([[1.0], [2.0]]), 10)
+    lam = 3 / 4.5
+    old, seen = 1 / lam**2, 11 / 13 * 10 * (1 - lam)
+    df = old * seen / (old + seen)
+    fmi = (df + 1) / (df + 3) * lam + 2 / (df + 3)
+    for k, v in {"dfcom": 10, "dfadj": df, "lambda_": lam, "riv": 2, "fmi": fmi, "eff": 1 / (1 + fmi / 2)}.items():
+        assert np.isclose(r[k][0], v), k
+    assert QUERIES["pooled_regression"](spark, "/root/testdata/sf0.001").columns == "term coefs std vw vb vt dfcom dfadj lambda riv fmi eff".split()
+    assert pooling.raw_bias([2.0, 3.0], [1.0, 4.0]).tolist() == [1, -1] and pooling.percent_bias(3, -4).tolist() == [-175]
+    with pytest.raises(ValueError):
+        pooling.raw_bias([1.0, 2.0], [1.0])
+
+
+def test_registered_classifier(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    asked = []
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, *_: asked.append((self.getMaxIter(), self.getMaxDepth(), self.getStepSize())) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        QUERIES["missingness_classifier"](spark, "/root/testdata/sf0.001")
+    assert asked == [(100, 6, 0.3)]
