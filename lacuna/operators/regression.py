@@ -111,8 +111,9 @@ def donors(df: DataFrame, target: str, model: Linear, beta: np.ndarray, key: lis
 
     Donors are ordered by their prediction. Equal-count ranges of predictions
     are the partitions; each range gets the k last donors below it and the k
-    first above it, so that neighbours across a border are seen. A range is a
-    task, not the table; ``shift`` adds the difference of predictions.
+    first above it, from as many ranges as these take, so that the k nearest
+    are exact for any number of ranges. A range is a task, not the table;
+    ``shift`` adds the difference of predictions.
     """
     spark = df.sparkSession
     marked = df.withColumn("__mis", is_missing(df, target)).withColumn("__hat", F.when(F.col("__mis"), model.predict(df, beta)).otherwise(model.predict(df)))
@@ -124,8 +125,17 @@ def donors(df: DataFrame, target: str, model: Linear, beta: np.ndarray, key: lis
     last = W.partitionBy("__part").orderBy(F.desc("__hat"), "__h")
     first = W.partitionBy("__part").orderBy("__hat", "__h")
     edge = pool.withColumn("__l", F.row_number().over(last)).withColumn("__f", F.row_number().over(first)).where(f"__l <= {k} OR __f <= {k}")
-    ghosts = edge.where(f"__l <= {k}").withColumn("__part", F.col("__part") + 1).unionByName(edge.where(f"__f <= {k}").withColumn("__part", F.col("__part") - 1))
-    allotted = pool.unionByName(ghosts.select("__hat", "__y", "__h", "__part"))
+    # one row for each filled range: its outer donors, and by a window over k of these rows the k nearest on either side
+    donor = F.struct("__hat", "__h", "__y")
+    ends = edge.groupBy("__part").agg(F.sort_array(F.collect_list(F.when(F.col("__f") <= k, donor))).alias("head"), F.sort_array(F.collect_list(F.when(F.col("__l") <= k, donor)), False).alias("tail"))
+    order = W.orderBy("__part")
+    tails, heads = F.collect_list("tail").over(order.rowsBetween(1 - k, 0)), F.collect_list("head").over(order.rowsBetween(0, k - 1))
+    reach = ends.select("__part", F.lag("__part").over(order).alias("__prev"), F.lead("__part").over(order).alias("__next"), F.slice(F.sort_array(F.flatten(tails), False), 1, k).alias("__up"), F.slice(F.sort_array(F.flatten(heads)), 1, k).alias("__down"))
+    # the ranges up to the next filled one take the donors below, those down to the filled one before take the donors above
+    top = F.lit(len(cuts))
+    up = reach.select(F.explode(F.when(F.col("__part") < top, F.sequence(F.col("__part") + 1, F.coalesce("__next", top)))).alias("__part"), "__up").select("__part", F.explode("__up").alias("g"))
+    down = reach.select(F.explode(F.when(F.col("__part") > 0, F.sequence(F.coalesce("__prev", F.lit(0)), F.col("__part") - 1))).alias("__part"), "__down").select("__part", F.explode("__down").alias("g"))
+    allotted = pool.unionByName(up.unionByName(down).select("g.__hat", "g.__y", "g.__h", "__part"))
     asked = marked.where("__mis").withColumn("__part", part(F.col("__hat")))
     d = F.struct(F.col("__hat").alias("hat"), F.col("__y").alias("y"))
     both = allotted.select("__part", "__hat", "__h", d.alias("__d"), F.lit(None).cast(asked.select(F.struct(*[f"`{c}`" for c in asked.columns])).dtypes[0][1]).alias("__row")).unionByName(

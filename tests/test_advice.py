@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lacuna.operators import pooling, temporal, univariate
+from lacuna.operators import pooling, regression, temporal, univariate
 from lacuna.plans.catalog import QUERIES
 
 
@@ -93,3 +93,16 @@ def test_registered_classifier(spark, monkeypatch):
     with pytest.raises(StopIteration):
         QUERIES["missingness_classifier"](spark, "/root/testdata/sf0.001")
     assert asked == [(100, 6, 0.3)]
+
+
+def test_nearest_donors_across_thin_ranges(spark):
+    """Ranges of one or two donors: each of the five nearest is drawn from, and no other."""
+    df = spark.range(3000).select("id", (F.col("id") % 60 * F.lit(1.0)).alias("x"), F.when((F.col("id") < 60) & (F.col("id") % 60 != 30), F.col("id") * 2.0).alias("y"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        model = regression.least_squares(df, "y", ["x"])
+        rows = regression.donors(df, "y", model, model.beta, ["id"], 1).where("id >= 60 AND x BETWEEN 10 AND 20").groupBy("x").agg(F.collect_set("y").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert {r.x: sorted(r.s) for r in rows} == {float(x): [2.0 * (x + d) for d in range(-2, 3)] for x in range(10, 21)} and sum(r.n for r in rows) == 49 * 11
