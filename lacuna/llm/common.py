@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Where that is unset, a temporary folder serves a session on one machine; on
+    a cluster it would end up on each executor's own disk, so that is an error.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         own = spark.conf.get("lacuna.scratch.dir", None)
         if not own:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             own = "file://" + tempfile.mkdtemp(prefix="lacuna-")
             spark.conf.set("lacuna.scratch.dir", own)
     return own.rstrip("/")
@@ -37,12 +41,46 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     This cuts the lineage and survives the loss of executors: the files are
-    on shared storage, not on an executor.
+    on shared storage, not on an executor. ``discard`` removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacuna-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def runs(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of ``key`` as one batch; the rows must be sorted by it.
+
+    For keys of a bounded number of rows: a run is held whole.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        edges = [0, *cuts.tolist(), len(k)]
+        if held and held[-1].column(key)[0].as_py() != batch.column(key)[0].as_py():
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        for a, b in zip(edges[:-2], edges[1:-1]):
+            part = batch.slice(a, b - a)
+            yield pa.Table.from_batches([*held, part]).combine_chunks().to_batches()[0] if held else part
+            held = []
+        held.append(batch.slice(edges[-2]))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def estimated_bytes(df: DataFrame) -> int:

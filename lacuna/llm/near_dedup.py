@@ -1,27 +1,32 @@
 """Near-duplicates: a chosen-path join of shingle sets under Jaccard similarity.
 
 1. One pass turns each text into the size and a hash of its set of word
-   shingles, the path of its first ``DEPTH`` minwise tokens in each tree, and a
-   byte of each token. Equal sets form a class, of which the smallest id
-   stands for all (aggregated before the shuffle). The sets aren't kept: texts
-   are smaller, and only candidates need theirs again.
-2. Classes at the same node of a tree may be similar. Nodes with more than
-   ``SMALL`` members branch on, token by token, up to ``DEEPEST``.
-3. Each class is linked with the smallest class of a node it is in, of several
-   the one whose bytes agree most; links are confirmed on full sets. Members of
-   a node that are still in different components are then compared
-   exhaustively with one another, the likeliest pairs first, so that those
-   whose ends get linked in the meantime are spared.
-4. Components spread by smallest labels, with a written table in each round.
-
-A pair of similarity 0.8 shares a path of 4 tokens in one tree with chance 0.41,
-so 40 trees miss it with chance 7e-10. Pairs reach full sets if ``AGREE`` of the
-320 bytes agree, which such a pair misses with a chance below 1e-7.
+   shingles, and ``POOL`` minwise tokens. Equal sets form a class
+   (aggregated before the shuffle). The sets aren't kept: texts are smaller,
+   and only candidates need theirs again.
+2. In each of ``TREES`` trees a class goes to the node of its first ``DEPTH``
+   tokens. Nodes with more than ``SMALL`` members branch on by further tokens,
+   at first by two each, down to ``DEEPEST``.
+3. Each class is compared with the hub of its nodes, the smallest member, that
+   it shares most nodes with. Links spread to components.
+4. Leaves whose members are in several components are compared exhaustively:
+   first the tokens, in cells of at most about 2 * ``BLOCK`` members; then
+   those with a likely partner meet with their full sets, and a product of
+   their incidence matrix with itself gives all intersections at once. Tasks
+   return a spanning forest of the links, never the pairs. What lies outside
+   the largest component of a leaf meets all of it; a leaf is cut into blocks,
+   so that any number of members is compared, none left out. That work grows
+   with the square of such members where a crowd is alike but not linked.
+
+A pair of similarity 0.8 shares ``DEPTH`` tokens in a tree with chance 0.51, so
+24 trees miss it with chance 3e-8; in leaves at the deepest level about 7e-6.
+It agrees in under ``AGREE`` of the tokens with chance 1e-8.
 
 Cases: null and empty texts, and texts without words, have empty sets and are
 linked with nothing; a text of fewer words than a shingle is one shingle;
-repeated rows give a row each; null ids keep their row, with a null component;
-an empty table gives an empty result; other columns are ignored.
+repeated rows give a row each; several texts of one id are a document each;
+rows of null ids take no part and have a null component; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,193 +37,282 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize
+from .common import blocks, discard, materialize, runs, table
 
-TREES, DEPTH, DEEPEST, SMALL, AGREE, ROUNDS = 40, 4, 8, 64, 0.66, 2
-#: Bytes of shingle sets that a task keeps for the pairs to come.
-CACHE = 64 << 20
+TREES, DEPTH, DEEPEST, POOL, SMALL, BLOCK, AGREE = 24, 3, 6, 128, 64, 256, 0.6
+#: A hub's members that meet one copy of its text.
+STAR = 4096
+#: Nodes that a class must share with a hub to be compared with it at once; all others meet in the leaves.
+COMMON = 3
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-_ODD = np.random.default_rng(20240521).integers(1, 1 << 63, (TREES * DEEPEST, 2), dtype=np.uint64) | np.uint64(1)
+_SEED = np.random.default_rng(20240521)
+_ODD = _SEED.integers(1, 1 << 63, POOL, dtype=np.uint64) | np.uint64(1)
+_PLACE = _SEED.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+#: The tokens that each tree takes, in turn.
+_ORDER = [_SEED.permutation(POOL)[: DEPTH + 2 * (DEEPEST - DEPTH)].tolist() for _ in range(TREES)]
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
     found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not found:
         return np.zeros(0, np.uint64)
-    if len(found) <= width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found))], np.uint64)
     hashed = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((hashed(b" ".join(found[i : i + width])) for i in range(len(found) - width + 1)), np.uint64, len(found) - width + 1))
-
-
-def signature(held: np.ndarray) -> np.ndarray:
-    """The smallest token of the set under each of TREES * DEEPEST orders."""
-    out = np.empty(len(_ODD), np.uint64)
-    step = max(1, (1 << 20) // max(1, len(held)))
-    for i in range(0, len(_ODD), step):
-        mul, add = _ODD[i : i + step, 0, None], _ODD[i : i + step, 1, None]
-        mixed = (held[None, :] ^ add) * mul
-        mixed ^= mixed >> np.uint64(29)
-        out[i : i + step] = (mixed * np.uint64(0x9E3779B97F4A7C15)).min(axis=1)
-    return out
+    words = np.fromiter(map(hashed, found), np.uint64, len(found))
+    n = max(1, len(words) - width + 1)
+    total = np.full(n, min(len(words), width), np.uint64)
+    for k in range(min(width, len(words))):
+        total = (total ^ (total >> np.uint64(32))) * _PLACE[k % 64] + words[k : k + n]
+    total = (total ^ (total >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.unique(total ^ (total >> np.uint64(32)))
 
 
-def paths(held: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Hash of the path after DEPTH tokens in each tree, and a byte of each token."""
-    sig = signature(held).reshape(TREES, DEEPEST)
-    now = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for d in range(DEPTH):
-        now = (now ^ sig[:, d]) * np.uint64(0xFF51AFD7ED558CCD)
-        now ^= now >> np.uint64(32)
-    return now.astype(np.uint32).view(np.int32), sig.astype(np.uint8).tobytes()
+def tokens(held: np.ndarray) -> np.ndarray:
+    """The smallest member under each of POOL orders, as 32 bits."""
+    low = np.empty(POOL, np.uint64)
+    step = max(1, (1 << 18) // max(1, len(held)))
+    for i in range(0, POOL, step):
+        low[i : i + step] = (held[None, :] * _ODD[i : i + step, None]).min(axis=1)
+    return (low ^ (low >> np.uint64(32))).astype(np.uint32)
 
 
 def _sets(width: int):
-    kinds = pa.schema([("n_shingles", pa.int64()), ("class_id", pa.binary()), ("path", pa.list_(pa.int32())), ("tail", pa.binary())])
+    kinds = pa.schema([("n_shingles", pa.int64()), ("class_id", pa.binary()), ("sig", pa.binary()), ("tail", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             rows = []
             for text in batch.column("text").to_pylist():
                 held = shingle_hashes(text, width)
-                rows.append((len(held), xxhash.xxh3_128_digest(held.tobytes()), *paths(held)) if len(held) else (0, None, None, None))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]], names=["doc_id", *kinds.names])
+                low = tokens(held) if len(held) else None
+                rows.append((len(held), xxhash.xxh3_128_digest(held.tobytes()), low.tobytes(), low.astype(np.uint8).tobytes()) if len(held) else (0, None, None, None))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]], names=["doc_id", "h", *kinds.names])
 
     return run
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("ta", "tb"))
-            agree = (x == y).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree)], names=["a", "b", "agree"]).filter(pa.array(agree >= AGREE))
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
 
+def _stars(width: int, percent: int):
+    """Rows sorted by (hub, salt, member): the hub's text comes first, then each member's."""
 
-def _similar(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}  # sets of texts seen before, emptied beyond CACHE bytes
-        held = 0
+        at, hub = None, None
         for batch in batches:
-            keep = []
-            a, b, texts = batch.column("a").to_pylist(), batch.column("b").to_pylist(), {"a": batch.column("sa"), "b": batch.column("sb")}
-            for i, ends in enumerate(zip(a, b)):
-                x, y = sets = [known.get(e) for e in ends]
-                if x is None or y is None:
-                    for k, e in enumerate(ends):
-                        if sets[k] is None:
-                            sets[k] = shingle_hashes(texts["ab"[k]][i].as_py(), width)
-                            held += sets[k].nbytes
-                    if held > CACHE:
-                        known, held = {}, sets[0].nbytes + sets[1].nbytes
-                    known.update(zip(ends, sets))
-                    x, y = sets
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for key, salt, member, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "text"))):
+                if member is None:
+                    at, hub = (key, salt), shingle_hashes(text, width)
+                elif at == (key, salt) and _similar(hub, shingle_hashes(text, width), percent):
+                    a.append(key)
+                    b.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _crowds(percent: int):
+    """Lists of the members of a cell that likely links hold together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for rows in runs("cell", batches):
+            keys, first = np.unique(rows.column("key").to_numpy(), return_index=True)
+            size, label = (rows.column(c).to_numpy()[first] for c in ("size", "label"))
+            low = np.frombuffer(b"".join(rows.column("tail").to_pylist()), np.uint8).reshape(rows.num_rows, -1)[first]
+            near = np.array([(low == x).sum(axis=1, dtype=np.int32) >= AGREE * POOL for x in low])
+            near &= 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
+            near &= label[:, None] != label[None, :]
+            left = near.any(axis=1)
+            while left.any():
+                group = np.zeros(len(keys), bool)
+                edge = np.zeros(len(keys), bool)
+                edge[np.flatnonzero(left)[0]] = True
+                while edge.any():
+                    group |= edge
+                    edge = near[edge].any(axis=0) & ~group
+                left &= ~group
+                out.append(keys[group].tolist())
+            if len(out) > 500:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["members"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["members"])
 
     return run
 
 
-def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and bytes allow the similarity, with the part of bytes that agree."""
-    near = pairs.where((100 * F.least("na", "nb")) >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    left, right = reps.select(F.col("rep").alias("a"), F.col("tail").alias("ta")), reps.select(F.col("rep").alias("b"), F.col("tail").alias("tb"))
-    return near.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_agree, "a long, b long, agree double")
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections: products of the incidence matrix, over columns that several sets hold."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = count[column] > 1
+    place = np.cumsum(count > 1) - 1
+    column, owner = place[column[kept]], owner[kept]
+    total = np.zeros((len(sets), len(sets)), np.float64)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    step = max(1, (1 << 22) // len(sets))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [low, low + step])
+        part = np.zeros((len(sets), step), np.float32)  # whole numbers below 2^24 are exact
+        part[owner[a:b], column[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _links(width: int, percent: int):
+    """A spanning forest of the links of each group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs("gid", batches):
+            keys, first = np.unique(rows.column("key").to_numpy(), return_index=True)
+            text = rows.column("text")
+            sets = [shingle_hashes(text[int(i)].as_py(), width) for i in first]
+            size = np.array([len(s) for s in sets], np.float64)
+            both = intersections(sets)
+            linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            a, b = [], []
+            new = np.ones(len(keys), bool)
+            while new.any():
+                i = int(np.flatnonzero(new)[0])
+                new[i] = False
+                queue = [i]
+                while queue:
+                    i = queue.pop()
+                    for j in np.flatnonzero(linked[i] & new).tolist():
+                        new[j] = False
+                        queue.append(j)
+                        a.append(int(keys[i]))
+                        b.append(int(keys[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialize(rows.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
-    right = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("sb")), "b")
-    # b, the many, meets its text first; a hub's text then joins under skew handling
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_similar(width, percent), "a long, b long")
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(rep, label): the smallest rep reachable, for reps with a link."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "links")
-    label = materialize(both.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "label")
+    """(key, label): the smallest key reachable, for keys with a link."""
+    both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))), "edges")
+    label = materialize(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "label")
     while True:
-        near = both.join(label.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("label").alias("near"))
-        jump = label.select(F.col("rep").alias("label"), F.col("label").alias("far"))
-        new = label.join(near, "rep").withColumn("low", F.least("label", "near")).join(jump, "label").select("rep", F.least("low", "far").alias("new"), "label")
+        near = both.join(label.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
+        jump = label.select(F.col("key").alias("label"), F.col("label").alias("far"))
+        new = label.join(near, "key").withColumn("low", F.least("label", "near")).join(jump, "label").select("key", F.least("low", "far").alias("new"), "label")
         new = materialize(new, "label")
-        moved = new.where("new < label").limit(1).count()
-        label = new.select("rep", F.col("new").alias("label"))
+        discard(label)
+        moved = not new.where("new < label").isEmpty()
+        label = new.select("key", F.col("new").alias("label"))
+        label._scratch = new._scratch
         if not moved:
+            discard(both)
             return label
 
 
+def _token(at: Column) -> Column:
+    return F.substring("sig", 4 * at + 1, F.lit(4))
+
+
+def _pick(tree: Column, level: int) -> Column:
+    """A tree's token of a level."""
+    return _token(F.element_at(F.array(*[F.lit(o[level]) for o in _ORDER]), tree + 1))
+
+
+def _shared(at: DataFrame, tag: str) -> DataFrame:
+    """The rows of nodes with several members, with their number and the hub."""
+    count = at.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("hub")).where("n > 1")
+    return materialize(at.join(count, "node"), tag)
+
+
+def _leaves(classes: DataFrame, top: DataFrame) -> DataFrame:
+    """(node, key) of the leaves: nodes of at most SMALL members, or at the deepest level."""
+    now, parts, done = top, [], []
+    for d in range(DEPTH, DEEPEST):
+        parts.append(now.where(F.col("n") <= SMALL).select("node", "key"))
+        big = now.where(F.col("n") > SMALL).select("node", "key", "tree")
+        if big.isEmpty():
+            break
+        level = DEPTH + 2 * (d - DEPTH)
+        children = F.array(*[F.xxhash64("node", F.lit(c), _pick(F.col("tree"), level + c)) for c in range(2 if d == DEPTH else 1)])
+        now = _shared(big.join(classes.select("key", "sig"), "key").select("key", "tree", F.explode(children).alias("node")), "nodes")
+        done.append(now)
+    else:
+        parts.append(now.select("node", "key"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    out = materialize(out, "leaves")
+    discard(*done)
+    return out
+
+
+def _cells(leaves: DataFrame, label: DataFrame) -> DataFrame:
+    """(cell, key, label): leaves of several components, cut into blocks."""
+    known = leaves.join(label, "key", "left").select("node", "key", F.coalesce("label", "key").alias("label"))
+    parts = known.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+    size = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    size = size.select("node", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("high"))
+    mixed = known.join(size, "node").withColumn("few", F.col("label") != F.col("main"))
+    row = F.pmod(F.xxhash64("key", F.lit(1)), F.col("high"))
+    column = F.pmod(F.xxhash64("key", F.lit(2)), F.col("wide"))
+    across = F.when(F.col("few"), F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda j: F.xxhash64("node", row, j.cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    down = F.transform(F.sequence(F.lit(0), F.col("high") - 1), lambda i: F.xxhash64("node", i.cast("long"), column))
+    return mixed.select(F.explode(F.array_union(across, down)).alias("cell"), "key", "label")
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = materialize(rows.mapInArrow(_sets(width), "doc_id long, n_shingles long, class_id binary, path array<int>, tail binary"), "sets")
-    first = F.min(F.struct("doc_id", "n_shingles", "path", "tail")).alias("m")
-    classes = base.where("class_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_id").agg(first)
-    classes = materialize(classes.select("class_id", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("size"), "m.path", "m.tail"), "classes")
-    # an id with several texts is several classes; its smallest stands for the id in the trees
-    reps = materialize(classes.groupBy("rep").agg(F.min(F.struct("class_id", "size", "path", "tail")).alias("m")).select("rep", "m.size", "m.path", "m.tail"), "reps")
-
-    leaves = None
-    at = reps.select("rep", F.posexplode("path").alias("tree", "p")).select("rep", (F.shiftleft(F.col("tree").cast("long"), 32) + F.col("p").cast("long")).alias("node"), "tree")
-    for d in range(DEPTH, DEEPEST + 1):
-        # only nodes that are shared matter; what is counted is partial before the shuffle
-        count = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = materialize(at.join(count, "node"), "nodes")
-        last = d == DEEPEST
-        leaf = shared.where("true" if last else f"n <= {SMALL}").select("rep", "node")
-        leaves = leaf if leaves is None else leaves.union(leaf)
-        if last:
-            break
-        deeper = shared.where(f"n > {SMALL}")
-        # a node's star also holds before it branches on
-        leaves = leaves.union(deeper.select("rep", "node")) if d == DEPTH else leaves
-        token = F.substring("tail", F.col("tree") * DEEPEST + (d + 1), F.lit(1))
-        at = deeper.join(reps.select("rep", "tail"), "rep").select("rep", F.xxhash64("node", token).alias("node"), "tree")
-    sized = materialize(leaves.distinct().join(reps.select("rep", "size"), "rep"), "leaves")
-    hub = sized.groupBy("node").agg(F.min(F.struct("rep", "size")).alias("hub"))
-    star = sized.join(hub, "node").select(F.col("hub.rep").alias("a"), F.col("hub.size").alias("na"), F.col("rep").alias("b"), F.col("size").alias("nb")).where("a < b")
-    best = likely(star, reps, percent).groupBy("b").agg(F.max(F.struct("agree", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = materialize(confirmed(materialize(best, "stars"), rows, width, percent), "star")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    base = materialize(rows.mapInArrow(_sets(width), "doc_id long, h long, n_shingles long, class_id binary, sig binary, tail binary"), "sets")
+    first = base.where("class_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("class_id").agg(F.min(F.struct("doc_id", "h", F.col("n_shingles").alias("size"), "sig", "tail")).alias("m"))
+    classes = materialize(first.select(F.monotonically_increasing_id().alias("key"), "class_id", F.col("m.doc_id").alias("rep"), "m.h", "m.size", "m.sig", "m.tail"), "classes")
+
+    nodes = F.array(*[F.xxhash64(F.lit(t), *[_token(F.lit(p)) for p in o[:DEPTH]]) for t, o in enumerate(_ORDER)])
+    top = _shared(classes.select("key", F.posexplode(nodes).alias("tree", "node")), "top")
+    star = top.where("key <> hub").groupBy("hub", "key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON)
+    best = star.groupBy("key").agg(F.max(F.struct("c", (-F.col("hub")).alias("hub"))).alias("m"))
+    pairs = materialize(best.select((-F.col("m.hub")).alias("a"), F.col("key").alias("b")), "pairs")
+    leaves = _leaves(classes, top)
+    discard(top)
+
+    # the texts of all classes in leaves, shuffled once
+    need = leaves.select("key").distinct().join(classes.select("key", F.col("rep").alias("doc_id"), "h"), "key")
+    texts = materialize(rows.join(need, ["doc_id", "h"]).select("key", "text"), "candidates")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
+    member = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    member = member.join(texts.select(F.col("key").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    hub = hubs.join(texts.select(F.col("key").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = hub.union(member).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    links = materialize(dealt.mapInArrow(_stars(width, percent), "a long, b long"), "star")
     label = components(links)
+    discard(pairs)
 
-    # members of a node outside its largest component, against all its members of other components
-    known = materialize(sized.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "known")
-    parts = known.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("node").agg(F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node", F.col("main.label").alias("main"))
-    mixed = materialize(known.join(main, "node"), "mixed")
-    few = mixed.where("label <> main").select("node", F.col("rep").alias("x"), F.col("size").alias("nx"), F.col("label").alias("lx"))
-    many = mixed.select("node", F.col("rep").alias("y"), F.col("size").alias("ny"), F.col("label").alias("ly"), "main")
-    cross = few.join(many, "node").where(f"lx <> ly AND (ly = main OR x < y) AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    pairs = cross.select(F.least("x", "y").alias("a"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
-    left = materialize(likely(pairs, reps, percent), "pairs")
-    for k in range(ROUNDS + 1):
-        if left.isEmpty():
-            break
-        # first each end's likeliest pair: what that links needs no other pair; in the last round all that are left
-        ends = left.select(F.col("a").alias("e"), "a", "b", "agree").union(left.select("b", "a", "b", "agree"))
-        top = ends.groupBy("e").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        tried = materialize(top if k < ROUNDS else left.select("a", "b"), "tried")
-        more = materialize(confirmed(tried, rows, width, percent), "cross")
+    tail = classes.select("key", "size", "tail")
+    cells = materialize(_cells(leaves, label).join(tail, "key").repartition("cell").sortWithinPartitions("cell").mapInArrow(_crowds(percent), "members array<bigint>").distinct(), "crowds")
+    if not cells.isEmpty():
+        group = cells.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("key")).join(texts, "key")
+        more = materialize(group.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links(width, percent), "a long, b long"), "links")
         if not more.isEmpty():
-            links = materialize(links.union(more), "links")
-            label = components(links)
-        if k < ROUNDS:
-            near = label.select(F.col("rep").alias("a"), F.col("label").alias("la")), label.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
-            open_ = left.join(tried, ["a", "b"], "left_anti").join(near[0], "a", "left").join(near[1], "b", "left")
-            left = materialize(open_.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b", "agree"), "pairs")
-    final = classes.select("class_id", "rep").join(label, "rep", "left").select("class_id", F.coalesce("label", "rep").alias("component"))
-    return base.select("doc_id", "n_shingles", "class_id").join(final, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+            old = label
+            label = components(links.union(more))
+            discard(old)
+        discard(more)
+    discard(cells, leaves, texts, links)
 
+    whole = classes.select("key", "class_id", "rep").join(label, "key", "left").select("class_id", "rep", F.coalesce("label", "key").alias("label"))
+    least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
+    found = materialize(whole.join(least, "label").select("class_id", "component_id"), "components")
+    discard(classes, label)
+    held = base.select("doc_id", "n_shingles", "class_id").join(found, "class_id", "left")
+    return held.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
-def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
 
+def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
