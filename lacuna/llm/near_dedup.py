@@ -13,7 +13,7 @@
    first the tokens, in cells of at most about 2 * ``BLOCK`` members; then
    those with a likely partner meet with their full sets, and a product of
    their incidence matrix with itself gives all intersections at once. Tasks
-   return a spanning forest of the links, never the pairs. What lies outside
+   return each member with the smallest that links reach, never the pairs. What lies outside
    the largest component of a leaf meets all of it; a leaf is cut into blocks,
    so that any number of members is compared, none left out. That work grows
    with the square of such members where a crowd is alike but not linked.
@@ -168,7 +168,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(width: int, percent: int):
-    """A spanning forest of the links of each group."""
+    """Which members of each group links hold together: (smallest, member)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs("gid", batches):
@@ -181,7 +181,7 @@ def _links(width: int, percent: int):
             a, b = [], []
             new = np.ones(len(keys), bool)
             while new.any():
-                i = int(np.flatnonzero(new)[0])
+                root = i = int(np.flatnonzero(new)[0])
                 new[i] = False
                 queue = [i]
                 while queue:
@@ -189,7 +189,7 @@ def _links(width: int, percent: int):
                     for j in np.flatnonzero(linked[i] & new).tolist():
                         new[j] = False
                         queue.append(j)
-                        a.append(int(keys[i]))
+                        a.append(int(keys[root]))
                         b.append(int(keys[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -265,6 +265,18 @@ def _cells(leaves: DataFrame, label: DataFrame) -> DataFrame:
     return mixed.select(F.explode(F.array_union(across, down)).alias("cell"), "key", "label")
 
 
+def _slim(more: DataFrame, label: DataFrame) -> DataFrame:
+    """The same connections between components: an edge for each, and one between any two that it had edges to."""
+    ends = more.distinct()
+    for c in "ab":
+        ends = ends.join(label.select(F.col("key").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(c, F.coalesce(f"l{c}", c)).drop(f"l{c}")
+    ends = materialize(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ends")
+    low = ends.groupBy("b").agg(F.min("a").alias("low"))
+    out = materialize(ends.join(low, "b").select(F.col("low").alias("a"), F.col("a").alias("b")).where("a < b").union(low.select(F.col("low").alias("a"), "b")).distinct(), "slim")
+    discard(more, ends)
+    return out
+
+
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -291,24 +303,23 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     dealt = hub.union(member).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     links = materialize(dealt.mapInArrow(_stars(width, percent), "a long, b long"), "star")
     label = components(links)
-    discard(pairs)
 
     tail = classes.select("key", "size", "tail")
     cells = materialize(_cells(leaves, label).join(tail, "key").repartition("cell").sortWithinPartitions("cell").mapInArrow(_crowds(percent), "members array<bigint>").distinct(), "crowds")
     if not cells.isEmpty():
         group = cells.select(F.xxhash64("members").alias("gid"), F.explode("members").alias("key")).join(texts, "key")
         more = materialize(group.repartition("gid").sortWithinPartitions("gid").mapInArrow(_links(width, percent), "a long, b long"), "links")
-        if not more.isEmpty():
-            old = label
-            label = components(links.union(more))
-            discard(old)
-        discard(more)
-    discard(cells, leaves, texts, links)
-
-    whole = classes.select("key", "class_id", "rep").join(label, "key", "left").select("class_id", "rep", F.coalesce("label", "key").alias("label"))
+        more = _slim(more, label)
+    else:
+        more = materialize(pairs.limit(0), "links")
+    joined = components(more)
+    discard(cells, leaves, texts, links, pairs, more)
+
+    whole = classes.select("key", "class_id", "rep").join(label, "key", "left").select("class_id", "rep", F.coalesce("label", "key").alias("key"))
+    whole = whole.join(joined, "key", "left").select("class_id", "rep", F.coalesce("label", "key").alias("label"))
     least = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = materialize(whole.join(least, "label").select("class_id", "component_id"), "components")
-    discard(classes, label)
+    discard(classes, label, joined)
     held = base.select("doc_id", "n_shingles", "class_id").join(found, "class_id", "left")
     return held.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
