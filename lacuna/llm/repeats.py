@@ -1,17 +1,24 @@
 """Repeated passages: bytes of a 50-byte string that also starts in a document with a smaller id.
 
-This is not yet the merge of Burrows-Wheeler transforms that the operator is
-named for (README); it gives the same rows by shared anchors:
-
-1. Winnowing picks in every ``width`` bytes at least one anchor, the smallest
-   hash of a ``GRAM``-byte string, by content alone: equal strings pick equal
-   anchors. Only anchors that several documents hold can lie in a repeat.
-2. Strings of ``width`` bytes that hold a shared anchor are hashed (128 bits),
-   and each hash keeps its smallest document, aggregated before the shuffle.
-3. A string whose smallest document is below its own covers its bytes.
-
-Equal texts are first reduced to their smallest and second smallest ids, so that
-a group of copies costs as one document: all later copies have one result.
+Burrows-Wheeler transforms of shards are merged by refining their interleave,
+without sorting the suffixes of all shards again:
+
+1. Winnowing gives each string of ``width`` bytes an anchor, the smallest hash
+   of the ``GRAM``-byte strings in it, by content alone. Anchors that occur in
+   one document only lie in no repeat. Neighbouring strings of one anchor
+   form a segment; only segments of shared anchors go on, equal ones once.
+2. Segments are dealt by anchor, so equal strings meet. A task cuts what it
+   gets, by whole anchors, into shards of ``SHARD`` bytes, and builds the
+   transform of each. All shards of a batch are then merged: the interleave
+   that is right for k - 1 characters is made right for k by one stable
+   distribution by the character before. Where a new block begins in round k,
+   the common prefix with the suffix above is k - 1 long; after ``width``
+   rounds the blocks are the intervals of repeated strings.
+3. The smallest document of an interval owns its strings; in later
+   documents, the bytes of these strings go.
+
+An anchor with more than ``HOT`` distinct segments would not fit into a task;
+its strings are refined to full depth at once, by an aggregation over them.
 
 Cases: null texts are empty; texts under ``width`` bytes keep all bytes; rows
 that repeat an id are one document for each text; null ids neither lose bytes nor
@@ -25,13 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffer_of, materialize
+from .common import blocks, buffer_of, discard, materialize, table
 
 WIDTH, GRAM = 50, 16
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+#: Bytes of a shard and of the shards merged at once; strings of a segment; distinct segments of an anchor that a task takes.
+SHARD, BATCH, LONGEST, HOT = 1 << 19, 4 << 20, 256, 1 << 16
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,103 +69,280 @@ def gram_hashes(raw: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     return _mix(total)
 
 
-def anchors(raw: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the picked grams: the smallest hash of each string of ``width`` bytes, all of them if tied."""
+def lowest(raw: np.ndarray, width: int) -> np.ndarray:
+    """The anchor of each string of ``width`` bytes."""
     if len(raw) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = gram_hashes(raw, GRAM, _BASES[0])
-    w = width - GRAM + 1
-    low, size = h.copy(), 1
+        return np.zeros(0, np.int64)
+    gram = min(GRAM, width)
+    low = gram_hashes(raw, gram, _BASE)
+    count, w, size = len(raw) - width + 1, width - gram + 1, 1
     while size * 2 <= w:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
-    low = np.minimum(low[: len(h) - w + 1], low[w - size : w - size + len(h) - w + 1])
-    # a gram is picked if it is the minimum of some string that holds it
-    reach = np.zeros(len(h), bool)
-    for k in range(w):
-        reach[k : k + len(low)] |= h[k : k + len(low)] == low
-    at = np.flatnonzero(reach)
-    return at, h[at]
+    return np.minimum(low[:count], low[w - size : w - size + count]).view(np.int64)
 
 
 def _anchor_rows(width: int):
+    """(anchor, doc_id, done): done where the block itself shows that the anchor is shared, which others learn from one row without a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text"):
             raw, off = buffer_of(batch.column("text"))
-            ids = batch.column("rep").to_pylist()
-            found = [np.unique(anchors(raw[off[i] : off[i + 1]], width)[1]) for i in range(len(ids))]
-            n = [len(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array((np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64))], names=["rep", "anchor"])
+            known: dict[bytes, np.ndarray] = {}
+            found = []
+            for i in range(batch.num_rows):
+                part = raw[off[i] : off[i + 1]]
+                name = xxhash.xxh3_128_digest(part)
+                if name not in known:
+                    known[name] = np.unique(lowest(part, width))
+                found.append(known[name])
+            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
+            anchor = np.concatenate([*found, np.zeros(0, np.int64)])
+            order = np.lexsort((doc, anchor))
+            anchor, doc = anchor[order], doc[order]
+            if not len(anchor):
+                continue
+            first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+            at = np.flatnonzero(first)
+            ends = np.append(at[1:], len(anchor)) - 1
+            several = doc[at] != doc[ends]
+            done = several[np.cumsum(first) - 1]
+            one = np.concatenate([[True], ~first[1:] & (doc[1:] != doc[:-1])]) | first
+            marks = anchor[at[several]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([anchor[one], marks])), pa.array(np.concatenate([doc[one], np.zeros(len(marks), np.int64)]), mask=np.arange(one.sum() + len(marks)) >= one.sum()), pa.array(np.concatenate([done[one], np.zeros(len(marks), bool)]))],
+                names=["anchor", "doc_id", "done"],
+            )
 
     return run
 
 
-def _strings(raw: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
-    """Starts of the strings that hold a shared anchor."""
-    at, h = anchors(raw, width)
-    hit = at[np.isin(h, shared)]
-    n = len(raw) - width + 1
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, np.maximum(hit - (width - GRAM), 0), 1)
-    np.add.at(edge, np.minimum(hit + 1, n), -1)
-    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, anchor) of shared anchors, from rows sorted by (done, anchor); of the last run only its state is kept."""
+    last, lone, known = None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, done = batch.column("anchor").to_numpy(), batch.column("done").to_numpy(zero_copy_only=False)
+        mark = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        doc = batch.column("doc_id").fill_null(0).to_numpy()
+        out = [(doc[done], anchor[done])]
+        anchor, doc, mark = anchor[~done], doc[~done], mark[~done]
+        if len(anchor):
+            if last == int(anchor[0]) and (lone is not None or known):
+                # what the last batch left of this run: a document of its own, or that it is shared
+                anchor, doc, mark = np.insert(anchor, 0, last), np.insert(doc, 0, lone or 0), np.insert(mark, 0, known)
+            first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+            at, which = np.flatnonzero(first), np.cumsum(first) - 1
+            some = ~mark
+            lo = np.minimum.reduceat(np.where(some, doc, np.iinfo(np.int64).max), at)
+            hi = np.maximum.reduceat(np.where(some, doc, np.iinfo(np.int64).min), at)
+            shared = np.logical_or.reduceat(mark, at) | (lo < hi)
+            hit = shared[which] & some
+            out.append((doc[hit], anchor[hit]))
+            last, known = int(anchor[-1]), bool(shared[-1])
+            lone = None if known else int(lo[-1])
+        both = [np.concatenate(x) for x in zip(*out)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in both], names=["doc_id", "anchor"])
+
+
+def _segments(width: int):
+    """Segments of shared anchors; a block holds the bytes of equal ones once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            raw, off = buffer_of(batch.column("text"))
+            doc, h, held = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy(), batch.column("shared")
+            seen: set[bytes] = set()
+            out: list[list] = [[], [], [], [], [], []]
+            for i in range(batch.num_rows):
+                part = raw[off[i] : off[i + 1]]
+                low = lowest(part, width)
+                if not len(low):
+                    continue
+                first = np.concatenate([[True], low[1:] != low[:-1]])
+                at = np.flatnonzero(first)
+                first[at[np.isin(low[at], held[i].values.to_numpy(), invert=True)]] = False
+                step = np.arange(len(low)) - at[np.cumsum(np.concatenate([[True], low[1:] != low[:-1]])) - 1]
+                cut = (step % LONGEST == 0) & np.isin(low, held[i].values.to_numpy())
+                edges = np.flatnonzero(cut | (np.concatenate([[True], low[1:] != low[:-1]])))
+                ends = np.append(edges[1:], len(low))
+                whole = part.tobytes()
+                for a, b in zip(edges[cut[edges]].tolist(), ends[cut[edges]].tolist()):
+                    seg = whole[a : b + width - 1]
+                    name = xxhash.xxh3_128_digest(seg)
+                    out[0].append(doc[i])
+                    out[1].append(h[i])
+                    out[2].append(a)
+                    out[3].append(low[a])
+                    out[4].append(name)
+                    out[5].append(None if name in seen else seg)
+                    seen.add(name)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "h", "start", "anchor", "sid", "seg"])
 
+    return run
 
-def _keys(raw: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(gram_hashes(raw, width, b)[starts].view(np.int64) for b in _BASES)
 
+class Shard:
+    """Strings laid end to end, their suffixes in order, and the transform; each string ends in a character of its own."""
+
+    def __init__(self, raw: np.ndarray, lengths: np.ndarray, end: int):
+        n, m = len(raw) + len(lengths), len(lengths)
+        stops = np.cumsum(lengths + 1) - 1
+        text = np.full(n, end, np.uint8 if end < 256 else np.uint16)
+        inside = np.ones(n, bool)
+        inside[stops] = False
+        text[inside] = raw
+        rank = text.astype(np.int64)
+        rank[stops] = end + np.arange(m)
+        size, longest = 1, int(lengths.max(initial=0)) + 1
+        order = np.argsort(rank, kind="stable")
+        while True:
+            after = np.zeros(n, np.int64)
+            after[: n - size] = rank[size:] + 1
+            key = rank * (n + end + 2) + after
+            order = np.argsort(key, kind="stable")
+            sorted_ = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+            size *= 2
+            if size >= longest or rank[order[-1]] == n - 1:
+                break
+        self.order, self.strings, self.bwt = order, m, text[order - 1]
+
+
+def merge(shards: list[Shard], depth: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block): rows of the transforms, end to end, in the merged order by ``depth`` characters, and the interval of each."""
+    bwt = np.concatenate([s.bwt for s in shards])
+    small = np.uint8 if len(shards) < 256 else np.uint16
+    rows = [len(s.bwt) for s in shards]
+    source = np.repeat(np.arange(len(shards), dtype=small), rows)
+    closing = np.repeat(np.arange(len(shards), dtype=small), [s.strings for s in shards])
+    n, m = len(bwt), len(closing)
+    row, block = np.arange(n), np.zeros(n, np.int32)
+    for _ in range(depth):
+        char = bwt[row]
+        order = np.argsort(char, kind="stable")[: n - m]  # the ends of strings, the last character, have a fixed place
+        source = np.concatenate([source[order], closing])
+        char, old = char[order], block[order]
+        new = np.ones(n, np.int32)
+        new[1 : n - m] = (char[1:] != char[:-1]) | (old[1:] != old[:-1])
+        block = np.cumsum(new, dtype=np.int32) - 1
+        row = np.empty(n, np.int64)
+        row[np.argsort(source, kind="stable")] = np.arange(n)
+    return row, block
+
+
+def owners(raw: np.ndarray, off: np.ndarray, owner: np.ndarray, width: int, shard: int) -> np.ndarray:
+    """For each start of a string of ``width`` bytes in the segments, the smallest owner of an equal string; elsewhere the largest number."""
+    lengths = np.diff(off)
+    end = 256 if len(raw) and raw.max() == 255 else 255
+    cuts = np.unique(np.searchsorted(off, np.arange(0, off[-1], shard)))
+    cuts = np.append(cuts[cuts < len(lengths)], len(lengths))
+    shards = [Shard(raw[off[a] : off[b]], lengths[a:b], end) for a, b in zip(cuts[:-1], cuts[1:])]
+    row, block = merge(shards, width, end)
+    # of each row: its place in the text with ends of strings
+    begins = np.cumsum([0, *[len(s.bwt) for s in shards]])
+    place = np.concatenate([s.order + b for s, b in zip(shards, begins)])[row]
+    string = np.repeat(np.arange(len(lengths)), lengths + 1)
+    held = owner[string[place]]
+    least = np.minimum.reduceat(held, np.flatnonzero(np.diff(block, prepend=-1)))[block]
+    out = np.empty(len(place), np.int64)
+    out[place] = least
+    left = np.repeat(np.cumsum(lengths + 1), lengths + 1) - np.arange(len(place)) - 1
+    out[left < width] = np.iinfo(np.int64).max
+    return out
+
+
+def _merged(width: int, shard: int, batch_bytes: int):
+    """Runs of strings with one owner, for segments sorted by anchor: (sid, skip, count, owner)."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        raw, off = buffer_of(rows.column("seg").combine_chunks())
+        found = owners(raw, off, rows.column("owner").to_numpy(), width, shard)
+        lengths = np.diff(off) + 1
+        begins = np.cumsum(lengths) - lengths
+        string = np.repeat(np.arange(len(lengths)), lengths)
+        fresh = np.concatenate([[True], (found[1:] != found[:-1]) | (string[1:] != string[:-1])])
+        at = np.flatnonzero(fresh)
+        count = np.diff(np.append(at, len(found)))
+        used = found[at] < rows.column("last").to_numpy()[string[at]]
+        at, count = at[used], count[used]
+        return pa.RecordBatch.from_arrays([rows.column("sid").combine_chunks().take(pa.array(string[at])), pa.array(at - begins[string[at]], pa.int32()), pa.array(count, pa.int32()), pa.array(found[at])], names=["sid", "skip", "count", "owner"])
 
-def _string_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for rep, text, shared in zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist(), batch.column("shared").to_pylist()):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                starts = _strings(raw, np.array(shared, np.int64).view(np.uint64), width)
-                a, b = _keys(raw, starts, width)
-                for i in range(0, len(starts), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts[s]), rep, np.int64)), pa.array(starts[s], pa.int32()), pa.array(a[s]), pa.array(b[s])], names=["rep", "start", "a", "b"])
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("seg").nbytes
+            if size >= batch_bytes:
+                rows = pa.Table.from_batches(held)
+                anchor = rows.column("anchor").to_numpy()
+                cut = int(np.searchsorted(anchor, anchor[-1]))
+                if cut:
+                    yield solve(rows.slice(0, cut))
+                rest = rows.slice(cut).combine_chunks()
+                held = rest.to_batches()
+                size = sum(b.column("seg").slice(0).nbytes for b in held) if len(rest) < len(rows) else size
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
 
 def _digest(width: int):
+    kinds = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "text"):
+            raw, off = buffer_of(batch.column("text"))
             rows = []
-            for text, starts, later in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "later"))):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                at = np.arange(max(0, len(raw) - width + 1)) if later else np.array(starts or [], np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + width, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-                rows.append((len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-            cells = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("later"), *[pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], names=["tid", "later", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for i, gone in enumerate(batch.column("gone").to_pylist()):
+                part = raw[off[i] : off[i + 1]]
+                edge = np.zeros(len(part) + 1, np.int64)
+                if gone:
+                    at, n = (np.array([g[k] for g in gone]) for k in ("at", "n"))
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + n + width - 1, -1)
+                out = np.cumsum(edge[:-1]) > 0
+                spans = int(np.diff(out.astype(np.int8), prepend=0).clip(0).sum())
+                rows.append((len(part), int(out.sum()), spans, hashlib.sha256(part[~out].tobytes()).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]], names=["doc_id", *kinds.names])
 
     return run
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    tid = F.sha2("text", 256)
-    texts = materialize(rows.groupBy(tid.alias("tid")).agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "texts")
-    made = materialize(texts.where("rep IS NOT NULL").select("rep", "text").mapInArrow(_anchor_rows(width), "rep long, anchor long"), "anchors")
-    several = made.groupBy("anchor").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("anchor")
-    shared = made.join(several, "anchor").groupBy("rep").agg(F.collect_set("anchor").alias("shared"))
-    starts = materialize(texts.where("rep IS NOT NULL").select("rep", "text").join(shared, "rep").mapInArrow(_string_rows(width), "rep long, start int, a long, b long"), "strings")
-    owner = starts.groupBy("a", "b").agg(F.min("rep").alias("owner"), F.max("rep").alias("most")).where("owner < most").select("a", "b", "owner")
-    taken = starts.join(owner, ["a", "b"]).where("owner < rep").groupBy("rep").agg(F.collect_list("start").alias("starts"))
-    base = texts.join(taken, "rep", "left").select("tid", "text", "starts", "n", F.explode(F.when(F.col("n") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("later"))
-    digest = base.select("tid", "text", "starts", "later").mapInArrow(_digest(width), "tid string, later boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    keyed = rows.select("doc_id", tid.alias("tid")).join(texts.select("tid", "rep"), "tid")
-    later = F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False))
-    return keyed.select("doc_id", "tid", later.alias("later")).join(digest, ["tid", "later"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    known = rows.where("doc_id IS NOT NULL")
+    made = known.select("doc_id", "text").mapInArrow(_anchor_rows(width), "anchor long, doc_id long, done boolean")
+    dealt = made.repartition(F.when(F.col("done"), F.col("doc_id")).otherwise(F.col("anchor"))).sortWithinPartitions("done", "anchor")
+    shared = materialize(dealt.mapInArrow(_shared, "doc_id long, anchor long"), "anchors")
+    lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
+    cut = materialize(known.join(lists, "doc_id").select("doc_id", "h", "text", "shared").mapInArrow(_segments(width), "doc_id long, h long, start int, anchor long, sid binary, seg binary"), "segments")
+    discard(shared)
+
+    kinds = cut.groupBy("sid").agg(F.max("anchor").alias("anchor"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("seg").alias("seg"))
+    kinds = materialize(kinds, "kinds")
+    hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
+    few = kinds.join(hot, "anchor", "left_anti").select("anchor", "sid", "owner", "last", "seg")
+    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged(width, SHARD, BATCH), "sid binary, skip int, count int, owner long")
+    each = kinds.join(hot, "anchor", "left_semi").select("sid", "owner", "last", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seg") - width + 1), lambda i: F.substring("seg", i, F.lit(width)))).alias("skip", "string"))
+    each = each.select("sid", "owner", "last", "skip", F.xxhash64("string").alias("x"), F.xxhash64(F.lit(1), "string").alias("y"))
+    least = each.groupBy("x", "y").agg(F.min("owner").alias("least"))
+    deep = each.join(least, ["x", "y"]).where("least < last").select("sid", "skip", F.lit(1).alias("count"), F.col("least").alias("owner"))
+    owned = materialize(found.union(deep), "owned")
+    taken = cut.select("doc_id", "h", "start", "sid").join(owned, "sid").where("owner < doc_id")
+    gone = materialize(taken.groupBy("doc_id", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("skip")).alias("at"), F.col("count").alias("n"))).alias("gone")), "gone")
+    discard(cut, kinds, owned)
+    out = rows.join(gone, ["doc_id", "h"], "left").select("doc_id", "text", "gone")
+    return out.mapInArrow(_digest(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_repeats(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return repeats(table(spark, sf_dir, "documents"))
