@@ -46,6 +46,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacuna-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # what was shuffled for this is of no more use; Spark removes it once the driver's JVM has collected the plan
+    spark._jvm.java.lang.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, discard, materialize, runs, table
 
-TREES, DEPTH, DEEPEST, POOL, SMALL, BLOCK, AGREE = 24, 3, 6, 128, 64, 256, 0.6
+TREES, DEPTH, DEEPEST, POOL, SMALL, BLOCK, AGREE = 24, 3, 6, 128, 64, 1024, 0.6
 #: A hub's members that meet one copy of its text.
 STAR = 4096
 #: Nodes that a class must share with a hub to be compared with it at once; all others meet in the leaves.

@@ -3,18 +3,23 @@
 Burrows-Wheeler transforms of shards are merged by refining their interleave,
 without sorting the suffixes of all shards again:
 
-1. Winnowing gives each string of ``width`` bytes an anchor, the smallest hash
+1. Texts are cut where their content says so, into chunks of about ``CHUNK``
+   bytes, each with what its last strings reach into. In all but the smallest
+   document that holds a chunk, its strings start in a smaller one; they need no
+   further look, neither as repeats nor as what others repeat.
+2. Winnowing gives each other string of ``width`` bytes an anchor, the smallest hash
    of the ``GRAM``-byte strings in it, by content alone. Anchors that occur in
    one document only lie in no repeat. Neighbouring strings of one anchor
    form a segment; only segments of shared anchors go on, equal ones once.
-2. Segments are dealt by anchor, so equal strings meet. A task cuts what it
+3. Segments are dealt by anchor, so equal strings meet. A task cuts what it
    gets, by whole anchors, into shards of ``SHARD`` bytes, and builds the
    transform of each. All shards of a batch are then merged: the interleave
    that is right for k - 1 characters is made right for k by one stable
    distribution by the character before. Where a new block begins in round k,
    the common prefix with the suffix above is k - 1 long; after ``width``
-   rounds the blocks are the intervals of repeated strings.
-3. The smallest document of an interval owns its strings; in later
+   rounds the blocks are the intervals of repeated strings. Blocks of one
+   document are dropped on the way.
+4. The smallest document of an interval owns its strings; in later
    documents, the bytes of these strings go.
 
 An anchor with more than ``HOT`` distinct segments would not fit into a task;
@@ -38,9 +43,11 @@ from pyspark.sql import functions as F
 
 from .common import blocks, buffer_of, discard, materialize, table
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM, CHUNK = 50, 16, 128
 #: Bytes of a shard and of the shards merged at once; strings of a segment; distinct segments of an anchor that a task takes.
-SHARD, BATCH, LONGEST, HOT = 1 << 19, 4 << 20, 256, 1 << 16
+SHARD, BATCH, LONGEST, HOT = 1 << 18, 2 << 20, 256, 1 << 16
+#: Rounds from one look for blocks of one owner to the next.
+PRUNE = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,20 +89,50 @@ def lowest(raw: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:count], low[w - size : w - size + count]).view(np.int64)
 
 
+def _chunks(width: int):
+    """(doc_id, h, at, n, cid): the n strings from ``at`` on, and the hash of all their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            raw, off = buffer_of(batch.column("text"))
+            doc, h = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
+            out: list[list] = [[], [], [], [], []]
+            for i in range(batch.num_rows):
+                part = raw[off[i] : off[i + 1]]
+                strings = len(part) - width + 1
+                if strings < 1:
+                    continue
+                cuts = np.flatnonzero(gram_hashes(part, min(GRAM, width), _BASE)[1:strings] % np.uint64(CHUNK) == 0) + 1
+                edges, whole = [0, *cuts.tolist(), strings], part.tobytes()
+                for a, b in zip(edges[:-1], edges[1:]):
+                    out[0].append(doc[i])
+                    out[1].append(h[i])
+                    out[2].append(a)
+                    out[3].append(b - a)
+                    out[4].append(xxhash.xxh3_128_digest(whole[a : b + width - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "h", "at", "n", "cid"])
+
+    return run
+
+
+def _open(count: int, gone: list[dict] | None) -> np.ndarray:
+    """Which of ``count`` strings are in none of the runs."""
+    out = np.ones(count, bool)
+    for g in gone or []:
+        out[g["at"] : g["at"] + g["n"]] = False
+    return out
+
+
 def _anchor_rows(width: int):
     """(anchor, doc_id, done): done where the block itself shows that the anchor is shared, which others learn from one row without a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             raw, off = buffer_of(batch.column("text"))
-            known: dict[bytes, np.ndarray] = {}
             found = []
-            for i in range(batch.num_rows):
-                part = raw[off[i] : off[i + 1]]
-                name = xxhash.xxh3_128_digest(part)
-                if name not in known:
-                    known[name] = np.unique(lowest(part, width))
-                found.append(known[name])
+            for i, gone in enumerate(batch.column("gone").to_pylist()):
+                low = lowest(raw[off[i] : off[i + 1]], width)
+                found.append(np.unique(low[_open(len(low), gone)]))
             doc = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
             anchor = np.concatenate([*found, np.zeros(0, np.int64)])
             order = np.lexsort((doc, anchor))
@@ -153,6 +190,7 @@ def _segments(width: int):
         for batch in blocks(batches, "text"):
             raw, off = buffer_of(batch.column("text"))
             doc, h, held = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy(), batch.column("shared")
+            copied = batch.column("gone").to_pylist()
             seen: set[bytes] = set()
             out: list[list] = [[], [], [], [], [], []]
             for i in range(batch.num_rows):
@@ -160,15 +198,14 @@ def _segments(width: int):
                 low = lowest(part, width)
                 if not len(low):
                     continue
-                first = np.concatenate([[True], low[1:] != low[:-1]])
+                use = np.isin(low, held[i].values.to_numpy()) & _open(len(low), copied[i])
+                first = np.concatenate([[True], (low[1:] != low[:-1]) | (use[1:] != use[:-1])])
                 at = np.flatnonzero(first)
-                first[at[np.isin(low[at], held[i].values.to_numpy(), invert=True)]] = False
-                step = np.arange(len(low)) - at[np.cumsum(np.concatenate([[True], low[1:] != low[:-1]])) - 1]
-                cut = (step % LONGEST == 0) & np.isin(low, held[i].values.to_numpy())
-                edges = np.flatnonzero(cut | (np.concatenate([[True], low[1:] != low[:-1]])))
+                cut = (np.arange(len(low)) - at[np.cumsum(first) - 1]) % LONGEST == 0
+                edges = np.flatnonzero(cut)
                 ends = np.append(edges[1:], len(low))
                 whole = part.tobytes()
-                for a, b in zip(edges[cut[edges]].tolist(), ends[cut[edges]].tolist()):
+                for a, b in zip(edges[use[edges]].tolist(), ends[use[edges]].tolist()):
                     seg = whole[a : b + width - 1]
                     name = xxhash.xxh3_128_digest(seg)
                     out[0].append(doc[i])
@@ -183,53 +220,99 @@ def _segments(width: int):
     return run
 
 
+def promising(raw: np.ndarray, off: np.ndarray, anchor: np.ndarray, owner: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+    """Segments that may hold a repeat: several documents have what half a string adds to the anchor on one side.
+
+    A string holds at least that much on one of its sides. Where an anchor
+    occurs twice in a segment, all its segments go on.
+    """
+    gram = min(GRAM, width)
+    half = (width - gram + 1) // 2
+    string = np.repeat(np.arange(len(anchor)), np.diff(off))
+    found = gram_hashes(raw, gram, _BASE).view(np.int64)
+    place = np.flatnonzero(found == anchor[string[: len(found)]])
+    place = place[place + gram <= off[string[place] + 1]]
+    which = string[place]
+    alone = np.bincount(which, minlength=len(anchor)) == 1
+    at = np.zeros(len(anchor), np.int64)
+    at[which] = place
+    out = np.isin(anchor, anchor[~alone])
+    weight = np.cumprod(np.full(half + 1, _BASE))
+    sides = []
+    for fits, first, step in ((off[1:] - at - gram >= half, at + gram, 1), (at - off[:-1] >= half, at - 1, -1)):
+        who = np.flatnonzero(fits & ~out)
+        key = anchor[who].view(np.uint64) * weight[half] + np.uint64(step == 1)
+        for k in range(half):
+            key += (raw[first[who] + step * k].astype(np.uint64) + np.uint64(1)) * weight[k]
+        sides.append((who, _mix(key)))
+    who, key = (np.concatenate(x) for x in zip(*sides))
+    _, which = np.unique(key, return_inverse=True)
+    lo = np.full(len(key), np.iinfo(np.int64).max)
+    hi = np.full(len(key), np.iinfo(np.int64).min)
+    np.minimum.at(lo, which, owner[who])
+    np.maximum.at(hi, which, last[who])
+    out[who[(lo < hi)[which]]] = True
+    return out
+
+
 class Shard:
-    """Strings laid end to end, their suffixes in order, and the transform; each string ends in a character of its own."""
+    """Strings laid end to end, the places of their suffixes in order, and the transform; each string ends in a character of its own."""
 
     def __init__(self, raw: np.ndarray, lengths: np.ndarray, end: int):
-        n, m = len(raw) + len(lengths), len(lengths)
+        n = len(raw) + len(lengths)
         stops = np.cumsum(lengths + 1) - 1
         text = np.full(n, end, np.uint8 if end < 256 else np.uint16)
         inside = np.ones(n, bool)
         inside[stops] = False
         text[inside] = raw
-        rank = text.astype(np.int64)
-        rank[stops] = end + np.arange(m)
-        size, longest = 1, int(lengths.max(initial=0)) + 1
-        order = np.argsort(rank, kind="stable")
+        # seven characters at once, none after an end; suffixes that end so soon go by their string
+        left = np.repeat(stops, lengths + 1) - np.arange(n)
+        key = np.zeros(n, np.int64)
+        for k in range(7):
+            key <<= 9
+            key[: n - k] += np.where(left[: n - k] >= k, text[k:], 0)
+        order = np.argsort(key, kind="stable")
+        fresh = (key[order[1:]] != key[order[:-1]]) | (left[order[1:]] < 7)
+        size, longest = 7, int(lengths.max(initial=0)) + 1
         while True:
-            after = np.zeros(n, np.int64)
-            after[: n - size] = rank[size:] + 1
-            key = rank * (n + end + 2) + after
-            order = np.argsort(key, kind="stable")
-            sorted_ = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-            size *= 2
+            rank[order] = np.concatenate([[0], np.cumsum(fresh)])
             if size >= longest or rank[order[-1]] == n - 1:
                 break
-        self.order, self.strings, self.bwt = order, m, text[order - 1]
-
-
-def merge(shards: list[Shard], depth: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, block): rows of the transforms, end to end, in the merged order by ``depth`` characters, and the interval of each."""
-    bwt = np.concatenate([s.bwt for s in shards])
-    small = np.uint8 if len(shards) < 256 else np.uint16
-    rows = [len(s.bwt) for s in shards]
-    source = np.repeat(np.arange(len(shards), dtype=small), rows)
-    closing = np.repeat(np.arange(len(shards), dtype=small), [s.strings for s in shards])
-    n, m = len(bwt), len(closing)
-    row, block = np.arange(n), np.zeros(n, np.int32)
-    for _ in range(depth):
+            key = rank * (n + 1)
+            key[: n - size] += rank[size:] + 1
+            order = np.argsort(key)
+            fresh = key[order[1:]] != key[order[:-1]]
+            size *= 2
+        self.order, self.bwt = order, text[order - 1]
+
+
+def merge(shards: list[np.ndarray], owner: list[np.ndarray], depth: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block) of the suffixes that agree with one of another owner in ``depth`` characters, in merged order.
+
+    Takes the transforms and each row's owner; rows count through all shards.
+    Round k distributes the interleave of round k - 1 by the characters before.
+    Blocks of one owner are left out: what lies before them is such a block too.
+    """
+    bwt, held = np.concatenate(shards), np.concatenate(owner)
+    before = np.empty(len(bwt), np.int32)
+    start = 0
+    for part in shards:
+        before[start + np.argsort(part, kind="stable")] = np.arange(start, start + len(part), dtype=np.int32)
+        start += len(part)
+    row, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
+    for k in range(1, depth + 1):
         char = bwt[row]
-        order = np.argsort(char, kind="stable")[: n - m]  # the ends of strings, the last character, have a fixed place
-        source = np.concatenate([source[order], closing])
-        char, old = char[order], block[order]
-        new = np.ones(n, np.int32)
-        new[1 : n - m] = (char[1:] != char[:-1]) | (old[1:] != old[:-1])
-        block = np.cumsum(new, dtype=np.int32) - 1
-        row = np.empty(n, np.int64)
-        row[np.argsort(source, kind="stable")] = np.arange(n)
+        order = np.argsort(char, kind="stable")[: len(row) - int((char == end).sum())]
+        if not len(order):
+            return row[:0], block[:0]
+        char, old, row = char[order], block[order], before[row[order]]
+        fresh = np.concatenate([[True], (char[1:] != char[:-1]) | (old[1:] != old[:-1])])
+        block = np.cumsum(fresh, dtype=np.int32) - 1
+        if k % PRUNE == 0 or k == depth:
+            at, who = np.flatnonzero(fresh), held[row]
+            kept = (np.minimum.reduceat(who, at) < np.maximum.reduceat(who, at))[block]
+            row, block = row[kept], block[kept]
     return row, block
 
 
@@ -240,16 +323,16 @@ def owners(raw: np.ndarray, off: np.ndarray, owner: np.ndarray, width: int, shar
     cuts = np.unique(np.searchsorted(off, np.arange(0, off[-1], shard)))
     cuts = np.append(cuts[cuts < len(lengths)], len(lengths))
     shards = [Shard(raw[off[a] : off[b]], lengths[a:b], end) for a, b in zip(cuts[:-1], cuts[1:])]
-    row, block = merge(shards, width, end)
-    # of each row: its place in the text with ends of strings
-    begins = np.cumsum([0, *[len(s.bwt) for s in shards]])
-    place = np.concatenate([s.order + b for s, b in zip(shards, begins)])[row]
     string = np.repeat(np.arange(len(lengths)), lengths + 1)
+    begins = np.cumsum([0, *[len(s.bwt) for s in shards]])
+    place = np.concatenate([s.order + b for s, b in zip(shards, begins)])
     held = owner[string[place]]
-    least = np.minimum.reduceat(held, np.flatnonzero(np.diff(block, prepend=-1)))[block]
-    out = np.empty(len(place), np.int64)
-    out[place] = least
-    left = np.repeat(np.cumsum(lengths + 1), lengths + 1) - np.arange(len(place)) - 1
+    row, block = merge([s.bwt for s in shards], np.split(held, begins[1:-1]), width, end)
+    out = owner[string]
+    if len(row):
+        at = np.flatnonzero(np.diff(block, prepend=-1))
+        out[place[row]] = np.repeat(np.minimum.reduceat(held[row], at), np.diff(np.append(at, len(row))))
+    left = np.repeat(np.cumsum(lengths + 1), lengths + 1) - np.arange(len(string)) - 1
     out[left < width] = np.iinfo(np.int64).max
     return out
 
@@ -260,6 +343,8 @@ def _merged(width: int, shard: int, batch_bytes: int):
     def solve(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
         raw, off = buffer_of(rows.column("seg").combine_chunks())
+        rows = rows.filter(pa.array(promising(raw, off, *(rows.column(c).to_numpy() for c in ("anchor", "owner", "last")), width))).combine_chunks()
+        raw, off = buffer_of(rows.column("seg").combine_chunks())
         found = owners(raw, off, rows.column("owner").to_numpy(), width, shard)
         lengths = np.diff(off) + 1
         begins = np.cumsum(lengths) - lengths
@@ -302,12 +387,9 @@ def _digest(width: int):
             rows = []
             for i, gone in enumerate(batch.column("gone").to_pylist()):
                 part = raw[off[i] : off[i + 1]]
-                edge = np.zeros(len(part) + 1, np.int64)
-                if gone:
-                    at, n = (np.array([g[k] for g in gone]) for k in ("at", "n"))
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n + width - 1, -1)
-                out = np.cumsum(edge[:-1]) > 0
+                out = np.zeros(len(part), bool)
+                for g in gone or []:
+                    out[g["at"] : g["at"] + g["n"] + width - 1] = True
                 spans = int(np.diff(out.astype(np.int8), prepend=0).clip(0).sum())
                 rows.append((len(part), int(out.sum()), spans, hashlib.sha256(part[~out].tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]], names=["doc_id", *kinds.names])
@@ -320,11 +402,19 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     known = rows.where("doc_id IS NOT NULL")
-    made = known.select("doc_id", "text").mapInArrow(_anchor_rows(width), "anchor long, doc_id long, done boolean")
+    run = F.struct("at", "n")
+    chunks = materialize(known.mapInArrow(_chunks(width), "doc_id long, h long, at int, n int, cid binary"), "chunks")
+    several = chunks.groupBy("cid").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("cid", "owner")
+    copied = materialize(chunks.join(several, "cid").where("owner < doc_id").select("doc_id", "h", "at", "n"), "copied")
+    discard(chunks)
+    listed = copied.groupBy("doc_id", "h").agg(F.collect_list(run).alias("gone"))
+
+    made = known.join(listed, ["doc_id", "h"], "left").select("doc_id", "text", "gone").mapInArrow(_anchor_rows(width), "anchor long, doc_id long, done boolean")
     dealt = made.repartition(F.when(F.col("done"), F.col("doc_id")).otherwise(F.col("anchor"))).sortWithinPartitions("done", "anchor")
     shared = materialize(dealt.mapInArrow(_shared, "doc_id long, anchor long"), "anchors")
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
-    cut = materialize(known.join(lists, "doc_id").select("doc_id", "h", "text", "shared").mapInArrow(_segments(width), "doc_id long, h long, start int, anchor long, sid binary, seg binary"), "segments")
+    left = known.join(lists, "doc_id").join(listed, ["doc_id", "h"], "left").select("doc_id", "h", "text", "shared", "gone")
+    cut = materialize(left.mapInArrow(_segments(width), "doc_id long, h long, start int, anchor long, sid binary, seg binary"), "segments")
     discard(shared)
 
     kinds = cut.groupBy("sid").agg(F.max("anchor").alias("anchor"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("seg").alias("seg"))
@@ -337,9 +427,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     least = each.groupBy("x", "y").agg(F.min("owner").alias("least"))
     deep = each.join(least, ["x", "y"]).where("least < last").select("sid", "skip", F.lit(1).alias("count"), F.col("least").alias("owner"))
     owned = materialize(found.union(deep), "owned")
-    taken = cut.select("doc_id", "h", "start", "sid").join(owned, "sid").where("owner < doc_id")
-    gone = materialize(taken.groupBy("doc_id", "h").agg(F.collect_list(F.struct((F.col("start") + F.col("skip")).alias("at"), F.col("count").alias("n"))).alias("gone")), "gone")
-    discard(cut, kinds, owned)
+    taken = cut.select("doc_id", "h", "start", "sid").join(owned, "sid").where("owner < doc_id").select("doc_id", "h", (F.col("start") + F.col("skip")).alias("at"), F.col("count").alias("n"))
+    gone = materialize(taken.union(copied).groupBy("doc_id", "h").agg(F.collect_list(run).alias("gone")), "gone")
+    discard(cut, kinds, owned, copied)
     out = rows.join(gone, ["doc_id", "h"], "left").select("doc_id", "text", "gone")
     return out.mapInArrow(_digest(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
