@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,9 +47,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacuna-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # what was shuffled for this is of no more use; Spark removes it once the driver's JVM has collected the plan
+    # what was shuffled for earlier tables is of no more use; Spark removes it once the driver's JVM has collected their plans
+    gc.collect()
     spark._jvm.java.lang.System.gc()
+    time.sleep(0.3)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

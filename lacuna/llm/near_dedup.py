@@ -6,11 +6,11 @@
    and only candidates need theirs again.
 2. In each of ``TREES`` trees a class goes to the node of its first ``DEPTH``
    tokens. Nodes with more than ``SMALL`` members branch on by further tokens,
-   at first by two each, down to ``DEEPEST``.
+   down to ``DEEPEST``.
 3. Each class is compared with the hub of its nodes, the smallest member, that
    it shares most nodes with. Links spread to components.
 4. Leaves whose members are in several components are compared exhaustively:
-   first the tokens, in cells of at most about 2 * ``BLOCK`` members; then
+   first the tokens, in cells of about 2 * ``BLOCK`` members; then
    those with a likely partner meet with their full sets, and a product of
    their incidence matrix with itself gives all intersections at once. Tasks
    return each member with the smallest that links reach, never the pairs. What lies outside
@@ -19,7 +19,7 @@
    with the square of such members where a crowd is alike but not linked.
 
 A pair of similarity 0.8 shares ``DEPTH`` tokens in a tree with chance 0.51, so
-24 trees miss it with chance 3e-8; in leaves at the deepest level about 7e-6.
+24 trees miss it with chance 3e-8; in leaves at the deepest level 7e-5.
 It agrees in under ``AGREE`` of the tokens with chance 1e-8.
 
 Cases: null and empty texts, and texts without words, have empty sets and are
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, discard, materialize, runs, table
 
-TREES, DEPTH, DEEPEST, POOL, SMALL, BLOCK, AGREE = 24, 3, 6, 128, 64, 1024, 0.6
+TREES, DEPTH, DEEPEST, POOL, SMALL, BLOCK, AGREE = 24, 3, 5, 128, 64, 1024, 0.6
 #: A hub's members that meet one copy of its text.
 STAR = 4096
 #: Nodes that a class must share with a hub to be compared with it at once; all others meet in the leaves.
@@ -52,7 +52,7 @@ _SEED = np.random.default_rng(20240521)
 _ODD = _SEED.integers(1, 1 << 63, POOL, dtype=np.uint64) | np.uint64(1)
 _PLACE = _SEED.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 #: The tokens that each tree takes, in turn.
-_ORDER = [_SEED.permutation(POOL)[: DEPTH + 2 * (DEEPEST - DEPTH)].tolist() for _ in range(TREES)]
+_ORDER = [_SEED.permutation(POOL)[:DEEPEST].tolist() for _ in range(TREES)]
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -237,9 +237,7 @@ def _leaves(classes: DataFrame, top: DataFrame) -> DataFrame:
         big = now.where(F.col("n") > SMALL).select("node", "key", "tree")
         if big.isEmpty():
             break
-        level = DEPTH + 2 * (d - DEPTH)
-        children = F.array(*[F.xxhash64("node", F.lit(c), _pick(F.col("tree"), level + c)) for c in range(2 if d == DEPTH else 1)])
-        now = _shared(big.join(classes.select("key", "sig"), "key").select("key", "tree", F.explode(children).alias("node")), "nodes")
+        now = _shared(big.join(classes.select("key", "sig"), "key").select("key", "tree", F.xxhash64("node", _pick(F.col("tree"), d)).alias("node")), "nodes")
         done.append(now)
     else:
         parts.append(now.select("node", "key"))
