@@ -47,10 +47,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lacuna-{tag}-{uuid.uuid4().hex}"
-    # what was shuffled for earlier tables is of no more use; Spark removes it once the driver's JVM has collected their plans
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
-    time.sleep(0.3)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -65,6 +61,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark remove what was shuffled for tables that are written by now.
+
+    It does so when the driver's JVM has collected their plans, which listeners
+    may hold a little longer than the job.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
+        time.sleep(0.3)
+
+
 def runs(key: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each value of ``key`` as one batch; the rows must be sorted by it.
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffer_of, discard, materialize, table
+from .common import blocks, buffer_of, discard, materialize, reclaim, table
 
 WIDTH, GRAM, CHUNK = 50, 16, 128
 #: Bytes of a shard and of the shards merged at once; strings of a segment; distinct segments of an anchor that a task takes.
@@ -407,18 +407,22 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     several = chunks.groupBy("cid").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("cid", "owner")
     copied = materialize(chunks.join(several, "cid").where("owner < doc_id").select("doc_id", "h", "at", "n"), "copied")
     discard(chunks)
+    reclaim(docs.sparkSession)
     listed = copied.groupBy("doc_id", "h").agg(F.collect_list(run).alias("gone"))
 
     made = known.join(listed, ["doc_id", "h"], "left").select("doc_id", "text", "gone").mapInArrow(_anchor_rows(width), "anchor long, doc_id long, done boolean")
     dealt = made.repartition(F.when(F.col("done"), F.col("doc_id")).otherwise(F.col("anchor"))).sortWithinPartitions("done", "anchor")
     shared = materialize(dealt.mapInArrow(_shared, "doc_id long, anchor long"), "anchors")
+    reclaim(docs.sparkSession)
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
     left = known.join(lists, "doc_id").join(listed, ["doc_id", "h"], "left").select("doc_id", "h", "text", "shared", "gone")
     cut = materialize(left.mapInArrow(_segments(width), "doc_id long, h long, start int, anchor long, sid binary, seg binary"), "segments")
     discard(shared)
+    reclaim(docs.sparkSession)
 
     kinds = cut.groupBy("sid").agg(F.max("anchor").alias("anchor"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("seg").alias("seg"))
     kinds = materialize(kinds, "kinds")
+    reclaim(docs.sparkSession)
     hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
     few = kinds.join(hot, "anchor", "left_anti").select("anchor", "sid", "owner", "last", "seg")
     found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged(width, SHARD, BATCH), "sid binary, skip int, count int, owner long")
@@ -427,6 +431,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     least = each.groupBy("x", "y").agg(F.min("owner").alias("least"))
     deep = each.join(least, ["x", "y"]).where("least < last").select("sid", "skip", F.lit(1).alias("count"), F.col("least").alias("owner"))
     owned = materialize(found.union(deep), "owned")
+    reclaim(docs.sparkSession)
     taken = cut.select("doc_id", "h", "start", "sid").join(owned, "sid").where("owner < doc_id").select("doc_id", "h", (F.col("start") + F.col("skip")).alias("at"), F.col("count").alias("n"))
     gone = materialize(taken.union(copied).groupBy("doc_id", "h").agg(F.collect_list(run).alias("gone")), "gone")
     discard(cut, kinds, owned, copied)
