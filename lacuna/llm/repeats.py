@@ -397,6 +397,15 @@ def _digest(width: int):
     return run
 
 
+def _deep(kinds: DataFrame, width: int) -> DataFrame:
+    """The runs of segments, by an aggregation over all their strings."""
+    cut = F.transform(F.sequence(F.lit(1), F.length("seg") - width + 1), lambda i: F.substring("seg", i, F.lit(width)))
+    each = kinds.select("sid", "owner", "last", F.posexplode(cut).alias("skip", "string"))
+    each = each.select("sid", "owner", "last", "skip", F.xxhash64("string").alias("x"), F.xxhash64(F.lit(1), "string").alias("y"))
+    least = each.groupBy("x", "y").agg(F.min("owner").alias("least"))
+    return each.join(least, ["x", "y"]).where("least < last").select("sid", "skip", F.lit(1).alias("count"), F.col("least").alias("owner"))
+
+
 def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -423,14 +432,13 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     kinds = cut.groupBy("sid").agg(F.max("anchor").alias("anchor"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max("seg").alias("seg"))
     kinds = materialize(kinds, "kinds")
     reclaim(docs.sparkSession)
-    hot = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
-    few = kinds.join(hot, "anchor", "left_anti").select("anchor", "sid", "owner", "last", "seg")
+    # written first: its size then decides how the joins with it run
+    hot = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
+    crowded = not hot.isEmpty()
+    few = (kinds.join(hot, "anchor", "left_anti") if crowded else kinds).select("anchor", "sid", "owner", "last", "seg")
     found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merged(width, SHARD, BATCH), "sid binary, skip int, count int, owner long")
-    each = kinds.join(hot, "anchor", "left_semi").select("sid", "owner", "last", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seg") - width + 1), lambda i: F.substring("seg", i, F.lit(width)))).alias("skip", "string"))
-    each = each.select("sid", "owner", "last", "skip", F.xxhash64("string").alias("x"), F.xxhash64(F.lit(1), "string").alias("y"))
-    least = each.groupBy("x", "y").agg(F.min("owner").alias("least"))
-    deep = each.join(least, ["x", "y"]).where("least < last").select("sid", "skip", F.lit(1).alias("count"), F.col("least").alias("owner"))
-    owned = materialize(found.union(deep), "owned")
+    owned = materialize(found.union(_deep(kinds.join(hot, "anchor", "left_semi"), width)) if crowded else found, "owned")
+    discard(hot)
     reclaim(docs.sparkSession)
     taken = cut.select("doc_id", "h", "start", "sid").join(owned, "sid").where("owner < doc_id").select("doc_id", "h", (F.col("start") + F.col("skip")).alias("at"), F.col("count").alias("n"))
     gone = materialize(taken.union(copied).groupBy("doc_id", "h").agg(F.collect_list(run).alias("gone")), "gone")

@@ -54,6 +54,72 @@ def test_repeats(spark, docs, corpus):
     assert got == removed(some)
 
 
+def test_repeats_by_small_parts(spark, corpus, monkeypatch):
+    some = corpus[:120]
+    frame = spark.createDataFrame(some, "doc_id long, text string").repartition(5)
+    for name, value in (("HOT", 1), ("SHARD", 300), ("BATCH", 2000)):
+        monkeypatch.setattr(repeats, name, value)
+        assert {r.doc_id: tuple(r)[1:] for r in repeats.repeats(frame).collect()} == removed(some)
+
+
+def test_repeats_of_odd_texts(spark):
+    long = "".join(chr(97 + zlib.crc32(str(i).encode()) % 26) for i in range(200_000))
+    rows = [(1, "ab" * 200), (2, "ab" * 90), (3, "x" + "ab" * 100 + "y"), (4, long), (5, long[100_000:100_300] + "é" * 60), (6, "é" * 60), (6, "é" * 70), (6, "é" * 60), (7, "z" * 49)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 400, 0), (2, 180, 180), (3, 202, 200), (4, 200_000, 0), (5, 420, 300), (6, 120, 120), (6, 120, 120), (6, 140, 140), (7, 49, 0)]
+    assert repeats.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shingle_sets(rows, width):
+    """Word shingles as tuples, by a split of its own."""
+    out = []
+    for _, text in rows:
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({i: " " for i in range(9, 14)}).split(" ")
+        words = [w for w in words if w]
+        out.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    return out
+
+
+def smallest_reachable(rows, sets, percent=80):
+    low = list(range(len(rows)))
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        n = len(sets[i] & sets[j])
+        if n and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+            low[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return [least[root(i)] for i in range(len(rows))]
+
+
+def test_near_dedup_query(spark, corpus, tmp_path):
+    from lacuna.llm.queries import QUERIES
+
+    words = [f"w{i}" for i in range(90)]
+    crowd = [(3000 + i, " ".join(f"e{i}x{k}" if k % 13 == i % 13 or k == i % 90 else w for k, w in enumerate(words))) for i in range(150)]
+    near = [(5000 + i, t + " one more") for i, (_, t) in enumerate(corpus[:40])]
+    twice = [(9000, corpus[50][1]), (9000, corpus[51][1] + " zz"), (9001, ""), (9002, None), (9003, "Ab\u00a0c D")]
+    rows = corpus[:80] + crowd + near + twice
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in QUERIES["op5_near_dedup"](spark, str(tmp_path)).collect())
+    sets = shingle_sets(rows, 4)
+    want = sorted((d, len(s), c, d == c) for (d, _), s, c in zip(rows, sets, smallest_reachable(rows, sets)))
+    assert got == want
+
+
+def test_near_dedup_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, key string, node string")
+    assert near_dedup.near_components(empty).count() == 0
+    rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in near_dedup.near_components(rows).collect()) == [(0, 0), (0, 0), (3, 3)]
+
+
 def test_near_dedup(spark, docs, corpus):
     rows = {r.doc_id: r for r in near_dedup.near_components(docs, 4).collect()}
     assert rows[4].component_id == 1 and rows[7].component_id == 6 and rows[2].n_shingles == 0 and rows[3].component_id == 3
