@@ -17,7 +17,7 @@ ALL = (*univariate.STRATEGIES, *temporal.STRATEGIES, *regression.STRATEGIES)
 
 
 class SingleImputer:
-    """One pass, column by column. ``key`` names the columns that identify a row: draws depend on them.
+    """One pass, column by column, in the order of the strategies. ``key`` names the columns that identify a row: draws depend on them.
 
     Each column is fitted on the table as it was given to ``fit``; predictors
     that are missing themselves count as their mean or mode.
@@ -46,14 +46,20 @@ class SingleImputer:
         lost = set(self.columns_) - set(df.columns)
         if lost:
             raise ValueError(f"columns of the fit are absent: {sorted(lost)}")
-        key = self.key or [c for c in df.columns]
-        out = univariate.fill(df, self.params_, self.source_, self.seed, key)
-        given = df
+        key = self.key or list(self.columns_)
+        given, out, waiting = df, df, {}
         for i, (c, s) in enumerate(self.statistics_.items()):
+            if c in self.params_:  # neighbours in the order are filled at once
+                waiting[c] = self.params_[c]
+                continue
+            if waiting:
+                out, waiting = univariate.fill(out, waiting, self.source_, self.seed, key), {}
             if s in temporal.STRATEGIES:
                 out = temporal.fill(out, c, s, self.order, self.partition, **self.kwargs_[c])
             elif s in regression.STRATEGIES:
                 out = regression.fill(out, c, s, self.predictors_[c], key, self.seed + i, self.source_, **self.kwargs_[c])
+        if waiting:
+            out = univariate.fill(out, waiting, self.source_, self.seed, key)
         return out.select(*[f"`{c}`" for c in given.columns])
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
@@ -90,7 +96,8 @@ class MiceImputer(MultipleImputer):
     """k rounds: each fits on the table that the round before completed, with the cells of one column nulled again.
 
     Each round is written by checkpoint(), so that plans don't grow and lost
-    executors cost no more than a round; needs ``key``.
+    executors cost no more than a round. What was missing goes along as a
+    column, so rows need no key of their own: null and repeated ones stay.
     """
 
     def __init__(self, k: int = 3, n: int = 5, seed: int = 0, **single: Any):
@@ -102,21 +109,16 @@ class MiceImputer(MultipleImputer):
     def each(self, df: DataFrame) -> list[DataFrame]:
         out = []
         for i, model in enumerate(self.imputers_):
-            marks = [F.struct(*[is_missing(df, c).alias(c) for c in model.statistics_]).alias("__was")] if model.statistics_ else []
-            done = model.transform(df)
-            if not marks:
-                out.append(done)
-                continue
-            was = df.select(*self.single["key"], *marks)
-            for r in range(1, self.k):
-                now = done.join(was, list(self.single["key"]))
+            marks = [F.struct(*[is_missing(df, c).alias(c) for c in model.statistics_])] if model.statistics_ else []
+            key = model.key or list(model.columns_)
+            done = model.transform(df.withColumns({"__was": m for m in marks}))
+            for r in range(1, self.k if marks else 1):
                 if df.sparkSession.sparkContext.getCheckpointDir():
-                    now = now.checkpoint()
+                    done = done.checkpoint()
                 for j, (c, s) in enumerate(model.statistics_.items()):
-                    again = now.withColumn(c, F.when(~F.col(f"__was.`{c}`"), observed(now, c)))
+                    again = done.withColumn(c, F.when(~F.col(f"__was.`{c}`"), observed(done, c)))
                     if s in regression.STRATEGIES:
-                        now = regression.fill(again, c, s, model.predictors_[c], list(self.single["key"]), model.seed + 1000 * r + j, again, **model.kwargs_[c])
-                done = now.drop("__was")
+                        done = regression.fill(again, c, s, model.predictors_[c], key, model.seed + 1000 * r + j, again, **model.kwargs_[c])
             out.append(done.select(*[f"`{c}`" for c in df.columns]))
         return out
 

@@ -106,8 +106,8 @@ def draw(model: Linear, seed: int) -> np.ndarray:
     return rng.multivariate_normal(model.beta, model.cov * sigma2, method="eigh")
 
 
-def donors(df: DataFrame, target: str, model: Linear, beta: np.ndarray, key: list[str], seed: int, k: int = 5, shift: bool = False) -> DataFrame:
-    """Predictive mean matching: a missing cell takes a value of one of its k nearest donors.
+def donors(df: DataFrame, target: str, model: Linear, beta: np.ndarray, key: list[str], seed: int, k: int = 5, shift: bool = False, fill_value: str = "random") -> DataFrame:
+    """Predictive mean matching: a missing cell takes a value of one of its k nearest donors, or their mean.
 
     Donors are ordered by their prediction. Equal-count ranges of predictions
     are the partitions; each range gets the k last donors below it and the k
@@ -150,15 +150,25 @@ def donors(df: DataFrame, target: str, model: Linear, beta: np.ndarray, key: lis
     best = F.slice(F.array_sort(F.transform("__near", lambda x: F.struct(F.abs(x["hat"] - F.col("__hat")).alias("gap"), x["hat"].alias("hat"), x["y"].alias("y")))), 1, k)
     u = uniform(seed, target, *[f"__row.{c}" for c in key])
     one = F.element_at(best, (F.floor(u * F.least(F.lit(k), F.size(best))) + 1).cast("int"))
-    value = one["y"] + ((F.col("__hat") - one["hat"]) if shift else F.lit(0.0))
+    moved = lambda x: x["y"] + ((F.col("__hat") - x["hat"]) if shift else F.lit(0.0))
+    value = moved(one) if fill_value == "random" else F.aggregate(best, F.lit(0.0), lambda total, x: total + moved(x)) / F.size(best)
     done = near.withColumn("__best", best).withColumn("__v", value)
     cells = [F.col("__v").cast(df.schema[c].dataType).alias(c) if c == target else F.col(f"__row.`{c}`").alias(c) for c in df.columns]
     return marked.where("NOT __mis").select(*[f"`{c}`" for c in df.columns]).unionByName(done.select(*cells))
 
 
-def fill(df: DataFrame, target: str, strategy: str, names: list[str], key: list[str], seed: int = 0, source: DataFrame | None = None, k: int = 5) -> DataFrame:
-    """Missing cells of ``target`` by the strategy, fitted on ``source`` (df itself, unless given)."""
+def fill(df: DataFrame, target: str, strategy: str, names: list[str], key: list[str], seed: int = 0, source: DataFrame | None = None, neighbors: int = 5, fill_value: str | None = None) -> DataFrame:
+    """Missing cells of ``target`` by the strategy, fitted on ``source`` (df itself, unless given).
+
+    fill_value: "mean" or "random". For Bayesian least squares the mean of the
+    posterior, unless said otherwise, or a draw of the coefficients; for pmm and
+    lrd the mean of the ``neighbors`` donors or, unless said otherwise, one of them.
+    """
     source = df if source is None else source
+    if fill_value not in (None, "mean", "random"):
+        raise ValueError(f"fill_value is mean or random, not {fill_value}")
+    if neighbors < 1:
+        raise ValueError("neighbors is at least 1")
     if strategy == "default predictive":
         strategy = "pmm" if is_numeric(df, target) else "multinomial logistic"
     if strategy.endswith("logistic"):
@@ -167,8 +177,8 @@ def fill(df: DataFrame, target: str, strategy: str, names: list[str], key: list[
         raise TypeError(f"{strategy} needs a numeric column: {target}")
     model = least_squares(source, target, names)
     if strategy in ("pmm", "lrd"):
-        return donors(df, target, model, draw(model, seed), key, seed, k, strategy == "lrd")
-    v = model.predict(df, draw(model, seed) if strategy.startswith("bayes") else None)
+        return donors(df, target, model, draw(model, seed), key, seed, neighbors, strategy == "lrd", fill_value or "random")
+    v = model.predict(df, draw(model, seed) if strategy.startswith("bayes") and fill_value == "random" else None)
     if strategy == "stochastic":
         v = v + F.lit(model.mse**0.5) * normal(seed, target, *key)
     return df.withColumn(target, F.when(is_missing(df, target), v).otherwise(F.col(f"`{target}`")))

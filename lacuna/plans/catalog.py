@@ -99,7 +99,7 @@ QUERIES = {
     "bayesian_least_squares": _regress("bayesian least squares"),
     "pmm": _regress("pmm"),
     "lrd": _regress("lrd"),
-    "binary_logistic": lambda s, d: regression.fill(_orders(s, d).where("o_orderstatus IN ('F', 'O') OR o_orderstatus IS NULL"), "o_orderstatus", "binary logistic", ["o_totalprice"], ["o_orderkey"]),
+    "binary_logistic": lambda s, d: regression.fill(_orders(s, d).withColumn("o_orderstatus", F.expr("CASE WHEN o_orderstatus <> 'F' THEN 'other' ELSE o_orderstatus END")), "o_orderstatus", "binary logistic", ["o_totalprice"], ["o_orderkey"]),
     "multinomial_logistic": _mixed("multinomial logistic", "o_orderstatus"),
     "multiple_imputation": _multiple(MultipleImputer),
     "mice": _multiple(MiceImputer, k=2),
@@ -147,3 +147,5 @@ ORACLE_SQL = {
     "interpolate_time": _LERP.format(at="CAST(EPOCH_US(ts) AS DOUBLE)"),
     "least_squares": f"{_N} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, (SELECT REGR_INTERCEPT(o_totalprice, o_custkey) FROM t) + (SELECT REGR_SLOPE(o_totalprice, o_custkey) FROM t) * o_custkey), 4) AS o_totalprice FROM t",
 }
+# its mean under flat priors is the least squares solution
+ORACLE_SQL["bayesian_least_squares"] = ORACLE_SQL["least_squares"]

@@ -88,3 +88,27 @@ def test_query(spark, name):
         assert sorted(names) == sorted(df.columns)
         order = [names.index(c) for c in df.columns]
         _same(rows, [tuple(float(x) if hasattr(x, "as_tuple") else x for x in (r[i] for i in order)) for r in cur.fetchall()])
+
+
+def test_neighbours_and_fill_values(spark):
+    rows = [(i, float(i), float(i * i)) for i in range(20)] + [(20, 9.5, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    cell = lambda **kw: regression.fill(df, "y", kw.pop("how"), ["x"], ["id"], 1, **kw).where("id = 20").first().y
+    assert cell(how="pmm", neighbors=1) in {r[2] for r in rows}
+    near = cell(how="pmm", neighbors=20, fill_value="mean")
+    assert near == pytest.approx(sum(r[2] for r in rows[:20]) / 20)
+    mean = cell(how="bayesian least squares")
+    assert mean == pytest.approx(cell(how="least squares")) and mean != cell(how="bayesian least squares", fill_value="random")
+    with pytest.raises(ValueError):
+        cell(how="pmm", fill_value="mode")
+
+
+def test_mice_keeps_rows_without_keys(spark):
+    from lacuna.operators.imputers import MiceImputer
+
+    rows = [(None if i % 3 else i, float(i % 7), None if i % 4 == 0 else 2.0 * (i % 7) + 1) for i in range(60)] + [(0, 1.0, None)] * 2
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    out = MiceImputer(k=2, n=2, strategy={"y": "least squares"}, key=["id"]).fit_transform(df).collect()
+    assert len(out) == 2 * len(rows) and all(abs(r.y - 2 * r.x - 1) < 1e-6 for r in out)
+    bare = MiceImputer(k=2, n=1, strategy={"y": "stochastic"}).fit_transform(df.drop("id"))
+    assert bare.count() == len(rows) and bare.where("y IS NULL").count() == 0
