@@ -8,7 +8,8 @@ Occurrences are located by walking to sampled suffix positions, and their words
 are merged into spans.
 
 Cases: null and empty texts have no words and no hits; empty items have no
-window; repeated rows and null ids keep a row each; an empty benchmark or table
+window; repeated rows and null ids keep a row each; items with a null id hit but
+are not listed; an empty benchmark or table
 gives no hits. Test windows reach the tasks in blocks of ITEM_BYTES, one pass
 over a shard for each.
 """
@@ -128,7 +129,7 @@ class Windows:
         for item, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + width]), set()).add(str(item))
+                found.setdefault(tuple(ids[i : i + width]), set()).update([] if item is None else [str(item)])
         self.items = [sorted(v) for v in found.values()]
         self.length = np.array([len(k) for k in found], np.int64)
         self.pattern = np.zeros((len(found), width), np.int64)

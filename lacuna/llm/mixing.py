@@ -11,9 +11,10 @@ buckets by their place in the order, bucket sums give the bucket in which the
 prefix ends, and only such buckets are ordered document by document.
 
 Cases: null columns of the tree are a branch of their own; null and empty texts
-hold no tokens, are in each whole epoch and cost a prefix nothing; repeated rows
-are ordered next to each other; an empty table gives an empty result; columns
-that clash with the results are replaced.
+hold no tokens, are in each whole epoch and cost a prefix nothing, but a leaf of
+such texts only has no budget and gives no row; repeated rows are ordered next to
+each other; an empty table gives an empty result; columns named as the results
+are replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,9 +88,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], share: float = 0.5, weights:
     spark = docs.sparkSession
     path = [f"__l{i}" for i in range(len(levels))]
     docs = docs.drop("n_tokens", "copies", "leaf_budget")
-    made = docs.withColumn("n_tokens", word_count(F.col(text_col))).withColumns(dict(zip(path, levels.values())))
+    # all of a row is one column, so that no name of its own meets one used here
+    made = docs.select(F.struct("*").alias("__row"), word_count(F.col(text_col)).alias("n_tokens"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t"), *[c.alias(p) for p, c in zip(path, levels.values())])
     # only ids and numbers: the order, the sums and the choice need no text
-    slim = materialize(made.select(*path, F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__t"), "n_tokens"), "slim")
+    slim = materialize(made.drop("__row"), "slim")
     leaves = materialize(slim.groupBy(*path).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = budgets(leaves.where("tokens > 0").select(*path, "tokens"), path, total * share, weights, epochs)
@@ -115,12 +117,12 @@ def mix(docs: DataFrame, levels: dict[str, Column], share: float = 0.5, weights:
     eqp = lambda a, b: [a[c].eqNullSafe(b[c]) for c in path]
     with_cut = sized.join(cuts, eqp(sized, cuts), "left").select(*[sized[c] for c in path], "budget", "whole", "part", "buckets", "__cut")
     limit = materialize(with_cut.join(last, eqp(with_cut, last), "left").select(*[with_cut[c] for c in path], "budget", "whole", "part", "buckets", "__cut", "__last"), "limit")
-    full = made.withColumns({"__id": F.col(id_col), "__t": F.xxhash64(text_col)})
-    joined = full.join(F.broadcast(limit) if few else limit, eqp(full, limit)).select(*[full[c] for c in docs.columns], full["n_tokens"], "__id", "__t", "budget", "whole", "part", "buckets", "__cut", "__last")
+    full = made
+    joined = full.join(F.broadcast(limit) if few else limit, eqp(full, limit)).select("__row", full["n_tokens"], "__id", "__t", "budget", "whole", "part", "buckets", "__cut", "__last")
     b = F.floor(point * F.col("buckets"))
     inside = (F.col("__cut").isNull() | (b < F.col("__cut")) | F.coalesce(F.struct(b.alias("__b"), order.alias("__o")) <= F.col("__last"), F.lit(False)))
     copies = F.col("whole") + F.when((F.col("part") > 0) & inside, 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).withColumn("leaf_budget", F.col("budget")).where("copies > 0").select(*[f"`{c}`" for c in docs.columns], "n_tokens", "copies", "leaf_budget")
+    return joined.withColumn("copies", copies.cast("long")).withColumn("leaf_budget", F.col("budget")).where("copies > 0").select("__row.*", "n_tokens", "copies", "leaf_budget")
 
 
 def tree() -> dict[str, Column]:

@@ -256,3 +256,29 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SMALL)
     n = out.count()
     assert 0 < n <= table(spark, SMALL, "documents").count() and {"doc_id", "text", "lang", "source", "n_chars"} <= set(out.columns)
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    import corpus_pipeline
+
+    rows = [(1, PASSAGE, "en", "src1", 7.0, 1, "p"), (2, None, None, None, 8.0, 2, "q"), (3, "", "fr", "src2", 9.0, 3, "r"), (None, "plain words here", "en", "src1", 1.0, 4, "s"), (1, PASSAGE, "en", "src1", 7.0, 1, "p")]
+    names = ["doc_id", "text", "lang", "source", "score", "part", "node"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, part int, node string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SMALL)
+        assert out.columns[: len(names)] == names and (name == "mixing" or sorted(r.part for r in out.collect())[:4] in ([1, 1, 2, 3], [1, 2, 3, 4])), name
+        assert {(r.score, r.part, r.node) for r in out.collect()} <= {(r[4], r[5], r[6]) for r in rows}
+        assert stage(spark, df.limit(0), SMALL).count() == 0, name
+
+
+def test_mixing_with_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 3), "en", f"src{i % 2}", 1, 2.0, 3, 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, part int, budget double, whole int, buckets int")
+    out = mixing.mix(df, mixing.tree(), 0.5).collect()
+    assert out and all((r.part, r.budget, r.whole, r.buckets) == (1, 2.0, 3, 4) for r in out)
+
+
+def test_items_without_an_id(spark, docs):
+    bench = spark.createDataFrame([(None, PASSAGE)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got[1].hits and got[1]["items"] == []
