@@ -1,4 +1,15 @@
-"""The corpus pipeline: toxicity, near-dedup, decontamination, PII, mixing."""
+"""The corpus pipeline: toxicity, near-dedup, decontamination, PII, mixing.
+
+Each stage takes any table with the columns doc_id and text (mixing also lang
+and source) and returns its columns, whatever their names; the last adds
+n_tokens, copies and leaf_budget.
+
+Cases: null and empty texts are scored like any text, are in no group of copies
+and hold no benchmark words, so they reach the last stage, which gives them the
+place of texts without tokens. Rows with a null id are kept by the filters of
+whole texts; a repeated id stays if its document does. An empty table gives an
+empty one. Ties between copies go to the smallest id.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +21,8 @@ from lacuna.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    scored = toxicity.score(docs.select(F.struct("*").alias("row"), "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
