@@ -1,41 +1,42 @@
 """Secret scans: all rules in one pass over the bytes, by one automaton.
 
-Each rule has a trigger, a bytes expression that matches wherever a span of the
-rule can be. The triggers are compiled together (``automaton``), and one pass
-over a block's bytes tells for each document which rules can have spans in it.
-Only there the rule's own expression is asked for the spans' code points.
+The rules' expressions are compiled together (``automaton``) and turned, so that
+one pass over a block's bytes, from the last to the first, gives every place
+where a match of any rule begins. From the leftmost of these, and then from the
+leftmost at or after the end found, the rule's own anchored automaton gives the
+longest match; of no rule a byte is read twice. Ends and starts are code points.
+
+In all rules the longest match is the one that a backtracking matcher finds:
+no repetition can give back a character to what follows it.
 
 Cases: null and empty texts have no spans; the hash of no spans is that of the
 empty string; repeated rows keep a row each; an empty table gives an empty
-result. Texts of any length are scanned whole, in segments.
+result. Texts of any length are scanned whole, in time linear in their bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import Automaton, compile_rules, scan
+from .automaton import Automaton, compile_rules, longest, scan
 from .common import blocks, buffer_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: its matches, leftmost and without overlap, are candidates; those pass whose group ``of`` has ``least`` characters."""
+    """Matches of head and pattern, leftmost and without overlap, are candidates; those pass whose part after the head has ``least`` bytes."""
 
     kind: str
     pattern: str
-    trigger: str
-    of: int = 0
     least: int = 0
+    head: str = ""
     base: bool = False
 
 
@@ -43,43 +44,77 @@ def _either_case(words: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
 
 
-_VALUE = "[A-Za-z0-9+/_.=-]"
-_NAMES = "password|passwd|secret|token|api_?key"
+_NAMES = _either_case("password|passwd|secret|token|api_?key")
 RULES = (
-    Rule("assign", rf"(?ai)({_NAMES})[\"']?\x20*[:=]\x20*[\"']?({_VALUE}+)", f"({_either_case(_NAMES)})[\"']?\\x20*[:=]\\x20*[\"']?{_VALUE}", 2, 12, True),
-    Rule("access", r"(?a)AKIA[A-Z0-9]+", "AKIA[A-Z0-9]", 0, 18, True),
-    Rule("hex", r"(?a)[0-9a-f]+", "[0-9a-f]{16}", 0, 16, True),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"(?a)eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_\-]", 0, 40),
-    Rule("github", r"(?a)gh[opsur]_[A-Za-z0-9]+", "gh[opsur]_[A-Za-z0-9]", 0, 24),
-    Rule("slack", r"(?a)xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-", 0, 15),
-    Rule("google", r"(?a)AIza[A-Za-z0-9_-]+", "AIza", 0, 35),
+    Rule("assign", "[A-Za-z0-9+/_.=-]+", 12, f"({_NAMES})[\"']?\\x20*[:=]\\x20*[\"']?", True),
+    Rule("access", "AKIA[A-Z0-9]+", 18, base=True),
+    # runs of 16 at least: the same matches, and not a start for each letter of a text
+    Rule("hex", "[0-9a-f]{16}[0-9a-f]*", 16, base=True),
+    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("github", "gh[opsur]_[A-Za-z0-9]+", 24),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("google", "AIza[A-Za-z0-9_-]+", 35),
 )
 
 
-def spans_of(text: str, rules: tuple[Rule, ...], wanted: int = -1) -> list[tuple[int, int, int]]:
-    """(start, rule, end) of all spans of the rules whose bit is set, by start, then rule."""
-    found = []
-    for k, rule in enumerate(rules):
-        if wanted >> k & 1:
-            found += [(m.start(), k, m.end()) for m in re.finditer(rule.pattern, text) if m.end(rule.of) - m.start(rule.of) >= rule.least]
-    return sorted(found)
+@dataclass(frozen=True)
+class Machines:
+    """The turned automaton of all rules, and for each its anchored ones: of the whole and of the head."""
+
+    starts: Automaton
+    whole: tuple[Automaton, ...]
+    heads: tuple[Automaton | None, ...]
 
 
-def find_spans(dfa: Automaton, texts: pa.Array, rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
-    hits = scan(dfa, *buffer_of(texts))
-    return [spans_of(texts[i].as_py(), rules, int(h)) if h else [] for i, h in enumerate(hits)]
+@cache
+def machines(rules: tuple[Rule, ...]) -> Machines:
+    whole = [r.head + r.pattern for r in rules]
+    return Machines(
+        compile_rules(whole, backward=True),
+        tuple(compile_rules([x], anchored=True) for x in whole),
+        tuple(compile_rules([r.head], anchored=True) if r.head else None for r in rules),
+    )
+
+
+def find_spans(held: Machines, texts: pa.Array, rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
+    """For each text the (start, rule, end) of all spans, by start, then rule."""
+    data, offsets = buffer_of(texts)
+    found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
+    back, bits = scan(held.starts, data[::-1], (len(data) - offsets)[::-1])
+    if not len(back):
+        return found
+    order = np.argsort(-back)
+    at, bits = len(data) - 1 - back[order], bits[order]
+    raw = data.tobytes()
+    for k, rule in enumerate(rules):
+        begins = at[bits >> k & 1 == 1]
+        docs = np.searchsorted(offsets, begins, side="right") - 1
+        i = 0
+        while i < len(begins):
+            a, d = int(begins[i]), int(docs[i])
+            stop = int(offsets[d + 1])
+            b = longest(held.whole[k], raw, a, stop)
+            head = longest(held.heads[k], raw, a, stop) - a if held.heads[k] else 0
+            if b - a - head >= rule.least:
+                found[d].append((a, k, b))
+            i = int(np.searchsorted(begins, b))
+    for d in {d for d, spans in enumerate(found) if spans}:
+        low = int(offsets[d])
+        # code points before each byte
+        count = np.concatenate([[0], np.cumsum((data[low : offsets[d + 1]] & 0xC0) != 0x80)])
+        found[d] = sorted((int(count[a - low]), k, int(count[b - low])) for a, k, b in found[d])
+    return found
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id and spans, an array of (kind, start_at, end_at, base), by start, then kind as listed."""
-    bits = [r.trigger for r in rules]
+    held = machines(tuple(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dfa = compile_rules(bits)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start_at", pa.int64()), ("end_at", pa.int64()), ("base", pa.bool_())]))
         for batch in blocks(batches, "text"):
-            found = find_spans(dfa, batch.column("text"), rules)
+            found = find_spans(held, batch.column("text"), rules)
             rows = [[{"kind": rules[k].kind, "start_at": a, "end_at": b, "base": rules[k].base} for a, k, b in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, kind)], names=[id_col, "spans"])
 
