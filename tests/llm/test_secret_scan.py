@@ -11,7 +11,7 @@ from lacuna.llm import secret_scan
 from lacuna.llm.automaton import compile_rules, longest
 from lacuna.llm.common import table
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = "/root/testdata/sf0.01"
 NAMES = "password|passwd|secret|token|api_?key"
 PATTERNS = [
     ("assign", rf"(?ai)({NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
