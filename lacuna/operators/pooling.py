@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .regression import Linear, least_squares
+from ..functions.missing import is_missing
+from .checks import missing_counts
+from .regression import Design, Linear, design, irls, least_squares
 
 
 def rubin(betas: np.ndarray, variances: np.ndarray, dfcom: float = np.inf) -> dict[str, np.ndarray]:
@@ -54,25 +57,85 @@ def percent_bias(q_bar, q) -> np.ndarray:
     return 100 * np.abs(a - b) / b
 
 
-class MiLinearRegression:
-    """Least squares on each imputed table; each fit is two aggregates over it."""
+class _Pooled:
+    """What pooled regressions share: terms, summary, and the guard of predictions."""
+
+    design_: Design
 
     def __init__(self, imputer):
         self.imputer = imputer
 
-    def fit(self, df: DataFrame, target: str, names: list[str]) -> MiLinearRegression:
-        self.models_: list[Linear] = [least_squares(d, target, names) for d in self.imputer.fit(df).each(df)]
-        var = np.array([np.diag(m.cov) * m.mse * m.n / max(1, m.n - len(m.beta)) for m in self.models_])
-        first = self.models_[0]
-        self.statistics_ = rubin(np.array([m.beta for m in self.models_]), var, first.n - len(first.beta))
-        self.terms_ = ["const", *[c if v is None else f"{c}_{v}" for c, v in self.models_[0].design.terms]]
-        return self
+    def _pool(self, plan: Design, betas: list[np.ndarray], variances: list[np.ndarray], dfcom: float) -> None:
+        self.design_ = plan
+        self.statistics_ = rubin(np.array(betas), np.array(variances), dfcom)
+        self.terms_ = ["const", *[c if v is None else f"{c}_{v}" for c, v in plan.terms]]
 
     def summary(self, spark) -> DataFrame:
+        self._fitted()
         s = self.statistics_
         names = ("coefs", "std", "vw", "vb", "vt", "dfcom", "dfadj", "lambda_", "riv", "fmi", "eff")
         rows = [(t, *[float(s[k][i]) for k in names]) for i, t in enumerate(self.terms_)]
         return spark.createDataFrame(rows, "term string, " + ", ".join(f"{k.rstrip('_')} double" for k in names))
 
+    def _fitted(self) -> None:
+        if not hasattr(self, "statistics_"):
+            raise ValueError("fit comes first")
+
+    def _score(self, df: DataFrame) -> Column:
+        """The pooled linear predictor; absent predictors and missing cells in them are errors."""
+        self._fitted()
+        names = sorted({c for c, _ in self.design_.terms})
+        lost = set(names) - set(df.columns)
+        if lost:
+            raise ValueError(f"predictors are absent: {sorted(lost)}")
+        gaps = {c: n for c, n in missing_counts(df.select(*[f"`{c}`" for c in names])).items() if c and n}
+        if gaps:
+            raise ValueError(f"predictors have missing cells: {gaps}")
+        beta = self.statistics_["coefs"]
+        return Linear(self.design_, beta, np.zeros((len(beta),) * 2), 0.0, 0).predict(df)
+
+
+class MiLinearRegression(_Pooled):
+    """Least squares on each imputed table; each fit is two aggregates over it."""
+
+    def fit(self, df: DataFrame, target: str, names: list[str]) -> MiLinearRegression:
+        self.models_: list[Linear] = [least_squares(d, target, names) for d in self.imputer.fit(df).each(df)]
+        var = [np.diag(m.cov) * m.mse * m.n / max(1, m.n - len(m.beta)) for m in self.models_]
+        first = self.models_[0]
+        self._pool(first.design, [m.beta for m in self.models_], var, first.n - len(first.beta))
+        return self
+
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        return df.withColumn(name, self.models_[0].predict(df, self.statistics_["coefs"]))
+        return df.withColumn(name, self._score(df))
+
+
+class MiLogisticRegression(_Pooled):
+    """Logistic regression on each imputed table; a step of all fits is one aggregate, grouped by imp_num."""
+
+    def fit(self, df: DataFrame, target: str, names: list[str]) -> MiLogisticRegression:
+        long = self.imputer.fit(df).transform(df)
+        full = long.where(~is_missing(long, target))
+        for c in names:
+            full = full.where(~is_missing(long, c))
+        self.levels_ = [r[0] for r in full.select(target).distinct().orderBy(target).limit(3).collect()]
+        if len(self.levels_) != 2:
+            raise ValueError(f"{target} needs two values")
+        plan = design(df, names)
+        cols = plan.columns(full)
+        y = (F.col(f"`{target}`") == F.lit(self.levels_[1])).cast("double")
+        flat = full.select(F.col("imp_num").alias("g"), y.alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(cols)]).persist()
+        try:
+            fits = irls(flat, len(cols), list(range(1, self.imputer.n + 1)))
+        finally:
+            flat.unpersist()
+        done = [fits[g] for g in sorted(fits)]
+        self._pool(plan, [b for b, _, _ in done], [np.diag(c) for _, c, _ in done], done[0][2] - len(cols))
+        return self
+
+    def predict_proba(self, df: DataFrame, name: str = "probability") -> DataFrame:
+        """The chance of the larger value of the target."""
+        return df.withColumn(name, 1 / (1 + F.exp(-self._score(df))))
+
+    def predict(self, df: DataFrame, threshold: float = 0.5, name: str = "prediction") -> DataFrame:
+        p = 1 / (1 + F.exp(-self._score(df)))
+        return df.withColumn(name, F.when(p >= threshold, F.lit(self.levels_[1])).otherwise(F.lit(self.levels_[0])))

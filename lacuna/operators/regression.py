@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing, is_numeric, normal, observed, uniform
 
-STRATEGIES = ("least squares", "stochastic", "bayesian least squares", "pmm", "lrd", "binary logistic", "multinomial logistic", "default predictive")
+STRATEGIES = ("least squares", "stochastic", "bayesian least squares", "pmm", "lrd", "binary logistic", "bayesian binary logistic", "multinomial logistic", "default predictive")
 #: Distinct strings of a predictor that become 0/1 columns; more is an error.
 LEVELS = 256
 
@@ -98,6 +98,46 @@ def least_squares(df: DataFrame, target: str, names: list[str]) -> Linear:
     return Linear(plan, shift, move @ inverse @ move.T, sse / n, n)
 
 
+def irls(flat: DataFrame, k: int, groups: list[int], ridge: float = 0.0, rounds: int = 50, tol: float = 1e-9) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
+    """Logistic regressions of y (0 or 1) on x0 (all 1) to x<k - 1>, one for each value of ``g``: coefficients, covariance, rows.
+
+    Newton's steps; each is one aggregate over the table for all groups at
+    once, and only k * k sums of each group reach the driver. ``ridge`` is the
+    precision of a normal prior of the standardised slopes. Without it, classes
+    that a plane separates have no finite solution; steps end after ``rounds``.
+    """
+    first = flat.agg(*[F.avg(f"x{i}") for i in range(1, k)], *[F.stddev_pop(f"x{i}") for i in range(1, k)], F.count(F.lit(1))).first()
+    if not first[-1]:
+        raise ValueError("no complete row to fit")
+    mid, sd = np.array(first[: k - 1], float), np.array([v or 1.0 for v in first[k - 1 : 2 * k - 2]], float)
+    x = [F.lit(1.0), *[(F.col(f"x{i}") - float(mid[i - 1])) / float(sd[i - 1]) for i in range(1, k)]]
+    beta = {g: np.zeros(k) for g in groups}
+    prior = ridge * np.diag([0.0, *[1.0] * (k - 1)])
+    upper = np.triu_indices(k)
+    for _ in range(rounds):
+        eta = F.lit(0.0)
+        for i in range(k):
+            at = F.create_map(*[F.lit(v) for g in groups for v in (g, float(beta[g][i]))])
+            eta = eta + F.element_at(at, F.col("g")) * x[i]
+        known = flat.select("g", "y", *[c.alias(f"z{i}") for i, c in enumerate(x)], (1 / (1 + F.exp(-eta))).alias("p"))
+        w = F.col("p") * (1 - F.col("p"))
+        sums = known.groupBy("g").agg(F.count(F.lit(1)), *[F.sum((F.col("y") - F.col("p")) * F.col(f"z{i}")) for i in range(k)], *[F.sum(w * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in zip(*upper)])
+        out, far = {}, 0.0
+        for r in sums.collect():
+            h = np.zeros((k, k))
+            h[upper] = r[2 + k :]
+            inverse = np.linalg.pinv(h + np.triu(h, 1).T + prior, rcond=1e-12, hermitian=True)
+            step = inverse @ (np.array(r[2 : 2 + k], float) - prior @ beta[r[0]])
+            out[r[0]] = (beta[r[0]], inverse, r[1])
+            beta[r[0]] = beta[r[0]] + step
+            far = max(far, float(np.abs(step).max()))
+        if far < tol:
+            break
+    back = np.diag([1.0, *(1 / sd)])
+    back[0, 1:] = -mid / sd
+    return {g: (back @ beta[g], back @ cov @ back.T, n) for g, (_, cov, n) in out.items()}
+
+
 def draw(model: Linear, seed: int) -> np.ndarray:
     """A draw of the coefficients from their posterior under flat priors."""
     rng = np.random.default_rng(seed)
@@ -157,12 +197,13 @@ def donors(df: DataFrame, target: str, model: Linear, beta: np.ndarray, key: lis
     return marked.where("NOT __mis").select(*[f"`{c}`" for c in df.columns]).unionByName(done.select(*cells))
 
 
-def fill(df: DataFrame, target: str, strategy: str, names: list[str], key: list[str], seed: int = 0, source: DataFrame | None = None, neighbors: int = 5, fill_value: str | None = None) -> DataFrame:
+def fill(df: DataFrame, target: str, strategy: str, names: list[str], key: list[str], seed: int = 0, source: DataFrame | None = None, neighbors: int = 5, fill_value: str | None = None, thresh: float = 0.5) -> DataFrame:
     """Missing cells of ``target`` by the strategy, fitted on ``source`` (df itself, unless given).
 
     fill_value: "mean" or "random". For Bayesian least squares the mean of the
     posterior, unless said otherwise, or a draw of the coefficients; for pmm and
     lrd the mean of the ``neighbors`` donors or, unless said otherwise, one of them.
+    thresh: the chance above which Bayesian logistic regression gives the larger value.
     """
     source = df if source is None else source
     if fill_value not in (None, "mean", "random"):
@@ -171,6 +212,8 @@ def fill(df: DataFrame, target: str, strategy: str, names: list[str], key: list[
         raise ValueError("neighbors is at least 1")
     if strategy == "default predictive":
         strategy = "pmm" if is_numeric(df, target) else "multinomial logistic"
+    if strategy == "bayesian binary logistic":
+        return _bayesian_logistic(df, target, names, source, seed, fill_value or "mean", thresh)
     if strategy.endswith("logistic"):
         return _logistic(df, target, strategy, names, source)
     if not is_numeric(df, target):
@@ -184,6 +227,29 @@ def fill(df: DataFrame, target: str, strategy: str, names: list[str], key: list[
     return df.withColumn(target, F.when(is_missing(df, target), v).otherwise(F.col(f"`{target}`")))
 
 
+def _bayesian_logistic(df: DataFrame, target: str, names: list[str], source: DataFrame, seed: int, fill_value: str, thresh: float) -> DataFrame:
+    """The posterior of the coefficients is taken to be normal about its mode, under a standard normal prior of standardised slopes.
+
+    "mean": chances are those at the mode; "random": at a draw of the coefficients.
+    """
+    full = source.where(~is_missing(source, target))
+    for c in names:
+        full = full.where(~is_missing(source, c))
+    levels = [r[0] for r in full.select(target).distinct().orderBy(target).limit(3).collect()]
+    if len(levels) not in (1, 2):
+        raise ValueError(f"bayesian binary logistic can't take {len(levels)} categories of {target}")
+    if len(levels) == 1:
+        return df.withColumn(target, F.coalesce(observed(df, target), F.lit(levels[0])))
+    plan = design(source, names)
+    cols = plan.columns(full)
+    flat = full.select(F.lit(0).alias("g"), (F.col(f"`{target}`") == F.lit(levels[1])).cast("double").alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(cols)])
+    beta, cov, n = irls(flat, len(cols), [0], ridge=1.0)[0]
+    if fill_value == "random":
+        beta = np.random.default_rng(seed).multivariate_normal(beta, cov, method="eigh")
+    p = 1 / (1 + F.exp(-Linear(plan, beta, cov, 0.0, n).predict(df)))
+    return df.withColumn(target, F.when(is_missing(df, target), F.when(p > thresh, F.lit(levels[1])).otherwise(F.lit(levels[0]))).otherwise(F.col(f"`{target}`")))
+
+
 def _logistic(df: DataFrame, target: str, strategy: str, names: list[str], source: DataFrame) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector

@@ -267,7 +267,8 @@ def fill(df: DataFrame, column: str, strategy: str, order: list[str], partition:
     if strategy == "default time":
         if is_numeric(df, column):
             return interpolate(df, column, order, partition, **kwargs)
-        from .univariate import mode_of
+        from . import univariate
 
-        return df.withColumn(column, F.when(is_missing(df, column), F.lit(mode_of(df, column))).otherwise(F.col(column)))
+        params = univariate.fit(df, {column: "default univariate"})  # one of the most frequent values, drawn for each cell
+        return univariate.fill(df, params, df, 0, [*partition, *order])
     return {"locf": locf, "nocb": nocb, "interpolate": interpolate}[strategy](df, column, order, partition, **kwargs)

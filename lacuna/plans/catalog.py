@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import checks, patterns, regression, temporal, univariate
+from ..operators import checks, patterns, plots, regression, temporal, univariate
 from ..operators.imputers import MissingnessClassifier, MiceImputer, MultipleImputer, SingleImputer
-from ..operators.pooling import MiLinearRegression
+from ..operators.pooling import MiLinearRegression, MiLogisticRegression, percent_bias, raw_bias
 from ..sources.masked import masked, masked_sql
 
 ORDERS = ["o_totalprice", "o_orderstatus", "o_orderpriority"]
@@ -69,6 +69,29 @@ def _pooled(spark, d: str) -> DataFrame:
     return MiLinearRegression(mi).fit(_numeric(spark, d), "o_totalprice", ["o_custkey"]).summary(spark)
 
 
+def _two_valued(spark, d: str) -> DataFrame:
+    return _orders(spark, d, "o_custkey").withColumn("o_orderstatus", F.expr("CASE WHEN o_orderstatus <> 'F' THEN 'other' ELSE o_orderstatus END"))
+
+
+def _pooled_logistic(spark, d: str) -> DataFrame:
+    mi = MultipleImputer(n=3, strategy={"o_totalprice": "stochastic", "o_orderstatus": "categorical"}, predictors={"o_totalprice": ["o_custkey"]}, key=["o_orderkey"], seed=3)
+    df = _two_valued(spark, d).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return MiLogisticRegression(mi).fit(df, "o_orderstatus", ["o_totalprice", "o_custkey"]).summary(spark)
+
+
+def _means(cls=MultipleImputer, **kw):
+    return cls(strategy={"o_totalprice": "mean"}, key=["o_orderkey"], **kw)
+
+
+def _bias(spark, d: str) -> DataFrame:
+    """Of a regression on mean-filled cells, against that on the complete table."""
+    model = MiLinearRegression(_means(n=2)).fit(_numeric(spark, d), "o_totalprice", ["o_custkey"])
+    true = regression.least_squares(spark.read.parquet(f"{d}/orders.parquet"), "o_totalprice", ["o_custkey"]).beta
+    pooled = model.statistics_["coefs"]
+    rows = [(t, float(a), float(b)) for t, a, b in zip(model.terms_, raw_bias(pooled, true), percent_bias(pooled, true))]
+    return _rounded(_rounded(spark.createDataFrame(rows, "term string, raw_bias double, percent_bias double"), "raw_bias", digits=4), "percent_bias", digits=5)
+
+
 QUERIES = {
     "flux": lambda s, d: _rounded(patterns.flux(_cells(s, d)), "pobs", "influx", "outflux", "ainb", "aout"),
     "md_pairs": lambda s, d: patterns.md_pairs(_cells(s, d)),
@@ -104,6 +127,17 @@ QUERIES = {
     "multiple_imputation": _multiple(MultipleImputer),
     "mice": _multiple(MiceImputer, k=2),
     "pooled_regression": _pooled,
+    "pooled_logistic": _pooled_logistic,
+    "bayesian_binary_logistic": lambda s, d: regression.fill(_two_valued(s, d), "o_orderstatus", "bayesian binary logistic", ["o_totalprice"], ["o_orderkey"]),
+    "bias": _bias,
+    "influx": lambda s, d: _rounded(patterns.influx(_cells(s, d)), "influx"),
+    "outflux": lambda s, d: _rounded(patterns.outflux(_cells(s, d)), "outflux"),
+    "plot_percent": lambda s, d: _rounded(plots.percent(_cells(s, d)), "percent"),
+    "plot_distances": lambda s, d: _rounded(plots.distances(_cells(s, d)), "distance"),
+    "plot_scatter": lambda s, d: _rounded(plots.scatter(_numeric(s, d), _means(SingleImputer), "o_custkey", "o_totalprice"), "y", digits=4),
+    "plot_melted": lambda s, d: _rounded(plots.melted(_numeric(s, d), _means(n=2), "o_totalprice"), "value", digits=4),
+    "plot_histogram": lambda s, d: _rounded(plots.histogram(_numeric(s, d), _means(n=2), "o_totalprice"), "low", "high", digits=4),
+    "plot_boxplots": lambda s, d: _rounded(plots.boxplots(_numeric(s, d), _means(n=2), "o_totalprice"), "min", "q1", "median", "q3", "max", digits=4),
     "missingness_classifier": lambda s, d: MissingnessClassifier(key=["o_orderkey"]).fit(_orders(s, d)).predict(_orders(s, d)),
 }
 
@@ -147,5 +181,18 @@ ORACLE_SQL = {
     "interpolate_time": _LERP.format(at="CAST(EPOCH_US(ts) AS DOUBLE)"),
     "least_squares": f"{_N} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, (SELECT REGR_INTERCEPT(o_totalprice, o_custkey) FROM t) + (SELECT REGR_SLOPE(o_totalprice, o_custkey) FROM t) * o_custkey), 4) AS o_totalprice FROM t",
 }
+_FILLED = _N + ", a AS (SELECT AVG(o_totalprice) AS m FROM t), s AS (SELECT o_custkey, COALESCE(o_totalprice, m) AS value, o_totalprice IS NULL AS imputed FROM t, a), v AS (SELECT UNNEST([1, 2]) AS imp_num), l AS (SELECT 0 AS imp_num, value FROM s WHERE NOT imputed UNION ALL SELECT imp_num, value FROM s, v)"
+_FITS = ", r AS (SELECT REGR_INTERCEPT(value, o_custkey) AS i, REGR_SLOPE(value, o_custkey) AS s FROM s), o AS (SELECT REGR_INTERCEPT(o_totalprice, o_custkey) AS i, REGR_SLOPE(o_totalprice, o_custkey) AS s FROM orders), b AS (SELECT 'const' AS term, r.i AS a, o.i AS b FROM r, o UNION ALL SELECT 'o_custkey', r.s, o.s FROM r, o)"
+ORACLE_SQL |= {
+    "influx": f"{_O}{_LONG}, f AS ({_FLUX}) SELECT \"column\", influx FROM f",
+    "outflux": f"{_O}{_LONG}, f AS ({_FLUX}) SELECT \"column\", outflux FROM f",
+    "plot_percent": f"{_O}{_LONG} SELECT var_j AS \"column\", mm AS n_missing, ROUND(100.0 * mm / (rr + mm), 8) AS percent FROM p WHERE var_j = var_k",
+    "plot_distances": f"{_O}{_LONG} SELECT var_j, var_k, ROUND(SQRT(rm + mr), 8) AS distance FROM p",
+    "plot_scatter": f"{_FILLED} SELECT o_custkey AS x, ROUND(value, 4) AS y, imputed FROM s",
+    "plot_melted": f"{_FILLED} SELECT imp_num, ROUND(value, 4) AS value, imputed FROM s, v",
+    "plot_histogram": f"{_FILLED}, e AS (SELECT MIN(value) AS lo, (MAX(value) - MIN(value)) / 50 AS w FROM l), g AS (SELECT imp_num, CAST(LEAST(FLOOR((value - lo) / w), 49) AS INTEGER) AS bin, COUNT(*) AS count FROM l, e GROUP BY ALL) SELECT imp_num, bin, ROUND(lo + w * bin, 4) AS low, ROUND(lo + w * (bin + 1), 4) AS high, count FROM g, e",
+    "plot_boxplots": f"{_FILLED} SELECT imp_num, COUNT(value) AS count, ROUND(MIN(value), 4) AS min, ROUND(QUANTILE_CONT(value, 0.25), 4) AS q1, ROUND(MEDIAN(value), 4) AS median, ROUND(QUANTILE_CONT(value, 0.75), 4) AS q3, ROUND(MAX(value), 4) AS max FROM l GROUP BY imp_num",
+    "bias": f"{_FILLED}{_FITS} SELECT term, ROUND(a - b, 4) AS raw_bias, ROUND(100 * ABS(a - b) / b, 5) AS percent_bias FROM b",
+}
 # its mean under flat priors is the least squares solution
 ORACLE_SQL["bayesian_least_squares"] = ORACLE_SQL["least_squares"]
