@@ -7,7 +7,8 @@ are computed again in double precision and pushed on the query's heap. A task
 emits each query's heap once; a ranking merges the heaps. The result is exact.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components
-take no part; vectors of different lengths are never paired; equal scores go by
+take no part; a product beyond the range of doubles is infinite, and one of
+which parts are infinite either way counts as -inf; vectors of different lengths are never paired; equal scores go by
 smaller id; of query rows with one id the first counts; candidates with one id
 each count; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,24 +34,39 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & fine & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, of any finite components: neither squares that overflow nor such that vanish."""
+    top = np.abs(rows).max(axis=1)
+    unit = np.where(top > 0, top, 1.0)
+    return top * np.sqrt(((rows / unit[:, None]) ** 2).sum(axis=1))
+
+
 class Rounded:
     """int8 rows with their scale, length, and the length of what rounding left."""
 
     def __init__(self, rows: np.ndarray):
         self.exact = rows.astype(np.float64)
-        self.scale = np.abs(self.exact).max(axis=1) / 127
+        # of smaller vectors all codes are 0, and all of them is what rounding left
+        self.scale = np.maximum(np.abs(self.exact).max(axis=1) / 127, 1e-300)
         self.codes = np.rint(self.exact / self.scale[:, None]).astype(np.int8)
         back = self.codes * self.scale[:, None]
-        self.norm = np.sqrt((back**2).sum(axis=1))
-        self.left = np.sqrt(((self.exact - back) ** 2).sum(axis=1)) * (1 + 1e-9)
+        with np.errstate(over="ignore"):
+            self.norm = lengths(back)
+            self.left = lengths(self.exact - back) * (1 + 1e-9)
 
 
 def tile(q: Rounded, a: int, b: int, c: Rounded) -> tuple[np.ndarray, np.ndarray]:
     """Products of queries a..b with rows, and how far they may be off. float32 holds the integer sums exactly up to 1,000 dimensions."""
     kind = np.float32 if q.codes.shape[1] <= 1000 else np.float64
     near = (q.codes[a:b].astype(kind) @ c.codes.T.astype(kind)).astype(np.float64)
-    near *= q.scale[a:b, None] * c.scale[None, :]
-    off = q.left[a:b, None] * (c.norm + c.left)[None, :] + q.norm[a:b, None] * c.left[None, :] + 1e-12
+    with np.errstate(over="ignore", invalid="ignore"):
+        near *= q.scale[a:b, None] * c.scale[None, :]
+        off = q.left[a:b, None] * (c.norm + c.left)[None, :] + q.norm[a:b, None] * c.left[None, :] + 1e-12
+        # sums in double precision are rounded too
+        off += 1e-12 * q.norm[a:b, None] * c.norm[None, :]
+        unknown = ~(np.isfinite(near) & np.isfinite(off))
+    # beyond the range of doubles nothing is known of a pair but by its exact product
+    near[unknown], off[unknown] = 0.0, np.inf
     return near, off
 
 
@@ -107,7 +123,9 @@ def push(q: Rounded, qid: np.ndarray, heaps: list[list], a: int, b: int, c: Roun
     i, j = np.nonzero((near + off >= floor[:, None]) & ~own)
     if not len(i):
         return
-    exact = np.einsum("ij,ij->i", q.exact[a + i], c.exact[j])
+    with np.errstate(over="ignore", invalid="ignore"):
+        exact = np.einsum("ij,ij->i", q.exact[a + i], c.exact[j])
+    exact[np.isnan(exact)] = -np.inf
     order = np.lexsort((ids[j], -exact, i))
     i, j, exact = i[order], j[order], exact[order]
     first = np.searchsorted(i, i)
