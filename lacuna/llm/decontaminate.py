@@ -28,7 +28,7 @@ from .common import blocks, ranges
 
 WINDOW = 10
 #: Text bytes of a shard, and of test items that one index search takes.
-SHARD_BYTES, ITEM_BYTES = 8 << 20, 16 << 20
+SHARD_BYTES, ITEM_BYTES = 8 << 20, 8 << 20
 SAMPLE = 8
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -121,27 +121,40 @@ class FMIndex:
 
 
 class Windows:
-    """Distinct windows of test items as symbol rows, and the items that have each."""
+    """Distinct windows of test items as symbol rows, and the numbers of the items that have each, end to end.
+
+    All in arrays: about 50 bytes a window, and a dictionary of the distinct words.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], width: int = WINDOW):
         self.vocab: dict[str, int] = {}
-        found: dict[tuple[int, ...], set] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + width]), set()).update([] if item is None else [str(item)])
-        self.items = [sorted(v) for v in found.values()]
-        self.length = np.array([len(k) for k in found], np.int64)
-        self.pattern = np.zeros((len(found), width), np.int64)
-        for i, k in enumerate(found):
-            self.pattern[i, width - len(k) :] = k
-        self.least = int(self.length.min()) if found else 0
+        number = self.vocab.setdefault
+        held = [np.array([number(w, len(self.vocab) + 1) for w in words(text)], np.int32) for _, text in items]
+        sizes = np.array([len(h) for h in held], np.int64)
+        count = np.where(sizes > 0, np.maximum(1, sizes - width + 1), 0)
+        # a text shorter than a window stands at its right end, after zeros
+        flat = np.concatenate([np.zeros(width, np.int32), *[part for h in held for part in (np.zeros(max(0, width - len(h)), np.int32) if len(h) else h, h)]])
+        pad = np.where(sizes > 0, np.maximum(0, width - sizes), 0)
+        begin = width + np.cumsum(pad + sizes) - (pad + sizes)
+        rows = np.lib.stride_tricks.sliding_window_view(flat, width)[ranges(begin, count)]
+        pattern, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.pattern, self.length = pattern, (pattern > 0).sum(axis=1)
+        self.least = int(self.length.min()) if len(pattern) else 0
+        named = np.array([item is not None for item, _ in items], bool)
+        owner = np.repeat(np.arange(len(items)), count)
+        pairs = np.unique(which.ravel()[named[owner]] * max(1, len(items)) + owner[named[owner]])
+        self.owner = pairs % max(1, len(items))
+        self.cut = np.searchsorted(pairs // max(1, len(items)), np.arange(len(pattern) + 1))
+        self.names = [str(item) for item, _ in items]
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.cut[window] : self.cut[window + 1]].tolist()]
 
 
 def shard_hits(texts: list[list[str]], windows: Windows) -> tuple[list[np.ndarray], list[set]]:
     """For each document the sorted positions of its hit words and the items that occur."""
     none = [np.zeros(0, np.int64)] * len(texts), [set() for _ in texts]
-    if not windows.items:
+    if not len(windows.pattern):
         return none
     sizes = np.array([len(t) for t in texts], np.int64)
     get = windows.vocab.get
@@ -171,7 +184,7 @@ def shard_hits(texts: list[list[str]], windows: Windows) -> tuple[list[np.ndarra
     hits = [hit[cut[i] : cut[i + 1]] - first[i] for i in range(len(texts))]
     items: list[set] = [set() for _ in texts]
     for key in np.unique(doc_of[start] * len(lo) + which):
-        items[key // len(lo)].update(windows.items[key % len(lo)])
+        items[key // len(lo)].update(windows.items(key % len(lo)))
     return hits, items
 
 
