@@ -24,9 +24,20 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType))
 
 
+def digest(*parts: Column) -> Column:
+    """The first 52 bits of the md5 of the parts' texts, joined by |: a long that any SQL engine with md5 can recompute."""
+    texts = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 13), 16, 10).cast("long")
+
+
+def drawn(seed: int, salt: str, *key: str) -> Column:
+    """A whole number in [0, 2^52) that depends on the row's key, not on how rows are partitioned."""
+    return digest(F.lit(str(seed)), F.lit(salt), *[F.col(k) for k in key])
+
+
 def uniform(seed: int, salt: str, *key: str) -> Column:
-    """A number in (0, 1) that depends on the row's key, not on how rows are partitioned."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    """A number in (0, 1), by the same rule."""
+    return (drawn(seed, salt, *key).cast("double") + 0.5) / float(1 << 52)
 
 
 def normal(seed: int, salt: str, *key: str) -> Column:

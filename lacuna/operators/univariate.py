@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_missing, is_numeric, normal, observed
+from ..functions.missing import digest, drawn, is_missing, is_numeric, normal, observed
 
 NUMERIC = ("mean", "median", "norm", "normal unit variance")
 BY_COUNTS = ("mode", "random", "categorical")
@@ -87,15 +87,18 @@ def fit(df: DataFrame, plan: dict[str, str], kwargs: dict[str, dict] | None = No
 def _pick(df: DataFrame, column: str, strategy: str, seed: int, key: list[str], source: DataFrame) -> DataFrame:
     """Fill by a draw among distinct values ('random': each alike; 'mode': the most frequent alike; else by frequency).
 
-    Each value has a range of [0, total) as long as its weight. Sums of hashed
-    buckets go to the driver, and each bucket adds up its own values. A row
+    Each value has a range of [0, total) as long as its weight; values lie in
+    the order of a hash. Buckets are runs of this order: their sums go to the
+    driver, and each adds up its own values, so that neither their number nor
+    how rows are partitioned changes a draw. A row
     draws a whole number below total and meets the ranges of its cell by an
     equi-join; with a quarter of the mean weight as a cell, a draw compares
     with 5/4 ranges on average.
     """
     weights = modes(source, column) if strategy == "mode" else value_counts(source, column)
     buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weights = weights.select("value", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int").alias("part"), (F.col("n") if strategy == "categorical" else F.lit(1)).cast("long").alias("w"))
+    weights = weights.withColumn("h", digest(F.col("value")))
+    weights = weights.select("value", "h", F.shiftright(F.shiftright("h", 12) * F.lit(buckets).cast("long"), 40).cast("int").alias("part"), (F.col("n") if strategy == "categorical" else F.lit(1)).cast("long").alias("w"))
     sums = {r[0]: r[1:] for r in weights.groupBy("part").agg(F.sum("w"), F.count(F.lit(1))).collect()}
     if not sums:
         raise ValueError(f"all values missing in {column}")
@@ -105,11 +108,11 @@ def _pick(df: DataFrame, column: str, strategy: str, seed: int, key: list[str],
         total += sums.get(i, (0, 0))[0]
     values = sum(n for _, n in sums.values())
     cell = max(1, total // (4 * values))
-    lo = F.get(F.from_json(F.lit(str(starts)), "array<bigint>"), F.col("part")) + F.sum("w").over(W.partitionBy("part").orderBy("value")) - F.col("w")
+    lo = F.get(F.from_json(F.lit(str(starts)), "array<bigint>"), F.col("part")) + F.sum("w").over(W.partitionBy("part").orderBy("h", "value")) - F.col("w")
     ranged = weights.withColumn("lo", lo).withColumn("hi", F.col("lo") + F.col("w"))
     whole = lambda c: F.expr(f"{c} div {cell}")
     ranged = ranged.select("value", "lo", "hi", F.explode(F.sequence(whole("lo"), whole("(hi - 1)"))).alias("__cell"))
-    draw = F.when(is_missing(df, column), F.pmod(F.xxhash64(F.lit(seed), F.lit(column), *key), F.lit(total)))
+    draw = F.when(is_missing(df, column), F.pmod(drawn(seed, column, *key), F.lit(total)))
     marked = df.withColumn("__u", draw).withColumn("__b", whole("__u"))
     gaps = marked.where("__u IS NOT NULL").join(F.broadcast(ranged) if values <= SMALL else ranged, (F.col("__b") == F.col("__cell")) & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")), "left")
     cells = [F.col("value").alias(c) if c == column else F.col(f"`{c}`") for c in df.columns]

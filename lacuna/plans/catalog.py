@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from random import Random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +47,10 @@ def _numeric(spark, d: str) -> DataFrame:
     return _orders(spark, d, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-def _regress(strategy: str):
+def _regress(strategy: str, digits: int = 4):
     def run(spark, d: str) -> DataFrame:
         out = regression.fill(_numeric(spark, d), "o_totalprice", strategy, ["o_custkey"], ["o_orderkey"], 7)
-        return _rounded(out.select("o_orderkey", "o_totalprice"), "o_totalprice", digits=4)
+        return _rounded(out.select("o_orderkey", "o_totalprice"), "o_totalprice", digits=digits)
 
     return run
 
@@ -59,7 +61,8 @@ def _mixed(strategy: str, target: str):
 
 def _multiple(cls, **kw):
     def run(spark, d: str) -> DataFrame:
-        return cls(n=3, strategy={"o_totalprice": "stochastic"}, predictors={"o_totalprice": ["o_custkey"]}, key=["o_orderkey"], seed=3, **kw).fit_transform(_numeric(spark, d))
+        out = cls(n=3, strategy={"o_totalprice": "stochastic"}, predictors={"o_totalprice": ["o_custkey"]}, key=["o_orderkey"], seed=3, **kw).fit_transform(_numeric(spark, d))
+        return _rounded(out, "o_totalprice", digits=2)
 
     return run
 
@@ -108,9 +111,9 @@ QUERIES = {
     "impute_mode": _impute({"o_orderstatus": "mode", "o_orderpriority": "mode"}),
     "impute_random": _impute({"o_orderpriority": "random"}, seed=1),
     "impute_categorical": _impute({"o_orderstatus": "categorical"}, seed=1),
-    "impute_norm": _impute({"o_totalprice": "norm"}, seed=1),
-    "impute_norm_unit": _impute({"o_totalprice": "normal unit variance"}, seed=1),
-    "impute_default_univariate": _impute({"o_totalprice": "default univariate", "o_orderstatus": "default univariate"}),
+    "impute_norm": lambda s, d: _rounded(_impute({"o_totalprice": "norm"}, seed=1)(s, d), "o_totalprice", digits=2),
+    "impute_norm_unit": lambda s, d: _rounded(_impute({"o_totalprice": "normal unit variance"}, seed=1)(s, d), "o_totalprice", digits=2),
+    "impute_default_univariate": lambda s, d: _rounded(_impute({"o_totalprice": "default univariate", "o_orderstatus": "default univariate"})(s, d), "o_totalprice", digits=4),
     "locf": _series(temporal.locf),
     "nocb": _series(temporal.nocb),
     "locf_mean": _series(temporal.locf, start="mean"),
@@ -118,7 +121,7 @@ QUERIES = {
     "interpolate_time": _series(temporal.interpolate, method="time"),
     "interpolate_cubic": _series(temporal.interpolate, method="cubic"),
     "least_squares": _regress("least squares"),
-    "stochastic": _regress("stochastic"),
+    "stochastic": _regress("stochastic", digits=2),
     "bayesian_least_squares": _regress("bayesian least squares"),
     "pmm": _regress("pmm"),
     "lrd": _regress("lrd"),
@@ -196,3 +199,47 @@ ORACLE_SQL |= {
 }
 # its mean under flat priors is the least squares solution
 ORACLE_SQL["bayesian_least_squares"] = ORACLE_SQL["least_squares"]
+
+
+def _drawn_sql(seed: int, salt: str, key: str = "o_orderkey") -> str:
+    return f"CAST('0x' || SUBSTR(MD5('{seed}|{salt}|' || {key}), 1, 13) AS BIGINT)"
+
+
+def _normal_sql(seed: int, salt: str) -> str:
+    r, a = [f"((CAST({_drawn_sql(seed, salt + x)} AS DOUBLE) + 0.5) / CAST({1 << 52} AS DOUBLE))" for x in ("/r", "/a")]
+    return f"SQRT(-2 * LN({r})) * COS(2 * PI() * {a})"
+
+
+def _pick_sql(column: str, seed: int, weight: str, tied: bool = False) -> str:
+    """``t`` with ``column`` filled as filled_<column>: values lie in the order of their md5, each as long as its weight."""
+    most = "WHERE n = (SELECT MAX(n) FROM c)" if tied else ""
+    return (
+        f"c AS (SELECT {column} AS value, COUNT(*) AS n FROM t WHERE {column} IS NOT NULL GROUP BY {column}), w AS (SELECT value, {weight} AS w, SUBSTR(MD5(value), 1, 13) AS h FROM c {most}), "
+        f"r AS (SELECT value, SUM(w) OVER (ORDER BY h, value) - w AS lo, SUM(w) OVER (ORDER BY h, value) AS hi FROM w), "
+        f"f AS (SELECT t.*, COALESCE({column}, r.value) AS filled_{column} FROM (SELECT *, {_drawn_sql(seed, column)} % (SELECT SUM(w) FROM w) AS u FROM t) t LEFT JOIN r ON {column} IS NULL AND u >= lo AND u < hi)"
+    )
+
+
+_STOCHASTIC = _N + ", g AS (SELECT REGR_INTERCEPT(o_totalprice, o_custkey) AS i, REGR_SLOPE(o_totalprice, o_custkey) AS s, SQRT((REGR_SYY(o_totalprice, o_custkey) - POWER(REGR_SXY(o_totalprice, o_custkey), 2) / REGR_SXX(o_totalprice, o_custkey)) / REGR_COUNT(o_totalprice, o_custkey)) AS sd FROM t) "
+
+
+def _stochastic_sql(seed: int, head: str = "o_orderkey") -> str:
+    return f"SELECT {head}, ROUND(COALESCE(o_totalprice, i + s * o_custkey + sd * {_normal_sql(seed, 'o_totalprice')}), 2) AS o_totalprice FROM t, g"
+
+
+def _imputations_sql(seeds: list[int]) -> str:
+    return _STOCHASTIC + " UNION ALL ".join(_stochastic_sql(x, f"CAST({i + 1} AS INTEGER) AS imp_num, o_orderkey, o_custkey") for i, x in enumerate(seeds))
+
+
+_SHARED = Random("1/o_totalprice").gauss(0, 1)
+ORACLE_SQL |= {
+    "impute_random": f"{_O}, {_pick_sql('o_orderpriority', 1, '1')} SELECT o_orderkey, filled_o_orderpriority AS o_orderpriority FROM f",
+    "impute_categorical": f"{_O}, {_pick_sql('o_orderstatus', 1, 'n')} SELECT o_orderkey, filled_o_orderstatus AS o_orderstatus FROM f",
+    "impute_default_univariate": f"{_O}, {_pick_sql('o_orderstatus', 0, '1', tied=True)} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, AVG(o_totalprice) OVER ()), 4) AS o_totalprice, filled_o_orderstatus AS o_orderstatus FROM f",
+    "impute_norm": f"{_O} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, AVG(o_totalprice) OVER () + STDDEV_SAMP(o_totalprice) OVER () * {_normal_sql(1, 'o_totalprice')}), 2) AS o_totalprice FROM t",
+    "impute_norm_unit": f"{_O} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, AVG(o_totalprice) OVER () + CAST('{_SHARED!r}' AS DOUBLE) / SQRT(COUNT(o_totalprice) OVER ()) + {_normal_sql(1, 'o_totalprice')}), 2) AS o_totalprice FROM t",
+    "stochastic": _STOCHASTIC + _stochastic_sql(7),
+    "multiple_imputation": _imputations_sql([4, 17, 30]),
+    # the second round fits on the same observed cells and draws anew
+    "mice": _imputations_sql([1004, 1017, 1030]),
+}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.operators import pooling, regression, temporal, univariate
+from lacuna.operators.imputers import SingleImputer
 from lacuna.plans.catalog import QUERIES
 
 
@@ -106,3 +107,18 @@ def test_nearest_donors_across_thin_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert {r.x: sorted(r.s) for r in rows} == {float(x): [2.0 * (x + d) for d in range(-2, 3)] for x in range(10, 21)} and sum(r.n for r in rows) == 49 * 11
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("v"), (F.col("id") % 40).cast("string"))).alias("s"), F.when(F.col("id") % 4 > 0, F.col("id") * 1.5).alias("x"))
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "4", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for s, x in (("categorical", "norm"), ("random", "random")):
+                done = SingleImputer({"s": s, "x": x}, key=["id"], seed=5).fit_transform(df.repartition(int(parts)))
+                # the fitted mean's last bit depends on the order of its sum
+                got.append(sorted((r.id, r.s, round(r.x, 6)) for r in done.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[2] == got[4] and got[1] == got[3] == got[5] and got[0] != got[1]
