@@ -1,14 +1,18 @@
 """PII surrogates with DataFrame functions only.
 
 Entities (addresses of mail, IP addresses, card and phone numbers, titled names)
-get a replacement that a key and the entity decide, so that equal entities stay
-equal everywhere. Replacements keep the format: digits stay digits, letters
-keep case and script, IP octets stay below 256, a card number that passes the
-Luhn check still does, and a name keeps its title and an ending of its gender.
-
-Collision check: distinct entities whose replacements coincide with each other,
-or with an entity of the corpus, are drawn again with a higher attempt, until
-none coincide. Only those few entities are joined back to their documents.
+get a replacement that a key and the entity decide. What counts as one entity is
+a unit: a mail address whatever its case, the ten national digits of a phone
+number and the digits of a card whatever their separators and country code, and
+each word of a name with its gender, so that "Mr. Karl Braun" and "Mr Braun"
+share a surname afterwards too. Each mention keeps its own format: separators,
+country code, case, title; letters keep their script (Latin, Cyrillic, Greek;
+others become Latin), IP octets stay below 256, a card number that passes the
+Luhn check still does, and words of a name are pronounceable and end by gender.
+
+Collision check: distinct units whose replacements coincide with each other, or
+with a unit of the corpus, are drawn again with a higher attempt, until none
+coincide. Only those few units are joined back to their documents.
 
 Cases: null texts stay null, empty texts empty; repeated rows get equal
 replacements; an empty table gives an empty result; other columns are kept, and
@@ -33,7 +37,9 @@ NAME = rf"(?<!\p{{L}})(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}
 CARD_ = CARD.replace("([ -]?)", "(?<sep>[ -]?)").replace(r"\1", r"\k<sep>")
 ANY = f"(?:{MAIL}|{IP}|{CARD_}|{PHONE}|{NAME})"
 KINDS = ("email", "ip", "card", "phone", "name")
-_SETS = (("[0-9]", "0123456789"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[А-Я]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"), ("[а-я]", "абвгдежзиклмнопрстуфхцчшэюя"), (r"\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\p{Ll}", "abcdefghijklmnopqrstuvwxyz"))
+_SETS = (("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"))
+#: Consonants, vowels and the endings of female and male names, by script; the last serves all others.
+SCRIPTS = ((r"\p{IsCyrillic}", "бвгджзклмнпрстфхцчш", "аеиоуэюя", "а", "о"), (r"\p{IsGreek}", "βγδζθκλμνξπρστφχψ", "αεηιουω", "α", "ο"), (r"\p{L}", "bcdfghjklmnprstvz", "aeiou", "a", "o"))
 
 
 def kind_of(e: Column) -> Column:
@@ -49,46 +55,97 @@ def _byte(h: Column, i: Column) -> Column:
     return F.conv(F.substr(h, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _pick(held: str, h: Column, i: Column) -> Column:
+    return F.substr(F.lit(held), (_byte(h, i) + _byte(h, i + 13) * 7) % len(held) + 1, F.lit(1))
+
+
+def _first(choices: list[tuple[Column, Column]], other: Column) -> Column:
+    out = F.when(*choices[0])
+    for c, v in choices[1:]:
+        out = out.when(c, v)
+    return out.otherwise(other)
+
+
 def _redrawn(text: Column, h: Column) -> Column:
-    """Each letter and digit by one of its own kind; what else there is stays."""
+    """Each digit and lower-case letter by one of its own kind; what else there is stays."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: _first([(c.rlike(f"^{p}$"), _pick(held, h, i)) for p, held in _SETS], c)), "")
+
+
+def _word(word: Column, h: Column, female: Column) -> Column:
+    """Consonants and vowels in turn, in the word's script, ending by gender."""
 
     def one(c: Column, i: Column) -> Column:
-        out = None
-        for pattern, held in _SETS:
-            pick = F.substr(F.lit(held), (_byte(h, i) + _byte(h, i + 13) * 7) % len(held) + 1, F.lit(1))
-            out = F.when(c.rlike(f"^{pattern}$"), pick) if out is None else out.when(c.rlike(f"^{pattern}$"), pick)
-        return out.otherwise(c)
+        drawn = _first([(c.rlike(f"^{p}$"), F.when(i % 2 == 0, _pick(hard, h, i)).otherwise(_pick(soft, h, i))) for p, hard, soft, _, _ in SCRIPTS], c)
+        return F.when(c.rlike(r"^\p{Lu}$"), F.upper(drawn)).otherwise(drawn)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    last = F.substring(word, -1, 1)
+    end = _first([(last.rlike(f"^{p}$"), F.when(female, f).otherwise(m)) for p, _, _, f, m in SCRIPTS], last)
+    return F.concat(F.array_join(F.transform(F.split(F.substr(word, F.lit(1), F.length(word) - 1), ""), one), ""), end)
 
 
 def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))), F.lit(0), lambda s, x: s + x)
 
 
-def surrogate(e: Column, key: str, attempt: Column) -> Column:
-    h = F.sha2(F.concat_ws("|", F.lit(key), attempt.cast("string"), e), 256)
+def _digits(e: Column) -> Column:
+    return F.regexp_replace(e, r"\D", "")
+
+
+def _words(e: Column) -> Column:
+    """The words of a titled name, as units."""
+    gender = F.when(e.rlike(rf"^(?:{TITLES_F})\.? "), "f|").otherwise("m|")
+    return F.transform(F.split(F.regexp_replace(e, r"^\S+ ", ""), " "), lambda w: F.concat(gender, w))
+
+
+def units(e: Column) -> Column:
+    """What a mention stands for, whatever its format."""
     kind = kind_of(e)
-    local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+    one = F.when(kind == "email", F.lower(e)).when(kind == "card", _digits(e)).when(kind == "phone", F.substring(_digits(e), -10, 10)).otherwise(e)
+    return F.when(kind == "name", _words(e)).otherwise(F.array(one))
+
+
+def surrogate(unit: Column, key: str, attempt: Column) -> Column:
+    """The unit that takes the unit's place."""
+    h = F.sha2(F.concat_ws("|", F.lit(key), attempt.cast("string"), unit), 256)
+    local, domain = F.substring_index(unit, "@", 1), F.substring_index(unit, "@", -1)
     label = F.substring_index(domain, ".", 1)
-    # a crowded short address gets a longer local part
-    more = F.when(attempt >= 4, F.substr(h, F.lit(50), F.lit(8))).otherwise(F.lit(""))
+    # crowded short addresses and names get longer ones
+    crowded = attempt >= 4
+    more = F.when(crowded, F.substr(h, F.lit(50), F.lit(8))).otherwise(F.lit(""))
     mail = F.concat(_redrawn(local, h), more, F.lit("@"), _redrawn(label, F.reverse(h)), F.substr(domain, F.length(label) + 1, F.length(domain)))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _byte(h, i).cast("string")), ".")
-    moved = _redrawn(e, h)
-    plain, was = F.regexp_replace(moved, r"\D", ""), F.regexp_replace(e, r"\D", "")
-    check = (10 - _luhn_sum(F.concat(F.substr(plain, F.lit(1), F.lit(15)), F.lit("0"))) % 10) % 10
-    card = F.when((_luhn_sum(was) % 10) == 0, F.concat(F.substr(moved, F.lit(1), F.length(moved) - 1), check.cast("string"))).otherwise(moved)
-    title = F.regexp_extract(e, r"^\S+ ", 0)
-    female = e.rlike(rf"^(?:{TITLES_F})\.? ")
-    name = F.concat(_redrawn(F.substr(e, F.length(title) + 1, F.length(e)), h), more)
-    end = F.when(name.rlike("[А-я]$"), F.when(female, "а").otherwise("о")).otherwise(F.when(female, "a").otherwise("o"))
-    name = F.concat(title, F.substr(name, F.lit(1), F.length(name) - 1), end)
-    return F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", name).otherwise(moved)
+    moved = _redrawn(unit, h)
+    check = (10 - _luhn_sum(F.concat(F.substr(moved, F.lit(1), F.lit(15)), F.lit("0"))) % 10) % 10
+    card = F.when((_luhn_sum(unit) % 10) == 0, F.concat(F.substr(moved, F.lit(1), F.lit(15)), check.cast("string"))).otherwise(moved)
+    word = F.substr(unit, F.lit(3), F.length(unit))
+    word = F.concat(word, F.when(crowded, F.repeat(F.substring(word, -1, 1), F.lit(6))).otherwise(F.lit("")))
+    name = F.concat(F.substring(unit, 1, 2), _word(word, h, unit.startswith("f|")))
+    return F.when(unit.contains("@"), mail).when(unit.rlike("^[fm][|]"), name).when(unit.rlike("^[0-9]{16}$"), card).when(unit.contains("."), ip).otherwise(moved)
+
+
+def _render(e: Column, new: Column) -> Column:
+    """The mention with its units replaced by those of ``new``, in the format of the mention."""
+    kind, one, was = kind_of(e), new[0], F.split(e, "")
+    mail = F.array_join(F.transform(F.split(one, ""), lambda c, i: F.when(F.get(was, i).rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
+
+    def digit(c: Column, i: Column) -> Column:
+        at = F.length(one) - F.length(_digits(F.substr(e, i + 1, F.length(e))))  # counted from the right: a country code stays
+        return F.when(c.rlike("^[0-9]$") & (at >= 0), F.substr(one, at + 1, F.lit(1))).otherwise(c)
+
+    number = F.array_join(F.transform(was, digit), "")
+    name = F.concat(F.regexp_extract(e, r"^\S+ ", 0), F.array_join(F.transform(new, lambda u: F.substr(u, F.lit(3), F.length(u))), " "))
+    return F.when(kind == "email", mail).when(kind == "name", name).when(kind == "ip", one).otherwise(number)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name, longer where a column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def exceptions(found: DataFrame, key: str) -> DataFrame | None:
-    """(entity, attempt) for the entities whose first surrogates coincide; None where there are none."""
+    """(entity, attempt) for the units whose first surrogates coincide; None where there are none."""
     todo = materialize(found.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), key, F.lit(0)).alias("to")), "surrogates")
     real = todo.select(F.col("entity").alias("to"), F.lit("").alias("first"))
     moved = False
@@ -106,26 +163,28 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text
     """docs with their entities replaced in ``text_col``, and n_<kind> of each kind."""
     docs = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn(text_col, F.col(text_col).cast("string"))
     entities = F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1))
+    meant = F.flatten(F.transform(entities, units))
+    exc_, tid_, ents = (_free(x, docs.columns) for x in ("__exc", "__tid", "__e"))
     suspect = F.col(text_col).rlike(ANY)
-    distinct = docs.where(suspect).select(F.explode(F.array_distinct(entities)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    distinct = docs.where(suspect).select(F.explode(F.array_distinct(meant)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     exc = exceptions(distinct.select("entity"), key)
     none = F.lit(None).cast("map<string,int>")
     if exc is None:
-        marked = docs.withColumn("__exc", none)
+        marked = docs.withColumn(exc_, none)
     else:
         tid = F.xxhash64(F.col(text_col), F.length(text_col))
         small = exc.count() <= BROADCAST_ROWS
-        hit = docs.where(suspect).select(tid.alias("__tid"), F.explode(F.array_distinct(entities)).alias("entity")).join(F.broadcast(exc) if small else exc, "entity").distinct()
-        maps = hit.groupBy("__tid").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__exc"))
+        hit = docs.where(suspect).select(tid.alias(tid_), F.explode(F.array_distinct(meant)).alias("entity")).join(F.broadcast(exc) if small else exc, "entity").distinct()
+        maps = hit.groupBy(tid_).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(exc_))
         touched = maps.count()
-        marked = docs.withColumn("__tid", tid).join(F.broadcast(maps) if touched <= BROADCAST_ROWS else maps, "__tid", "left").drop("__tid")
-    marked = marked.withColumn("__e", F.when(suspect, entities).otherwise(F.array().cast("array<string>")))
-    attempt = lambda e: F.coalesce(F.element_at(F.col("__exc"), e), F.lit(0))
+        marked = docs.withColumn(tid_, tid).join(F.broadcast(maps) if touched <= BROADCAST_ROWS else maps, tid_, "left").drop(tid_)
+    marked = marked.withColumn(ents, F.when(suspect, entities).otherwise(F.array().cast("array<string>")))
+    attempt = lambda u: F.coalesce(F.element_at(F.col(exc_), u), F.lit(0))
     gaps = F.split(F.col(text_col), ANY, -1)
-    new = F.transform("__e", lambda e: surrogate(e, key, attempt(e)))
+    new = F.transform(ents, lambda e: _render(e, F.transform(units(e), lambda u: surrogate(u, key, attempt(u)))))
     filled = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("s")), lambda z: F.concat(F.coalesce(z["g"], F.lit("")), F.coalesce(z["s"], F.lit("")))), "")
-    counts = {f"n_{k}": _number("__e", k) for k in KINDS}
-    cells = [(F.when(F.size("__e") > 0, filled).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
+    counts = {f"n_{k}": _number(ents, k) for k in KINDS}
+    cells = [(F.when(F.size(ents) > 0, filled).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
     return marked.select(*cells, *[v.alias(n) for n, v in counts.items()])
 
 

@@ -160,6 +160,28 @@ def test_pii(spark):
     assert female[-1] == "a" and male[-1] == "o" and sum(sum(divmod(2 * d, 10)) if i % 2 == 0 else d for i, d in enumerate(digits)) % 10 == 0
 
 
+def test_pii_mentions_of_one_entity(spark):
+    rows = [(1, "Mr. Karl Braun; Mr Braun; Mr. Karl"), (2, "Ann.B@x.com ann.b@X.com"), (3, "+1 (555) 123-4567, 555-123-4567, +49 555 123 4567"), (4, "4111 1111 1111 1111 4111-1111-1111-1111"), (5, "Г-жа Ёлкина"), (6, "Mr Ωμεγα"), (7, "Frau Özil")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, __exc int, __tid int, __e int")
+    out = pii.pseudonymise(df).collect()
+    assert all((r["__exc"], r["__tid"], r["__e"]) == (1, 2, 3) for r in out)
+    got = {r.doc_id: r.text for r in out}
+    first, last, again, given = re.fullmatch(r"Mr\. (\w+) (\w+); Mr (\w+); Mr\. (\w+)", got[1]).groups()
+    assert last == again and first == given and not {first, last} & {"Karl", "Braun"}
+    a, b = got[2].split(" ")
+    assert a != b and a.lower() == b.lower() != rows[1][1][:11].lower() and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z]@[a-z]\.com", a)
+    numbers = [re.sub(r"\D", "", x)[-10:] for x in got[3].split(", ")]
+    assert len(set(numbers)) == 1 and numbers[0] != "5551234567" and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}, \d{3}-\d{3}-\d{4}, \+49 \d{3} \d{3} \d{4}", got[3])
+    assert re.fullmatch(r"(\d{4}) (\d{4}) (\d{4}) (\d{4}) \1-\2-\3-\4", got[4])
+    assert re.fullmatch(r"Г-жа [А-Я][а-я]{4}а", got[5]) and re.fullmatch(r"Mr [Α-Ω][α-ω]{3}ο", got[6]) and re.fullmatch(r"Frau [A-Z][a-z]{2}a", got[7])
+
+
+def test_pii_crowded_names(spark):
+    rows = [(i, f"Mr. {a}{b}{c}") for i, (a, b, c) in enumerate(itertools.product("BCDFGHJKLM", "aeiou", "bcdfghj"))]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(got)) == len(rows) and all(re.fullmatch(r"Mr\. [A-Z][a-z]+o", t) for t in got)
+
+
 def test_pii_stays_distinct(spark):
     rows = [(i, f"{a}@{b}.io") for i, (a, b) in enumerate(itertools.product("abcdefghij", repeat=2))]
     got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
