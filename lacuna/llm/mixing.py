@@ -12,8 +12,9 @@ prefix ends, and only such buckets are ordered document by document.
 
 Cases: null columns of the tree are a branch of their own; null and empty texts
 hold no tokens, are in each whole epoch and cost a prefix nothing, but a leaf of
-such texts only has no budget and gives no row; repeated rows are ordered next to
-each other; an empty table gives an empty result; columns named as the results
+such texts only has no budget and gives no row; rows that repeat an id and text
+share a place in the order, of which a prefix takes as many rows as fit, any of
+them; a weight of zero or less gives a branch nothing; an empty table gives an empty result; columns named as the results
 are replaced, all others stay, whatever their names.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Documents that a bucket of a leaf's order holds, about.
 BUCKET_ROWS = 2000
@@ -110,19 +111,44 @@ def mix(docs: DataFrame, levels: dict[str, Column], share: float = 0.5, weights:
     eq = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
     cut = ends.where("__end > part AND __start <= part").select(*[F.col(c) for c in key], "__start")
     border = placed.join(F.broadcast(cut) if few else cut, eq(placed, cut)).select(*[placed[c] for c in key], "__id", "__t", "n_tokens", "__o", "part", "__start")
-    run = F.sum("n_tokens").over(W.partitionBy(*key).orderBy("__o").rangeBetween(W.unboundedPreceding, 0))
-    # the last place in the order that the prefix takes; none: the bucket's start
-    last = border.withColumn("__sum", run + F.col("__start")).where("__sum <= part").groupBy(*path).agg(F.max(F.struct("__b", "__o")).alias("__last"))
+    # rows that repeat an id and text share one place in the order: it is a row here, with their number
+    places = border.groupBy(*key, "__o").agg(F.count(F.lit(1)).alias("m"), F.first("n_tokens").alias("n"), F.first("part").alias("part"), F.first("__start").alias("__start"))
+    run = F.sum(F.col("m") * F.col("n")).over(W.partitionBy(*key).orderBy("__o").rowsBetween(W.unboundedPreceding, 0))
+    summed = places.withColumn("__sum", run + F.col("__start"))
+    place = F.struct("__b", "__o")
+    # the last place that the prefix takes whole (none: the bucket's start), and the next one, of which it may take some rows
+    last = summed.groupBy(*path).agg(F.max(F.when(F.col("__sum") <= F.col("part"), place)).alias("__last"), F.min(F.when(F.col("__sum") > F.col("part"), F.struct("__b", "__o", F.floor((F.col("part") - F.col("__sum") + F.col("m") * F.col("n")) / F.greatest(F.col("n"), F.lit(1))).alias("rows")))).alias("__next"))
     cuts = cut.groupBy(*path).agg(F.min("__b").alias("__cut"))
     eqp = lambda a, b: [a[c].eqNullSafe(b[c]) for c in path]
     with_cut = sized.join(cuts, eqp(sized, cuts), "left").select(*[sized[c] for c in path], "budget", "whole", "part", "buckets", "__cut")
-    limit = materialize(with_cut.join(last, eqp(with_cut, last), "left").select(*[with_cut[c] for c in path], "budget", "whole", "part", "buckets", "__cut", "__last"), "limit")
-    full = made
-    joined = full.join(F.broadcast(limit) if few else limit, eqp(full, limit)).select("__row", full["n_tokens"], "__id", "__t", "budget", "whole", "part", "buckets", "__cut", "__last")
+    limit = materialize(with_cut.join(last, eqp(with_cut, last), "left").select(*[with_cut[c] for c in path], "budget", "whole", "part", "buckets", "__cut", "__last", "__next"), "limit")
+    joined = made.join(F.broadcast(limit) if few else limit, eqp(made, limit)).select(*[limit[c] for c in path], "__row", made["n_tokens"], "__id", "__t", "budget", "whole", "part", "buckets", "__cut", "__last", "__next")
     b = F.floor(point * F.col("buckets"))
     inside = (F.col("__cut").isNull() | (b < F.col("__cut")) | F.coalesce(F.struct(b.alias("__b"), order.alias("__o")) <= F.col("__last"), F.lit(False)))
-    copies = F.col("whole") + F.when((F.col("part") > 0) & inside, 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).withColumn("leaf_budget", F.col("budget")).where("copies > 0").select("__row.*", "n_tokens", "copies", "leaf_budget")
+    more = F.when((F.col("part") > 0) & inside, 1).otherwise(0)
+    done = ["__row", "n_tokens", "budget"]
+    discard(slim, leaves, sized, ends)
+    if limit.where("__next.rows > 0").isEmpty():
+        out = joined.select(*done, (F.col("whole") + more).cast("long").alias("copies"))
+    else:
+        tied = F.coalesce((F.col("__next.rows") > 0) & (b == F.col("__next.__b")) & (order == F.col("__next.__o")), F.lit(False))
+        out = joined.where(~tied).select(*done, (F.col("whole") + more).cast("long").alias("copies")).unionByName(_some(joined.where(tied).select(*path, *done, "whole", F.col("__next.rows").alias("take")), path).select(*done, "copies"))
+    return out.withColumn("leaf_budget", F.col("budget")).where("copies > 0").select("__row.*", "n_tokens", "copies", "leaf_budget")
+
+
+def _some(rows: DataFrame, path: list[str]) -> DataFrame:
+    """rows with copies: one more than ``whole`` for ``take`` of the rows of each leaf, which are all alike.
+
+    They are counted by groups of about BUCKET_ROWS first, so that no task numbers all rows of a leaf.
+    """
+    tied = materialize(rows.withColumn("__g", F.shiftright(F.monotonically_increasing_id(), 33) * 1024 + F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / BUCKET_ROWS)), "tied")
+    upto = W.partitionBy(*path).orderBy("__g").rowsBetween(W.unboundedPreceding, -1)
+    before = tied.groupBy(*path, "__g").agg(F.count(F.lit(1)).alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    before = before.select(*[F.col(c).alias(f"b{c}") for c in [*path, "__g"]], "__before")
+    same = [F.col(c).eqNullSafe(F.col(f"b{c}")) for c in [*path, "__g"]]
+    placed = tied.join(before, same).select(*tied.columns, "__before")
+    number = F.row_number().over(W.partitionBy(*path, "__g").orderBy("n_tokens")) + F.col("__before")
+    return placed.withColumn("copies", (F.col("whole") + F.when(number <= F.col("take"), 1).otherwise(0)).cast("long"))
 
 
 def tree() -> dict[str, Column]:

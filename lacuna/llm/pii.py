@@ -28,12 +28,14 @@ from .common import materialize
 
 #: Attempts that a written table of exceptions may be broadcast with, in rows.
 BROADCAST_ROWS = 10_000
-MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Java matches repeated groups by recursion, so that a text can overflow the stack: only classes are repeated without a small bound
+#: A domain has 253 characters at most and its last label 63, as in the DNS.
+MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-][A-Za-z0-9.-]{0,252}(?<!\.)\.[A-Za-z]{2,63}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])"
 CARD = r"(?<![0-9A-Za-z])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![0-9A-Za-z])"
 TITLES_M, TITLES_F = "Mr|Herr|Monsieur|Señor|Г-н", "Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа"
-NAME = rf"(?<!\p{{L}})(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+NAME = rf"(?<!\p{{L}})(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}})?"
 CARD_ = CARD.replace("([ -]?)", "(?<sep>[ -]?)").replace(r"\1", r"\k<sep>")
 ANY = f"(?:{MAIL}|{IP}|{CARD_}|{PHONE}|{NAME})"
 KINDS = ("email", "ip", "card", "phone", "name")
