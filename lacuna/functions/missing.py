@@ -20,6 +20,16 @@ def observed(df: DataFrame, name: str) -> Column:
     return F.when(~is_missing(df, name), F.col(f"`{name}`"))
 
 
+def by_group(values: dict, group: str | None) -> Column:
+    """The value of the row's group; without ``group`` the only one there is."""
+    if group is None:
+        (one,) = values.values()
+        return F.lit(one)
+    if len(set(values.values())) == 1:
+        return F.lit(next(iter(values.values())))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(f"`{group}`"))
+
+
 def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType))
 
@@ -30,16 +40,16 @@ def digest(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 13), 16, 10).cast("long")
 
 
-def drawn(seed: int, salt: str, *key: str) -> Column:
-    """A whole number in [0, 2^52) that depends on the row's key, not on how rows are partitioned."""
-    return digest(F.lit(str(seed)), F.lit(salt), *[F.col(k) for k in key])
+def drawn(seed: int | Column, salt: str, *key: str) -> Column:
+    """A whole number in [0, 2^52) that depends on the row's key, not on how rows are partitioned. The seed may be a column."""
+    return digest(seed if isinstance(seed, Column) else F.lit(str(seed)), F.lit(salt), *[F.col(k) for k in key])
 
 
-def uniform(seed: int, salt: str, *key: str) -> Column:
+def uniform(seed: int | Column, salt: str, *key: str) -> Column:
     """A number in (0, 1), by the same rule."""
     return (drawn(seed, salt, *key).cast("double") + 0.5) / float(1 << 52)
 
 
-def normal(seed: int, salt: str, *key: str) -> Column:
+def normal(seed: int | Column, salt: str, *key: str) -> Column:
     """A standard normal draw, by the same rule."""
     return F.sqrt(-2 * F.log(uniform(seed, salt + "/r", *key))) * F.cos(2 * math.pi * uniform(seed, salt + "/a", *key))

@@ -34,6 +34,15 @@ def md_pairs(df: DataFrame) -> DataFrame:
     return sums.select(F.inline(F.array(*cells))).select("var_j", "var_k", "rr", "rm", "mr", "mm")
 
 
+def as_matrix(long: DataFrame, value: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of pairs as a matrix: var_j, and a column for each var_k, in the order of ``columns`` (by name, unless given)."""
+    if columns is None:
+        columns = sorted(r[0] for r in long.select("var_k").distinct().collect())
+    if "var_j" in columns:
+        raise ValueError("no column may be named var_j")
+    return long.groupBy("var_j").agg(*[F.max(F.when(F.col("var_k") == c, F.col(value))).alias(c) for c in columns])
+
+
 def md_pattern(df: DataFrame) -> DataFrame:
     """Each pattern of observed cells (1), its rows (count) and its missing cells (nmis)."""
     marked = df.select(*[_seen(df, c).alias(c) for c in df.columns])

@@ -86,7 +86,7 @@ def melted(df: DataFrame, imputer, column: str, share: float = 1.0) -> DataFrame
     _has(df, column)
     done = imputer.fit(df).transform(df.withColumn("__imputed", is_missing(df, column)))
     long = done.select("imp_num", F.col(f"`{column}`").alias("value"), F.col("__imputed").alias("imputed"))
-    return long if share >= 1 else long.sample(share, seed=imputer.seed)
+    return long if share >= 1 else long.sample(share, seed=imputer.getOrDefault("seed"))
 
 
 def _with_observed(df: DataFrame, imputer, column: str) -> DataFrame:

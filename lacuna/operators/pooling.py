@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import is_missing
 from .checks import missing_counts
-from .regression import Design, Linear, design, irls, least_squares
+from .imputers import MiceImputer, MultipleImputer
+from .regression import Design, Linear, design, irls, linear_fits
 
 
 def rubin(betas: np.ndarray, variances: np.ndarray, dfcom: float = np.inf) -> dict[str, np.ndarray]:
@@ -58,22 +59,31 @@ def percent_bias(q_bar, q) -> np.ndarray:
 
 
 class _Pooled:
-    """What pooled regressions share: terms, summary, and the guard of predictions."""
+    """What pooled regressions share: the imputer, terms, summary, and the guard of predictions.
+
+    imputer: a chained one with ``mi_kwgs``, unless given. ``variances=False``
+    pools coefficients alone, as of models without standard errors.
+    """
 
     design_: Design
 
-    def __init__(self, imputer):
-        self.imputer = imputer
+    def __init__(self, imputer=None, variances: bool = True, mi_kwgs: dict | None = None, model_kwgs: dict | None = None):
+        if imputer is not None and mi_kwgs:
+            raise ValueError("mi_kwgs are for the default imputer")
+        if imputer is not None and not isinstance(imputer, MultipleImputer):
+            raise TypeError(f"a multiple or chained imputer is needed, not {type(imputer).__name__}")
+        self.imputer = MiceImputer(**(mi_kwgs or {})) if imputer is None else imputer
+        self.variances, self.model_kwgs = variances, dict(model_kwgs or {})
 
     def _pool(self, plan: Design, betas: list[np.ndarray], variances: list[np.ndarray], dfcom: float) -> None:
         self.design_ = plan
-        self.statistics_ = rubin(np.array(betas), np.array(variances), dfcom)
+        self.statistics_ = rubin(np.array(betas), np.array(variances), dfcom) if self.variances else {"coefs": np.array(betas).mean(axis=0)}
         self.terms_ = ["const", *[c if v is None else f"{c}_{v}" for c, v in plan.terms]]
 
     def summary(self, spark) -> DataFrame:
         self._fitted()
         s = self.statistics_
-        names = ("coefs", "std", "vw", "vb", "vt", "dfcom", "dfadj", "lambda_", "riv", "fmi", "eff")
+        names = ("coefs", "std", "vw", "vb", "vt", "dfcom", "dfadj", "lambda_", "riv", "fmi", "eff") if self.variances else ("coefs",)
         rows = [(t, *[float(s[k][i]) for k in names]) for i, t in enumerate(self.terms_)]
         return spark.createDataFrame(rows, "term string, " + ", ".join(f"{k.rstrip('_')} double" for k in names))
 
@@ -96,10 +106,11 @@ class _Pooled:
 
 
 class MiLinearRegression(_Pooled):
-    """Least squares on each imputed table; each fit is two aggregates over it."""
+    """Least squares on each imputed table; two aggregates, grouped by imp_num, serve all fits."""
 
     def fit(self, df: DataFrame, target: str, names: list[str]) -> MiLinearRegression:
-        self.models_: list[Linear] = [least_squares(d, target, names) for d in self.imputer.fit(df).each(df)]
+        fits = linear_fits(self.imputer.fit(df).transform(df), target, names, by="imp_num")
+        self.models_: list[Linear] = [fits[g] for g in sorted(fits)]
         var = [np.diag(m.cov) * m.mse * m.n / max(1, m.n - len(m.beta)) for m in self.models_]
         first = self.models_[0]
         self._pool(first.design, [m.beta for m in self.models_], var, first.n - len(first.beta))
@@ -110,7 +121,7 @@ class MiLinearRegression(_Pooled):
 
 
 class MiLogisticRegression(_Pooled):
-    """Logistic regression on each imputed table; a step of all fits is one aggregate, grouped by imp_num."""
+    """Logistic regression on each imputed table; a step of all fits is one aggregate, grouped by imp_num. model_kwgs: ridge, rounds, tol."""
 
     def fit(self, df: DataFrame, target: str, names: list[str]) -> MiLogisticRegression:
         long = self.imputer.fit(df).transform(df)
@@ -125,7 +136,7 @@ class MiLogisticRegression(_Pooled):
         y = (F.col(f"`{target}`") == F.lit(self.levels_[1])).cast("double")
         flat = full.select(F.col("imp_num").alias("g"), y.alias("y"), *[c.alias(f"x{i}") for i, c in enumerate(cols)]).persist()
         try:
-            fits = irls(flat, len(cols), list(range(1, self.imputer.n + 1)))
+            fits = irls(flat, len(cols), list(range(1, self.imputer.getOrDefault("n") + 1)), **self.model_kwgs)
         finally:
             flat.unpersist()
         done = [fits[g] for g in sorted(fits)]

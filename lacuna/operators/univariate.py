@@ -7,6 +7,7 @@ on the row's key and the seed alone.
 
 from __future__ import annotations
 
+from random import Random
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -67,13 +68,10 @@ def fit(df: DataFrame, plan: dict[str, str], kwargs: dict[str, dict] | None = No
     stats = moments(df, {c: s for c, s in plan.items() if s in NUMERIC})
     out = {}
     for c, s in plan.items():
-        p = {"strategy": s, "kind": df.schema[c].dataType, **stats.get(c, {})}
+        p = {"strategy": s, "kind": df.schema[c].dataType.simpleString(), **stats.get(c, {})}
         if s in NUMERIC and p["n"] == 0:
             raise ValueError(f"all values missing in {c}")
-        if s == "normal unit variance":
-            from random import Random
-
-            p["mu"] = p["mean"] + Random(f"{seed}/{c}").gauss(0, 1) / p["n"] ** 0.5
+        p = reseeded(c, p, seed)
         if s == "mode":
             how = ((kwargs or {}).get(c) or {}).get("fill_strategy", "random" if asked[c] == "default univariate" else None)
             p["tied"] = how == "random"
@@ -84,7 +82,21 @@ def fit(df: DataFrame, plan: dict[str, str], kwargs: dict[str, dict] | None = No
     return out
 
 
-def _pick(df: DataFrame, column: str, strategy: str, seed: int, key: list[str], source: DataFrame) -> DataFrame:
+def reseeded(column: str, params: dict, seed: int) -> dict:
+    """The parameters for another seed: only the shared draw of a normal of unit variance depends on it."""
+    if params["strategy"] != "normal unit variance":
+        return params
+    return {**params, "mu": params["mean"] + Random(f"{seed}/{column}").gauss(0, 1) / params["n"] ** 0.5}
+
+
+def weights(source: DataFrame, column: str, params: dict) -> DataFrame | None:
+    """The values among which a fit draws, with their counts; None where nothing is drawn among values."""
+    if params["strategy"] == "mode" and params["tied"]:
+        return modes(source, column)
+    return value_counts(source, column) if params["strategy"] in ("random", "categorical") else None
+
+
+def _pick(df: DataFrame, column: str, strategy: str, seed: int, key: list[str], weights: DataFrame) -> DataFrame:
     """Fill by a draw among distinct values ('random': each alike; 'mode': the most frequent alike; else by frequency).
 
     Each value has a range of [0, total) as long as its weight; values lie in
@@ -95,7 +107,6 @@ def _pick(df: DataFrame, column: str, strategy: str, seed: int, key: list[str],
     equi-join; with a quarter of the mean weight as a cell, a draw compares
     with 5/4 ranges on average.
     """
-    weights = modes(source, column) if strategy == "mode" else value_counts(source, column)
     buckets = BUCKETS * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weights = weights.withColumn("h", digest(F.col("value")))
     weights = weights.select("value", "h", F.shiftright(F.shiftright("h", 12) * F.lit(buckets).cast("long"), 40).cast("int").alias("part"), (F.col("n") if strategy == "categorical" else F.lit(1)).cast("long").alias("w"))
@@ -119,8 +130,8 @@ def _pick(df: DataFrame, column: str, strategy: str, seed: int, key: list[str],
     return marked.where("__u IS NULL").select(*[f"`{c}`" for c in df.columns]).unionByName(gaps.select(*cells))
 
 
-def fill(df: DataFrame, params: dict[str, dict], source: DataFrame, seed: int, key: list[str]) -> DataFrame:
-    """All parametric columns in one select; draws among values by a join each."""
+def fill(df: DataFrame, params: dict[str, dict], source: DataFrame | dict[str, DataFrame | None], seed: int, key: list[str]) -> DataFrame:
+    """All parametric columns in one select; draws among values by a join each. ``source``: the fitted table, or ``weights`` by column."""
     made: dict[str, Column] = {}
     for c, p in params.items():
         s = p["strategy"]
@@ -134,15 +145,15 @@ def fill(df: DataFrame, params: dict[str, dict], source: DataFrame, seed: int, k
         elif s == "mode":
             if p["tied"]:
                 continue
-            v = F.lit(p["value"])
+            v = F.lit(p["value"]).cast(p["kind"])
         else:
             continue
         made[c] = F.when(is_missing(df, c), v).otherwise(F.col(f"`{c}`"))
     out = df.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
     for c, p in params.items():
         if p["strategy"] in ("random", "categorical") or p.get("tied"):
-            out = _pick(out, c, p["strategy"], seed, key, source)
+            out = _pick(out, c, p["strategy"], seed, key, source[c] if isinstance(source, dict) else weights(source, c, p))
     return out
 
 
-__all__ = ["STRATEGIES", "fill", "fit", "mode_of", "modes", "moments", "resolve", "value_counts"]
+__all__ = ["STRATEGIES", "fill", "fit", "mode_of", "modes", "moments", "reseeded", "resolve", "value_counts", "weights"]

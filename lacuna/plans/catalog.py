@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from random import Random
+from uuid import uuid4
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import shared_dir
 from ..operators import checks, patterns, plots, regression, temporal, univariate
+from ..operators.classifier import Stump
 from ..operators.imputers import MissingnessClassifier, MiceImputer, MultipleImputer, SingleImputer
 from ..operators.pooling import MiLinearRegression, MiLogisticRegression, percent_bias, raw_bias
+from ..operators.strategies import Strategy
 from ..sources.masked import masked, masked_sql
 
 ORDERS = ["o_totalprice", "o_orderstatus", "o_orderpriority"]
@@ -95,6 +101,64 @@ def _bias(spark, d: str) -> DataFrame:
     return _rounded(_rounded(spark.createDataFrame(rows, "term string, raw_bias double, percent_bias double"), "raw_bias", digits=4), "percent_bias", digits=5)
 
 
+LINES = ["l_quantity", "l_extendedprice"]
+
+
+def _mutual(**kw):
+    """Two incomplete columns that predict each other."""
+
+    def run(spark, d: str) -> DataFrame:
+        df = masked(spark, d, "lineitem").select("l_key", *LINES)
+        mi = MiceImputer(n=2, strategy=dict.fromkeys(LINES, "stochastic"), predictors={a: [b] for a, b in zip(LINES, LINES[::-1])}, key=["l_key"], seed=5, **kw)
+        return _rounded(mi.fit_transform(df), *LINES, digits=3)
+
+    return run
+
+
+def _pipeline(spark, d: str) -> DataFrame:
+    """An imputer as a stage of a pipeline whose model is written and loaded again."""
+    stages = [SingleImputer({"o_totalprice": "mean", "o_orderstatus": "categorical"}, key=["o_orderkey"], seed=1), SQLTransformer(statement="SELECT o_orderkey, o_orderstatus, ROUND(o_totalprice, 4) AS o_totalprice FROM __THIS__")]
+    path = f"{shared_dir(spark)}/lacuna-pipeline-{uuid4().hex}"
+    df = _orders(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    Pipeline(stages=stages).fit(df).save(path)
+    return PipelineModel.load(path).transform(df)
+
+
+def _imputed_cells(spark, d: str) -> DataFrame:
+    df = _orders(spark, d)
+    return SingleImputer(dict.fromkeys(ORDERS[:2], "mode"), key=["o_orderkey"]).fit(df).imputed_(df)
+
+
+def _test_indices(spark, d: str) -> DataFrame:
+    df = _orders(spark, d, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    guess = MissingnessClassifier(Stump(), {"o_totalprice": ["o_custkey"], "o_orderstatus": ["o_custkey"]}, key=["o_orderkey"])
+    return guess.gen_test_indices(df, thresh=0.15)
+
+
+class Midrange(Strategy):
+    """The middle between the smallest and the largest observed value: a strategy of one's own."""
+
+    name = "midrange"
+
+    def fit(self, df, ask):
+        low, high = df.agg(F.min(ask.column), F.max(ask.column)).first()
+        return {"middle": (low + high) / 2}, {}
+
+    def fill(self, df, ask, params, tables):
+        return df.withColumn(ask.column, F.coalesce(ask.column, F.lit(params["middle"])))
+
+
+def _nan(spark, d: str) -> DataFrame:
+    df = masked(spark, d, "orders", nan=True)
+    return _rounded(SingleImputer({"o_totalprice": "mean"}, key=["o_orderkey"]).fit_transform(df.select("o_orderkey", "o_totalprice")), "o_totalprice", digits=4)
+
+
+def _with_priors(spark, d: str) -> DataFrame:
+    """The posterior's mean under priors that pull; no closed form, as sigma is unknown."""
+    out = regression.fill(_numeric(spark, d), "o_totalprice", "bayesian least squares", ["o_custkey"], ["o_orderkey"], 7, am=100_000.0, asd=1000.0, bm=0.0, bsd=1.0, sig=50_000.0)
+    return _rounded(out.select("o_orderkey", "o_totalprice"), "o_totalprice", digits=4)
+
+
 QUERIES = {
     "flux": lambda s, d: _rounded(patterns.flux(_cells(s, d)), "pobs", "influx", "outflux", "ainb", "aout"),
     "md_pairs": lambda s, d: patterns.md_pairs(_cells(s, d)),
@@ -141,6 +205,16 @@ QUERIES = {
     "plot_melted": lambda s, d: _rounded(plots.melted(_numeric(s, d), _means(n=2), "o_totalprice"), "value", digits=4),
     "plot_histogram": lambda s, d: _rounded(plots.histogram(_numeric(s, d), _means(n=2), "o_totalprice"), "low", "high", digits=4),
     "plot_boxplots": lambda s, d: _rounded(plots.boxplots(_numeric(s, d), _means(n=2), "o_totalprice"), "min", "q1", "median", "q3", "max", digits=4),
+    "mice_mutual": _mutual(k=2),
+    "mice_chained": _mutual(k=3, chained=True),
+    "ml_pipeline": _pipeline,
+    "imputed_cells": _imputed_cells,
+    "test_indices": _test_indices,
+    "custom_strategy": lambda s, d: _rounded(_impute({"o_totalprice": Midrange()})(s, d), "o_totalprice", digits=4),
+    "impute_mean_nan": _nan,
+    "bayesian_priors": _with_priors,
+    "pooled_coefs": lambda s, d: _rounded(MiLinearRegression(_means(n=2), variances=False).fit(_numeric(s, d), "o_totalprice", ["o_custkey"]).summary(s), "coefs"),
+    "pairs_matrix": lambda s, d: patterns.as_matrix(patterns.md_pairs(_cells(s, d)), "rm", ORDERS),
     "missingness_classifier": lambda s, d: MissingnessClassifier(key=["o_orderkey"]).fit(_orders(s, d)).predict(_orders(s, d)),
 }
 
@@ -243,3 +317,42 @@ ORACLE_SQL |= {
     # the second round fits on the same observed cells and draws anew
     "mice": _imputations_sql([1004, 1017, 1030]),
 }
+
+
+def _fit_sql(y: str, x: str, source: str, group: str = "") -> str:
+    """Intercept, slope and the root of the mean square error of y on x, for each group."""
+    by = f"GROUP BY {group}" if group else ""
+    mse = f"(REGR_SYY({y}, {x}) - POWER(REGR_SXY({y}, {x}), 2) / REGR_SXX({y}, {x})) / REGR_COUNT({y}, {x})"
+    return f"SELECT {group + ', ' if group else ''}REGR_INTERCEPT({y}, {x}) AS i, REGR_SLOPE({y}, {x}) AS s, SQRT(GREATEST({mse}, 0)) AS sd FROM {source} {by}"
+
+
+def _mutual_sql(k: int, chained: bool) -> str:
+    """The rounds of both columns, step by step: q is quantity, p price; q1, p1 are as filled by round 1."""
+    q, p = LINES
+    noise = lambda r, j, c: "CASE n.imp_num " + " ".join(f"WHEN {i + 1} THEN {_normal_sql(6 + 13 * i + 1000 * r + j, c).replace('o_orderkey', 'n.l_key')}" for i in range(2)) + " END"
+    steps = [f"WITH t AS ({masked_sql('lineitem')})", f"b AS (SELECT v.imp_num, t.l_key, t.{q} AS q, t.{p} AS p FROM t, (SELECT UNNEST([1, 2]) AS imp_num) v)", "m AS (SELECT AVG(p) AS m FROM b WHERE q IS NULL)"]
+    before = "b"
+    for r in range(k):
+        first = r == 0
+        seen_q, seen_p = ("q", "p") if first else (f"q{r - 1}", f"p{r - 1}")
+        fit_q = _fit_sql("q", seen_p, before, "imp_num")
+        x = seen_p if chained and not first else "COALESCE(n.p, m.m)"
+        steps += [f"fq{r} AS ({fit_q})", f"a{r} AS (SELECT n.*, COALESCE(n.q, f.i + f.s * {x} + f.sd * {noise(r, 0, q)}) AS q{r} FROM {before} n JOIN fq{r} f USING (imp_num), m)"]
+        fit_p = _fit_sql("p", f"q{r}" if chained and not first else seen_q, f"a{r}", "imp_num")
+        steps += [f"fp{r} AS ({fit_p})", f"c{r} AS (SELECT n.*, COALESCE(n.p, f.i + f.s * n.q{r} + f.sd * {noise(r, 1, p)}) AS p{r} FROM a{r} n JOIN fp{r} f USING (imp_num))"]
+        before = f"c{r}"
+    return ", ".join(steps) + f" SELECT CAST(imp_num AS INTEGER) AS imp_num, l_key, ROUND(q{k - 1}, 3) AS {q}, ROUND(p{k - 1}, 3) AS {p} FROM {before}"
+
+
+_STUMPS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", o_orderkey FROM (SELECT *, AVG(CAST({c} IS NULL AS INTEGER)) OVER (PARTITION BY o_custkey > a) AS share FROM t, m) WHERE {c} IS NOT NULL AND share > 0.15" for c in ORDERS[:2])
+ORACLE_SQL |= {
+    "mice_mutual": _mutual_sql(2, False),
+    "mice_chained": _mutual_sql(3, True),
+    "ml_pipeline": f"{_O}, {_pick_sql('o_orderstatus', 1, 'n')} SELECT o_orderkey, filled_o_orderstatus AS o_orderstatus, ROUND(COALESCE(o_totalprice, AVG(o_totalprice) OVER ()), 4) AS o_totalprice FROM f",
+    "imputed_cells": _O + " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", o_orderkey FROM t WHERE {c} IS NULL" for c in ORDERS[:2]),
+    "test_indices": f"{_N}, m AS (SELECT AVG(o_custkey) AS a FROM t) {_STUMPS}",
+    "custom_strategy": f"{_O} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, (SELECT (MIN(o_totalprice) + MAX(o_totalprice)) / 2 FROM t)), 4) AS o_totalprice FROM t",
+    "impute_mean_nan": ORACLE_SQL["impute_mean"],
+    "pooled_coefs": f"{_FILLED}{_FITS} SELECT term, ROUND(a, 8) AS coefs FROM b",
+    "pairs_matrix": f"{_O}{_LONG} SELECT var_j, " + ", ".join(f"MAX(CASE WHEN var_k = '{c}' THEN rm END) AS {c}" for c in ORDERS) + " FROM p GROUP BY var_j",
+}
