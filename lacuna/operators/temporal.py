@@ -1,6 +1,7 @@
 """Strategies that fill a column along an order, within each key of ``partition``.
 
-The rows are cut into ranges by (partition, order), so that a task holds some
+Where every series is small, a series is a group of a window. Otherwise the rows
+are cut into ranges by (partition, order), so that a task holds some
 ranges and no whole series; what a range needs from the others (its row offset
 and the nearest observed cells outside it) comes from a table with one row for
 each series and range. Rows with equal keys are ordered by a hash of their cells.
@@ -22,8 +23,9 @@ STRATEGIES = ("locf", "nocb", "interpolate", "default time")
 SMOOTH = ("quadratic", "cubic", "polynomial", "spline", "barycentric")
 
 
-#: A range has about so many rows, or more: there are RANGES for each shuffle partition at most.
+#: A range has about so many rows, or more: there are RANGES for each shuffle partition at most. Series are cut where one has SMALL * LEAST rows or more; results don't depend on it.
 LEAST = 1000
+SMALL = 64
 RANGES = 4
 #: Knots beyond a stretch of a spline that its solution takes in, and knots of a stretch. See _curve.
 HALO = {1: 64, 2: 64, 3: 64, 4: 128, 5: 128}
@@ -37,8 +39,7 @@ def _cut(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
 
     The cuts are taken from a sample; results don't depend on them.
     """
-    plain = [c for c in df.columns if not any(x in df.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
-    out = df.withColumn("__tie", F.xxhash64(*[f"`{c}`" for c in plain]))
+    out = _with_tie(df)
     key = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate([*partition, *order, "__tie"])])
     n = df.count()
     parts = min(-(-n // LEAST), RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -54,8 +55,31 @@ def _cut(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
     return out.withColumn("__key", key).withColumn("__range", at).drop("__key")
 
 
+def _with_tie(df: DataFrame) -> DataFrame:
+    """Rows with equal keys are ordered by a hash of their cells."""
+    plain = [c for c in df.columns if not any(x in df.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
+    return df.withColumn("__tie", F.xxhash64(*[f"`{c}`" for c in plain]))
+
+
+def _whole(df: DataFrame, column: str, order: list[str], partition: list[str], time: bool) -> tuple[DataFrame, W]:
+    """As ``_ranged``, with each series as its only range: windows of one partitioning, so one shuffle and one sort."""
+    w = W.partitionBy(*[f"`{c}`" for c in partition]).orderBy(*[f"`{c}`" for c in order], "__tie")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    t = F.unix_micros(F.col(f"`{order[0]}`").cast("timestamp")) if time else F.lit(None).cast("long")
+    rows = _with_tie(df).withColumn("__x", observed(df, column)).withColumn("__row", F.row_number().over(w).cast("long")).withColumn("__t", t).withColumn("__range", F.lit(0))
+    knot = F.struct("__row", "__t", "__x")
+    mean = F.avg("__x").over(whole) if is_numeric(df, column) and df.schema[column].dataType.typeName() != "boolean" else F.lit(None).cast("double")
+    rows = rows.withColumn("__knot", F.when(F.col("__x").isNotNull(), knot))
+    none = F.when(F.lit(False), knot)
+    facts = {"__offset": F.lit(0).cast("long"), "__ranges": F.lit(1).cast("long"), "__n": F.count(F.lit(1)).over(whole), "__mean": mean, "__before": none, "__after": none, "__first": F.first("__x", True).over(whole), "__last": F.last("__x", True).over(whole)}
+    return rows.withColumns(facts), w
+
+
 def _ranged(df: DataFrame, column: str, order: list[str], partition: list[str], time: bool = False) -> tuple[DataFrame, W]:
     """df with the cell (__x), its knot (row number in the series, time, cell), and the facts of the series and its other ranges; and the window of a range."""
+    largest = df.groupBy(*[f"`{c}`" for c in partition]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest < SMALL * LEAST:
+        return _whole(df, column, order, partition, time)
     cut = _cut(df, partition, order)
     by = [*[f"`{c}`" for c in partition], "__range"]
     w = W.partitionBy(*by).orderBy(*[f"`{c}`" for c in order], "__tie")

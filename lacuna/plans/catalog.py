@@ -214,6 +214,7 @@ QUERIES = {
     "impute_mean_nan": _nan,
     "bayesian_priors": _with_priors,
     "pooled_coefs": lambda s, d: _rounded(MiLinearRegression(_means(n=2), variances=False).fit(_numeric(s, d), "o_totalprice", ["o_custkey"]).summary(s), "coefs"),
+    "plot_density": lambda s, d: _rounded(_rounded(plots.density(_numeric(s, d), _means(n=2), "o_totalprice"), "x", digits=4), "density", digits=13),
     "pairs_matrix": lambda s, d: patterns.as_matrix(patterns.md_pairs(_cells(s, d)), "rm", ORDERS),
     "missingness_classifier": lambda s, d: MissingnessClassifier(key=["o_orderkey"]).fit(_orders(s, d)).predict(_orders(s, d)),
 }
@@ -341,7 +342,7 @@ def _mutual_sql(k: int, chained: bool) -> str:
         fit_p = _fit_sql("p", f"q{r}" if chained and not first else seen_q, f"a{r}", "imp_num")
         steps += [f"fp{r} AS ({fit_p})", f"c{r} AS (SELECT n.*, COALESCE(n.p, f.i + f.s * n.q{r} + f.sd * {noise(r, 1, p)}) AS p{r} FROM a{r} n JOIN fp{r} f USING (imp_num))"]
         before = f"c{r}"
-    return ", ".join(steps) + f" SELECT CAST(imp_num AS INTEGER) AS imp_num, l_key, ROUND(q{k - 1}, 3) AS {q}, ROUND(p{k - 1}, 3) AS {p} FROM {before}"
+    return ", ".join(steps) + f" SELECT CAST(imp_num AS INTEGER) AS imp_num, l_key, ROUND(q{k - 1}, 3) + CAST(0 AS DOUBLE) AS {q}, ROUND(p{k - 1}, 3) + CAST(0 AS DOUBLE) AS {p} FROM {before}"
 
 
 _STUMPS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", o_orderkey FROM (SELECT *, AVG(CAST({c} IS NULL AS INTEGER)) OVER (PARTITION BY o_custkey > a) AS share FROM t, m) WHERE {c} IS NOT NULL AND share > 0.15" for c in ORDERS[:2])
@@ -354,5 +355,6 @@ ORACLE_SQL |= {
     "custom_strategy": f"{_O} SELECT o_orderkey, ROUND(COALESCE(o_totalprice, (SELECT (MIN(o_totalprice) + MAX(o_totalprice)) / 2 FROM t)), 4) AS o_totalprice FROM t",
     "impute_mean_nan": ORACLE_SQL["impute_mean"],
     "pooled_coefs": f"{_FILLED}{_FITS} SELECT term, ROUND(a, 8) AS coefs FROM b",
+    "plot_density": f"{_FILLED}, e AS (SELECT MIN(value) - (MAX(value) - MIN(value)) / 10 AS lo, (MAX(value) - MIN(value) + 2 * ((MAX(value) - MIN(value)) / 10)) / 99 AS w FROM l), g AS (SELECT imp_num, CAST(FLOOR((value - lo) / w + 0.5) AS INTEGER) AS bin, COUNT(*) AS c FROM l, e GROUP BY ALL), h AS (SELECT imp_num, COUNT(*) AS n, STDDEV_SAMP(value) * POWER(COUNT(*), -0.2) AS h FROM l GROUP BY imp_num), x AS (SELECT CAST(UNNEST(RANGE(100)) AS INTEGER) AS point) SELECT imp_num, point, ROUND(ANY_VALUE(lo + w * point), 4) AS x, ROUND(SUM(c * EXP(-0.5 * POWER((point - bin) * w / h, 2))) / ANY_VALUE(n * h * SQRT(2 * PI())), 13) AS density FROM x, g JOIN h USING (imp_num), e GROUP BY imp_num, point",
     "pairs_matrix": f"{_O}{_LONG} SELECT var_j, " + ", ".join(f"MAX(CASE WHEN var_k = '{c}' THEN rm END) AS {c}" for c in ORDERS) + " FROM p GROUP BY var_j",
 }
