@@ -28,6 +28,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 FILTERS = "ABCDE"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
@@ -99,7 +101,9 @@ def interactions(joint: DataFrame, filters: str = FILTERS) -> DataFrame:
 
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
-    return interactions(joint_failures(with_labels(with_copies(flagged(docs, part)), labels)))
+    """Flags are written once, about 60 bytes a row: the joins read them several times, and texts only once."""
+    rows = materialize(flagged(docs, part), "flags")
+    return interactions(joint_failures(with_labels(with_copies(rows), labels)))
 
 
 def op12_filter_audit(spark, sf_dir: str) -> DataFrame:
