@@ -1,14 +1,19 @@
 """PII surrogates with DataFrame functions only.
 
-Entities (addresses of mail, IP addresses, card and phone numbers, titled names)
-get a replacement that a key and the entity decide. What counts as one entity is
-a unit: a mail address whatever its case, the ten national digits of a phone
-number and the digits of a card whatever their separators and country code, and
-each word of a name with its gender, so that "Mr. Karl Braun" and "Mr Braun"
-share a surname afterwards too. Each mention keeps its own format: separators,
-country code, case, title; letters keep their script (Latin, Cyrillic, Greek;
-others become Latin), IP octets stay below 256, a card number that passes the
-Luhn check still does, and words of a name are pronounceable and end by gender.
+Entities (addresses of mail, IP addresses, card, phone, account (IBAN) and social
+security numbers, titled names) get a replacement that a key and the entity
+decide. What counts as one entity is a unit: a mail address whatever its case,
+the national digits of a phone number (ten at most) and the digits of a card or
+account whatever their separators and country code, and each word of a name with
+its gender, so that "Mr. Karl Braun" and "Mr Braun" share a surname afterwards
+too, and "Mrs Braun" has the same one but for its end. Words of a titled name are
+replaced wherever the same document has them without a title, by the unit that
+came first.
+Each mention keeps its own format: separators, country code, case, title;
+letters keep their script (Latin, Cyrillic, Greek; others become Latin), IP
+octets stay below 256, a card number that passes the Luhn check still does, an
+account number has valid check digits, and words of a name are pronounceable and
+end by gender (after Dr or Prof alone by neither).
 
 Collision check: distinct units whose replacements coincide with each other, or
 with a unit of the corpus, are drawn again with a higher attempt, until none
@@ -33,12 +38,17 @@ BROADCAST_ROWS = 10_000
 MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-][A-Za-z0-9.-]{0,252}(?<!\.)\.[A-Za-z]{2,63}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])"
 CARD = r"(?<![0-9A-Za-z])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![0-9A-Za-z])"
-TITLES_M, TITLES_F = "Mr|Herr|Monsieur|Señor|Г-н", "Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа"
-NAME = rf"(?<!\p{{L}})(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}\p{{Ll}}{{1,40}}(?: \p{{Lu}}\p{{Ll}}{{1,40}})?"
+#: Ten national digits in groups of 3, 3 and 4, or any number that begins with + and a country code.
+PHONE = r"(?<![0-9A-Za-z])(?:(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4})(?![0-9A-Za-z])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z])"
+SSN = r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"
+TITLES_M, TITLES_F, TITLES_N = "Mr|Herr|Monsieur|Señor|Г-н", "Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа", "Dr|Prof|Doctor|Professor"
+TITLE = rf"(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? "
+WORD = r"\p{Lu}\p{Ll}{1,40}(?:-\p{Lu}\p{Ll}{1,40}){0,2}"
+NAME = rf"(?<!\p{{L}})(?:{TITLE}){{1,2}}{WORD}(?: {WORD}){{0,2}}"
 CARD_ = CARD.replace("([ -]?)", "(?<sep>[ -]?)").replace(r"\1", r"\k<sep>")
-ANY = f"(?:{MAIL}|{IP}|{CARD_}|{PHONE}|{NAME})"
-KINDS = ("email", "ip", "card", "phone", "name")
+ANY = f"(?:{MAIL}|{IP}|{IBAN}|{CARD_}|{SSN}|{PHONE}|{NAME})"
+KINDS = ("email", "ip", "card", "phone", "name", "iban", "ssn")
 _SETS = (("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"))
 #: Consonants, vowels and the endings of female and male names, by script; the last serves all others.
 SCRIPTS = ((r"\p{IsCyrillic}", "бвгджзклмнпрстфхцчш", "аеиоуэюя", "а", "о"), (r"\p{IsGreek}", "βγδζθκλμνξπρστφχψ", "αεηιουω", "α", "ο"), (r"\p{L}", "bcdfghjklmnprstvz", "aeiou", "a", "o"))
@@ -46,7 +56,8 @@ SCRIPTS = ((r"\p{IsCyrillic}", "бвгджзклмнпрстфхцчш", "аеи
 
 def kind_of(e: Column) -> Column:
     digits = F.length(F.regexp_replace(e, r"\D", ""))
-    return F.when(e.contains("@"), "email").when(e.rlike(rf"^{IP}$"), "ip").when(e.rlike(r"^\p{L}"), "name").when((digits == 16) & ~e.startswith("+"), "card").otherwise("phone")
+    plain = F.when(e.contains("@"), "email").when(e.rlike(rf"^{IP}$"), "ip").when(e.rlike(rf"^{IBAN}$"), "iban").when(e.rlike(rf"^{SSN}$"), "ssn")
+    return plain.when(e.rlike(r"^\p{L}"), "name").when((digits == 16) & ~e.startswith("+"), "card").otherwise("phone")
 
 
 def _number(entities: str, kind: str) -> Column:
@@ -73,7 +84,7 @@ def _redrawn(text: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), lambda c, i: _first([(c.rlike(f"^{p}$"), _pick(held, h, i)) for p, held in _SETS], c)), "")
 
 
-def _word(word: Column, h: Column, female: Column) -> Column:
+def _word(word: Column, h: Column, gender: Column) -> Column:
     """Consonants and vowels in turn, in the word's script, ending by gender."""
 
     def one(c: Column, i: Column) -> Column:
@@ -81,7 +92,7 @@ def _word(word: Column, h: Column, female: Column) -> Column:
         return F.when(c.rlike(r"^\p{Lu}$"), F.upper(drawn)).otherwise(drawn)
 
     last = F.substring(word, -1, 1)
-    end = _first([(last.rlike(f"^{p}$"), F.when(female, f).otherwise(m)) for p, _, _, f, m in SCRIPTS], last)
+    end = _first([(last.rlike(f"^{p}$"), F.when(gender == "f", f).when(gender == "m", m).otherwise(_pick(soft, h, F.lit(30)))) for p, _, soft, f, m in SCRIPTS], last)
     return F.concat(F.array_join(F.transform(F.split(F.substr(word, F.lit(1), F.length(word) - 1), ""), one), ""), end)
 
 
@@ -93,22 +104,40 @@ def _digits(e: Column) -> Column:
     return F.regexp_replace(e, r"\D", "")
 
 
+def _national(e: Column) -> Column:
+    """The digits of a phone number after its country code, where that is told apart; ten at most."""
+    return F.substring(_digits(F.regexp_replace(e, r"^\+\d{1,3}[ .(-]", "")), -10, 10)
+
+
+def _bare(e: Column) -> Column:
+    """A name without its titles."""
+    return F.regexp_replace(e, rf"^(?:{TITLE}){{1,2}}", "")
+
+
 def _words(e: Column) -> Column:
     """The words of a titled name, as units."""
-    gender = F.when(e.rlike(rf"^(?:{TITLES_F})\.? "), "f|").otherwise("m|")
-    return F.transform(F.split(F.regexp_replace(e, r"^\S+ ", ""), " "), lambda w: F.concat(gender, w))
+    gender = F.when(e.rlike(rf"^(?:{TITLE})?(?:{TITLES_F})\.? "), "f|").when(e.rlike(rf"^(?:{TITLE})?(?:{TITLES_M})\.? "), "m|").otherwise("n|")
+    return F.transform(F.split(_bare(e), "[ -]"), lambda w: F.concat(gender, w))
 
 
 def units(e: Column) -> Column:
     """What a mention stands for, whatever its format."""
     kind = kind_of(e)
-    one = F.when(kind == "email", F.lower(e)).when(kind == "card", _digits(e)).when(kind == "phone", F.substring(_digits(e), -10, 10)).otherwise(e)
+    one = F.when(kind == "email", F.lower(e)).when(kind == "card", _digits(e)).when(kind == "phone", _national(e)).when(kind == "iban", F.concat(F.lit("I|"), F.replace(e, F.lit(" "), F.lit("")))).when(kind == "ssn", F.concat(F.lit("S|"), _digits(e))).otherwise(e)
     return F.when(kind == "name", _words(e)).otherwise(F.array(one))
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder of an account number's digits, letters counting from A = 10."""
+    digit = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.transform(F.split(text, ""), digit), F.lit(0), lambda r, d: (r * F.when(d > 9, 100).otherwise(10) + d) % 97)
+
+
 def surrogate(unit: Column, key: str, attempt: Column) -> Column:
     """The unit that takes the unit's place."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), attempt.cast("string"), unit), 256)
+    name_unit = unit.rlike("^[fmn][|]")
+    # a surname is one for all genders, but for its end
+    h = F.sha2(F.concat_ws("|", F.lit(key), attempt.cast("string"), F.when(name_unit, F.substr(unit, F.lit(3), F.length(unit))).otherwise(unit)), 256)
     local, domain = F.substring_index(unit, "@", 1), F.substring_index(unit, "@", -1)
     label = F.substring_index(domain, ".", 1)
     # crowded short addresses and names get longer ones
@@ -121,13 +150,17 @@ def surrogate(unit: Column, key: str, attempt: Column) -> Column:
     card = F.when((_luhn_sum(unit) % 10) == 0, F.concat(F.substr(moved, F.lit(1), F.lit(15)), check.cast("string"))).otherwise(moved)
     word = F.substr(unit, F.lit(3), F.length(unit))
     word = F.concat(word, F.when(crowded, F.repeat(F.substring(word, -1, 1), F.lit(6))).otherwise(F.lit("")))
-    name = F.concat(F.substring(unit, 1, 2), _word(word, h, unit.startswith("f|")))
-    return F.when(unit.contains("@"), mail).when(unit.rlike("^[fm][|]"), name).when(unit.rlike("^[0-9]{16}$"), card).when(unit.contains("."), ip).otherwise(moved)
+    name = F.concat(F.substring(unit, 1, 2), _word(word, h, F.substring(unit, 1, 1)))
+    country, body = F.substring(unit, 3, 2), F.upper(_redrawn(F.lower(F.substr(unit, F.lit(7), F.length(unit))), h))
+    account = F.concat(F.lit("I|"), country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
+    social = F.concat(F.lit("S|"), _redrawn(F.substr(unit, F.lit(3), F.length(unit)), h))
+    return F.when(unit.contains("@"), mail).when(name_unit, name).when(unit.startswith("I|"), account).when(unit.startswith("S|"), social).when(unit.rlike("^[0-9]{16}$"), card).when(unit.contains("."), ip).otherwise(moved)
 
 
 def _render(e: Column, new: Column) -> Column:
     """The mention with its units replaced by those of ``new``, in the format of the mention."""
-    kind, one, was = kind_of(e), new[0], F.split(e, "")
+    kind, was = kind_of(e), F.split(e, "")
+    one = F.when(kind.isin("iban", "ssn"), F.substr(new[0], F.lit(3), F.length(new[0]))).otherwise(new[0])
     mail = F.array_join(F.transform(F.split(one, ""), lambda c, i: F.when(F.get(was, i).rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
 
     def digit(c: Column, i: Column) -> Column:
@@ -135,8 +168,10 @@ def _render(e: Column, new: Column) -> Column:
         return F.when(c.rlike("^[0-9]$") & (at >= 0), F.substr(one, at + 1, F.lit(1))).otherwise(c)
 
     number = F.array_join(F.transform(was, digit), "")
-    name = F.concat(F.regexp_extract(e, r"^\S+ ", 0), F.array_join(F.transform(new, lambda u: F.substr(u, F.lit(3), F.length(u))), " "))
-    return F.when(kind == "email", mail).when(kind == "name", name).when(kind == "ip", one).otherwise(number)
+    account = F.array_join(F.transform(was, lambda c, i: F.when(c == " ", c).otherwise(F.substr(one, F.length(F.replace(F.substr(e, F.lit(1), i), F.lit(" "), F.lit(""))) + 1, F.lit(1)))), "")
+    between = F.concat(F.array(F.lit("")), F.regexp_extract_all(_bare(e), F.lit("([ -])"), F.lit(1)))
+    name = F.concat(F.regexp_extract(e, rf"^(?:{TITLE}){{0,2}}", 0), F.array_join(F.zip_with(between, new, lambda b, u: F.concat(b, F.substr(u, F.lit(3), F.length(u)))), ""))
+    return F.when(kind == "email", mail).when(kind == "name", name).when(kind == "ip", one).when(kind == "iban", account).otherwise(number)
 
 
 def _free(name: str, columns: list[str]) -> str:
@@ -164,9 +199,9 @@ def exceptions(found: DataFrame, key: str) -> DataFrame | None:
 def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text") -> DataFrame:
     """docs with their entities replaced in ``text_col``, and n_<kind> of each kind."""
     docs = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn(text_col, F.col(text_col).cast("string"))
-    entities = F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1))
-    meant = F.flatten(F.transform(entities, units))
-    exc_, tid_, ents = (_free(x, docs.columns) for x in ("__exc", "__tid", "__e"))
+    titled = F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1))
+    exc_, tid_, ents, named_ = (_free(x, docs.columns) for x in ("__exc", "__tid", "__e", "__named"))
+    meant = F.flatten(F.transform(titled, units))
     suspect = F.col(text_col).rlike(ANY)
     distinct = docs.where(suspect).select(F.explode(F.array_distinct(meant)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     exc = exceptions(distinct.select("entity"), key)
@@ -180,10 +215,24 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text
         maps = hit.groupBy(tid_).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(exc_))
         touched = maps.count()
         marked = docs.withColumn(tid_, tid).join(F.broadcast(maps) if touched <= BROADCAST_ROWS else maps, tid_, "left").drop(tid_)
-    marked = marked.withColumn(ents, F.when(suspect, entities).otherwise(F.array().cast("array<string>")))
+    # the words of a document's titled names, those of longer names first, and a pattern that finds them without a title
+    of_names = F.transform(F.filter(titled, lambda e: kind_of(e) == "name"), units)
+    named = F.array_distinct(F.flatten(F.concat(F.filter(of_names, lambda u: F.size(u) > 1), F.filter(of_names, lambda u: F.size(u) == 1))))
+    marked = marked.withColumn(named_, F.when(suspect, named).otherwise(F.array().cast("array<string>")))
+    words = F.array_distinct(F.transform(named_, lambda u: F.substr(u, F.lit(3), F.length(u))))
+    pattern = F.when(F.size(named_) == 0, F.lit(ANY)).otherwise(F.concat(F.lit(f"(?:{ANY}|(?<!\\p{{L}})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L}))")))
+    found = F.regexp_extract_all(F.col(text_col), F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))
+    marked = marked.withColumn(ents, F.when(suspect, found).otherwise(F.array().cast("array<string>")))
     attempt = lambda u: F.coalesce(F.element_at(F.col(exc_), u), F.lit(0))
-    gaps = F.split(F.col(text_col), ANY, -1)
-    new = F.transform(ents, lambda e: _render(e, F.transform(units(e), lambda u: surrogate(u, key, attempt(u)))))
+    gaps = F.split(F.col(text_col), pattern, -1)
+
+    def here(e: Column) -> Column:
+        """The units of a mention; a single word without a title is the document's first unit of that word."""
+        own = units(e)
+        same = F.filter(F.col(named_), lambda u: F.substr(u, F.lit(3), F.length(u)) == _bare(e))
+        return F.when((kind_of(e) == "name") & ~e.rlike(rf"^{TITLE}") & (F.size(same) > 0), F.slice(same, 1, 1)).otherwise(own)
+
+    new = F.transform(ents, lambda e: _render(e, F.transform(here(e), lambda u: surrogate(u, key, attempt(u)))))
     filled = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("s")), lambda z: F.concat(F.coalesce(z["g"], F.lit("")), F.coalesce(z["s"], F.lit("")))), "")
     counts = {f"n_{k}": _number(ents, k) for k in KINDS}
     cells = [(F.when(F.size(ents) > 0, filled).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
