@@ -35,7 +35,8 @@ from .common import materialize
 BROADCAST_ROWS = 10_000
 # Java matches repeated groups by recursion, so that a text can overflow the stack: only classes are repeated without a small bound
 #: A domain has 253 characters at most and its last label 63, as in the DNS.
-MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-][A-Za-z0-9.-]{0,252}(?<!\.)\.[A-Za-z]{2,63}"
+#: A local part begins where no other character of its kind stands before, and is taken at once.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-][A-Za-z0-9.-]{0,252}(?<!\.)\.[A-Za-z]{2,63}"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])"
 CARD = r"(?<![0-9A-Za-z])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![0-9A-Za-z])"
 #: Ten national digits in groups of 3, 3 and 4, or any number that begins with + and a country code.
@@ -202,8 +203,7 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text
     titled = F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1))
     exc_, tid_, ents, named_ = (_free(x, docs.columns) for x in ("__exc", "__tid", "__e", "__named"))
     meant = F.flatten(F.transform(titled, units))
-    suspect = F.col(text_col).rlike(ANY)
-    distinct = docs.where(suspect).select(F.explode(F.array_distinct(meant)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    distinct = docs.select(F.explode(F.array_distinct(meant)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     exc = exceptions(distinct.select("entity"), key)
     none = F.lit(None).cast("map<string,int>")
     if exc is None:
@@ -211,18 +211,19 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text
     else:
         tid = F.xxhash64(F.col(text_col), F.length(text_col))
         small = exc.count() <= BROADCAST_ROWS
-        hit = docs.where(suspect).select(tid.alias(tid_), F.explode(F.array_distinct(meant)).alias("entity")).join(F.broadcast(exc) if small else exc, "entity").distinct()
+        hit = docs.select(tid.alias(tid_), F.explode(F.array_distinct(meant)).alias("entity")).join(F.broadcast(exc) if small else exc, "entity").distinct()
         maps = hit.groupBy(tid_).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(exc_))
         touched = maps.count()
         marked = docs.withColumn(tid_, tid).join(F.broadcast(maps) if touched <= BROADCAST_ROWS else maps, tid_, "left").drop(tid_)
     # the words of a document's titled names, those of longer names first, and a pattern that finds them without a title
-    of_names = F.transform(F.filter(titled, lambda e: kind_of(e) == "name"), units)
+    marked = marked.withColumn(ents, F.coalesce(titled, F.array().cast("array<string>")))
+    of_names = F.transform(F.filter(F.col(ents), lambda e: kind_of(e) == "name"), units)
     named = F.array_distinct(F.flatten(F.concat(F.filter(of_names, lambda u: F.size(u) > 1), F.filter(of_names, lambda u: F.size(u) == 1))))
-    marked = marked.withColumn(named_, F.when(suspect, named).otherwise(F.array().cast("array<string>")))
+    marked = marked.withColumn(named_, named)
     words = F.array_distinct(F.transform(named_, lambda u: F.substr(u, F.lit(3), F.length(u))))
     pattern = F.when(F.size(named_) == 0, F.lit(ANY)).otherwise(F.concat(F.lit(f"(?:{ANY}|(?<!\\p{{L}})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L}))")))
     found = F.regexp_extract_all(F.col(text_col), F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))
-    marked = marked.withColumn(ents, F.when(suspect, found).otherwise(F.array().cast("array<string>")))
+    marked = marked.withColumn(ents, F.when(F.size(named_) > 0, found).otherwise(F.col(ents)))
     attempt = lambda u: F.coalesce(F.element_at(F.col(exc_), u), F.lit(0))
     gaps = F.split(F.col(text_col), pattern, -1)
 
