@@ -61,8 +61,8 @@ def kind_of(e: Column) -> Column:
     return plain.when(e.rlike(r"^\p{L}"), "name").when((digits == 16) & ~e.startswith("+"), "card").otherwise("phone")
 
 
-def _number(entities: str, kind: str) -> Column:
-    return F.size(F.filter(entities, lambda e: kind_of(e) == kind)).cast("long")
+def _number(mentions: str, kind: str) -> Column:
+    return F.size(F.filter(mentions, lambda z: z["kind"] == kind)).cast("long")
 
 
 def _byte(h: Column, i: Column) -> Column:
@@ -121,9 +121,13 @@ def _words(e: Column) -> Column:
     return F.transform(F.split(_bare(e), "[ -]"), lambda w: F.concat(gender, w))
 
 
-def units(e: Column) -> Column:
+def with_kinds(mentions: Column) -> Column:
+    """(e, kind) of each mention: expressions below read the kind instead of repeating how it is told."""
+    return F.transform(mentions, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+
+
+def units(e: Column, kind: Column) -> Column:
     """What a mention stands for, whatever its format."""
-    kind = kind_of(e)
     one = F.when(kind == "email", F.lower(e)).when(kind == "card", _digits(e)).when(kind == "phone", _national(e)).when(kind == "iban", F.concat(F.lit("I|"), F.replace(e, F.lit(" "), F.lit("")))).when(kind == "ssn", F.concat(F.lit("S|"), _digits(e))).otherwise(e)
     return F.when(kind == "name", _words(e)).otherwise(F.array(one))
 
@@ -158,10 +162,9 @@ def surrogate(unit: Column, key: str, attempt: Column) -> Column:
     return F.when(unit.contains("@"), mail).when(name_unit, name).when(unit.startswith("I|"), account).when(unit.startswith("S|"), social).when(unit.rlike("^[0-9]{16}$"), card).when(unit.contains("."), ip).otherwise(moved)
 
 
-def _render(e: Column, new: Column) -> Column:
-    """The mention with its units replaced by those of ``new``, in the format of the mention."""
-    kind, was = kind_of(e), F.split(e, "")
-    one = F.when(kind.isin("iban", "ssn"), F.substr(new[0], F.lit(3), F.length(new[0]))).otherwise(new[0])
+def _render(e: Column, kind: Column, new: Column, one: Column) -> Column:
+    """The mention with its units replaced by those of ``new``, in the format of the mention; ``one`` is the first without its mark."""
+    was = F.split(e, "")
     mail = F.array_join(F.transform(F.split(one, ""), lambda c, i: F.when(F.get(was, i).rlike("^[A-Z]$"), F.upper(c)).otherwise(c)), "")
 
     def digit(c: Column, i: Column) -> Column:
@@ -202,7 +205,8 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text
     docs = docs.drop(*[f"n_{k}" for k in KINDS]).withColumn(text_col, F.col(text_col).cast("string"))
     titled = F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1))
     exc_, tid_, ents, named_ = (_free(x, docs.columns) for x in ("__exc", "__tid", "__e", "__named"))
-    meant = F.flatten(F.transform(titled, units))
+    known = with_kinds(titled)
+    meant = F.flatten(F.transform(known, lambda z: units(z["e"], z["kind"])))
     distinct = docs.select(F.explode(F.array_distinct(meant)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     exc = exceptions(distinct.select("entity"), key)
     none = F.lit(None).cast("map<string,int>")
@@ -216,24 +220,28 @@ def pseudonymise(docs: DataFrame, key: str = "surrogates", text_col: str = "text
         touched = maps.count()
         marked = docs.withColumn(tid_, tid).join(F.broadcast(maps) if touched <= BROADCAST_ROWS else maps, tid_, "left").drop(tid_)
     # the words of a document's titled names, those of longer names first, and a pattern that finds them without a title
-    marked = marked.withColumn(ents, F.coalesce(titled, F.array().cast("array<string>")))
-    of_names = F.transform(F.filter(F.col(ents), lambda e: kind_of(e) == "name"), units)
+    none = F.array().cast("array<struct<e:string,kind:string>>")
+    marked = marked.withColumn(ents, F.coalesce(known, none))
+    of_names = F.transform(F.filter(F.col(ents), lambda z: z["kind"] == "name"), lambda z: _words(z["e"]))
     named = F.array_distinct(F.flatten(F.concat(F.filter(of_names, lambda u: F.size(u) > 1), F.filter(of_names, lambda u: F.size(u) == 1))))
     marked = marked.withColumn(named_, named)
     words = F.array_distinct(F.transform(named_, lambda u: F.substr(u, F.lit(3), F.length(u))))
     pattern = F.when(F.size(named_) == 0, F.lit(ANY)).otherwise(F.concat(F.lit(f"(?:{ANY}|(?<!\\p{{L}})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L}))")))
     found = F.regexp_extract_all(F.col(text_col), F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))
-    marked = marked.withColumn(ents, F.when(F.size(named_) > 0, found).otherwise(F.col(ents)))
+    marked = marked.withColumn(ents, F.when(F.size(named_) > 0, with_kinds(found)).otherwise(F.col(ents)))
     attempt = lambda u: F.coalesce(F.element_at(F.col(exc_), u), F.lit(0))
     gaps = F.split(F.col(text_col), pattern, -1)
 
-    def here(e: Column) -> Column:
+    def here(e: Column, kind: Column) -> Column:
         """The units of a mention; a single word without a title is the document's first unit of that word."""
-        own = units(e)
-        same = F.filter(F.col(named_), lambda u: F.substr(u, F.lit(3), F.length(u)) == _bare(e))
-        return F.when((kind_of(e) == "name") & ~e.rlike(rf"^{TITLE}") & (F.size(same) > 0), F.slice(same, 1, 1)).otherwise(own)
-
-    new = F.transform(ents, lambda e: _render(e, F.transform(here(e), lambda u: surrogate(u, key, attempt(u)))))
+        same = F.filter(F.col(named_), lambda u: F.substr(u, F.lit(3), F.length(u)) == e)
+        return F.when((kind == "name") & ~e.rlike(rf"^{TITLE}") & (F.size(same) > 0), F.slice(same, 1, 1)).otherwise(units(e, kind))
+
+    # step by step, so that each expression stands in the plan once
+    meant_here = F.transform(ents, lambda z: F.struct(z["e"].alias("e"), z["kind"].alias("kind"), here(z["e"], z["kind"]).alias("u")))
+    changed = F.transform(meant_here, lambda z: F.struct(z["e"].alias("e"), z["kind"].alias("kind"), F.transform(z["u"], lambda u: surrogate(u, key, attempt(u))).alias("new")))
+    first = F.transform(changed, lambda z: F.struct(z["e"].alias("e"), z["kind"].alias("kind"), z["new"].alias("new"), F.when(z["kind"].isin("iban", "ssn"), F.substr(z["new"][0], F.lit(3), F.length(z["new"][0]))).otherwise(z["new"][0]).alias("one")))
+    new = F.transform(first, lambda z: _render(z["e"], z["kind"], z["new"], z["one"]))
     filled = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("s")), lambda z: F.concat(F.coalesce(z["g"], F.lit("")), F.coalesce(z["s"], F.lit("")))), "")
     counts = {f"n_{k}": _number(ents, k) for k in KINDS}
     cells = [(F.when(F.size(ents) > 0, filled).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
