@@ -37,17 +37,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffer_of, discard, materialize, reclaim, table
+from .common import blocks, buffer_of, discard, materialize, ranges, reclaim, table
 
 WIDTH, GRAM, CHUNK = 50, 16, 128
 #: Bytes of a shard and of the shards merged at once; strings of a segment; distinct segments of an anchor that a task takes.
 SHARD, BATCH, LONGEST, HOT = 1 << 18, 2 << 20, 256, 1 << 16
-#: Rounds from one look for blocks of one owner to the next.
+#: Characters from one look for blocks of one owner to the next.
 PRUNE = 6
+#: Bytes that are hashed at once: short texts together, a longer one whole.
+PIECE = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,9 +60,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def gram_hashes(raw: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """Hash of each ``width``-byte string, by doubling of polynomial hashes."""
-    now, size = _mix(raw.astype(np.uint64) + np.uint64(1)), 1
+    now, size = _BYTES[raw], 1
     total, at = None, 0
     power = base
     left = width
@@ -89,38 +95,74 @@ def lowest(raw: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:count], low[w - size : w - size + count]).view(np.int64)
 
 
+def pieces(off: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of about ``size`` bytes of the texts that ``off`` bounds, whole texts."""
+    i = 0
+    while i < len(off) - 1:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
+        yield int(off[i]), int(off[j])
+        i = j
+
+
+def strings_in(off: np.ndarray, width: int) -> np.ndarray:
+    """Where strings of ``width`` bytes begin that end in the same text; any other text begins behind a place without one."""
+    out = np.ones(off[-1], bool)
+    for a, b in zip(np.maximum(off[:-1], off[1:] - width + 1).tolist(), off[1:].tolist()):
+        out[a:b] = False
+    return out
+
+
+def bounds(lists: pa.Array, off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of each run (at, n) that the texts' lists hold; a null list is empty."""
+    held = lists.flatten()
+    at = held.field("at").to_numpy() + np.repeat(off[:-1], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return zip(at.tolist(), (at + held.field("n").to_numpy()).tolist())
+
+
 def _chunks(width: int):
     """(doc_id, h, at, n, cid): the n strings from ``at`` on, and the hash of all their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             raw, off = buffer_of(batch.column("text"))
-            doc, h = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy()
-            out: list[list] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                part = raw[off[i] : off[i + 1]]
-                strings = len(part) - width + 1
-                if strings < 1:
-                    continue
-                cuts = np.flatnonzero(gram_hashes(part, min(GRAM, width), _BASE)[1:strings] % np.uint64(CHUNK) == 0) + 1
-                edges, whole = [0, *cuts.tolist(), strings], part.tobytes()
-                for a, b in zip(edges[:-1], edges[1:]):
-                    out[0].append(doc[i])
-                    out[1].append(h[i])
-                    out[2].append(a)
-                    out[3].append(b - a)
-                    out[4].append(xxhash.xxh3_128_digest(whole[a : b + width - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "h", "at", "n", "cid"])
+            edge = np.zeros(len(raw), bool)
+            for a, b in pieces(off, PIECE):
+                cuts = gram_hashes(raw[a:b], min(GRAM, width), _BASE) % np.uint64(CHUNK) == 0
+                edge[a : a + len(cuts)] = cuts
+            edge[off[:-1][off[:-1] < len(raw)]] = True
+            at = np.flatnonzero(edge & strings_in(off, width))
+            row = np.searchsorted(off, at, side="right") - 1
+            n = np.minimum(np.append(at[1:], len(raw)), off[row + 1] - width + 1) - at
+            whole = raw.tobytes()
+            cid = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(at.tolist(), (at + n + width - 1).tolist())]
+            doc, h = batch.column("doc_id").to_numpy()[row], batch.column("h").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array(at - off[row], pa.int32()), pa.array(n, pa.int32()), pa.array(cid, pa.binary())], names=["doc_id", "h", "at", "n", "cid"])
 
     return run
 
 
-def _open(count: int, gone: list[dict] | None) -> np.ndarray:
-    """Which of ``count`` strings are in none of the runs."""
-    out = np.ones(count, bool)
-    for g in gone or []:
-        out[g["at"] : g["at"] + g["n"]] = False
-    return out
+def anchored(raw: np.ndarray, off: np.ndarray, gone: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop, anchor) of neighbouring strings of one anchor, but those in the runs ``gone``; places are those in ``raw``."""
+    use = strings_in(off, width)
+    for a, b in bounds(gone, off):
+        use[a:b] = False
+    head = np.zeros(len(raw) + 1, bool)
+    head[off[:-1]] = True
+    found: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for a, b in pieces(off, PIECE):
+        low = lowest(raw[a:b], width)
+        if not len(low):
+            continue
+        here = use[a : a + len(low)]
+        first = np.concatenate([[True], (low[1:] != low[:-1]) | (here[1:] != here[:-1]) | head[a + 1 : a + len(low)]])
+        at = np.flatnonzero(first)
+        stop = np.append(at[1:], len(low))
+        taken = here[at]
+        at = at[taken]
+        for x, y in zip(found, (at + a, stop[taken] + a, low[at])):
+            x.append(y)
+    start, stop, anchor = (np.concatenate(x) for x in found)
+    return np.searchsorted(off, start, side="right") - 1, start, stop, anchor
 
 
 def _anchor_rows(width: int):
@@ -129,25 +171,25 @@ def _anchor_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             raw, off = buffer_of(batch.column("text"))
-            found = []
-            for i, gone in enumerate(batch.column("gone").to_pylist()):
-                low = lowest(raw[off[i] : off[i + 1]], width)
-                found.append(np.unique(low[_open(len(low), gone)]))
-            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
-            anchor = np.concatenate([*found, np.zeros(0, np.int64)])
-            order = np.lexsort((doc, anchor))
-            anchor, doc = anchor[order], doc[order]
-            if not len(anchor):
+            row, _, _, anchor = anchored(raw, off, batch.column("gone"), width)
+            if not len(row):
                 continue
+            doc = batch.column("doc_id").to_numpy()[row]
+            order = np.argsort(anchor)
+            anchor, doc = anchor[order], doc[order]
             first = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             at = np.flatnonzero(first)
-            ends = np.append(at[1:], len(anchor)) - 1
-            several = doc[at] != doc[ends]
+            low = np.minimum.reduceat(doc, at)
+            several = low < np.maximum.reduceat(doc, at)
+            lone, marks = at[~several], anchor[at[several]]
             done = several[np.cumsum(first) - 1]
-            one = np.concatenate([[True], ~first[1:] & (doc[1:] != doc[:-1])]) | first
-            marks = anchor[at[several]]
+            both = np.stack([anchor[done], doc[done]])
+            both = both[:, np.lexsort(both[::-1])]
+            both = both[:, np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(0)])[: both.shape[1]]]
+            known, count = len(lone) + both.shape[1], len(lone) + both.shape[1] + len(marks)
+            place = np.arange(count)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([anchor[one], marks])), pa.array(np.concatenate([doc[one], np.zeros(len(marks), np.int64)]), mask=np.arange(one.sum() + len(marks)) >= one.sum()), pa.array(np.concatenate([done[one], np.zeros(len(marks), bool)]))],
+                [pa.array(np.concatenate([anchor[lone], both[0], marks])), pa.array(np.concatenate([low[~several], both[1], np.zeros(len(marks), np.int64)]), mask=place >= known), pa.array((place >= len(lone)) & (place < known))],
                 names=["anchor", "doc_id", "done"],
             )
 
@@ -189,33 +231,22 @@ def _segments(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             raw, off = buffer_of(batch.column("text"))
-            doc, h, held = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy(), batch.column("shared")
-            copied = batch.column("gone").to_pylist()
+            row, start, stop, anchor = anchored(raw, off, batch.column("gone"), width)
+            # an anchor is shared or not, whatever the document
+            shared = np.unique(batch.column("shared").flatten().to_numpy())
+            use = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, anchor), len(shared) - 1)] == anchor)
+            parts = -(-(stop[use] - start[use]) // LONGEST)
+            which = np.repeat(use, parts)
+            begin = start[which] + LONGEST * ranges(np.zeros(len(use), np.int64), parts)
+            end = np.minimum(begin + LONGEST, stop[which]) + width - 1
+            whole = raw.tobytes()
+            segs = [whole[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+            names = [xxhash.xxh3_128_digest(seg) for seg in segs]
             seen: set[bytes] = set()
-            out: list[list] = [[], [], [], [], [], []]
-            for i in range(batch.num_rows):
-                part = raw[off[i] : off[i + 1]]
-                low = lowest(part, width)
-                if not len(low):
-                    continue
-                use = np.isin(low, held[i].values.to_numpy()) & _open(len(low), copied[i])
-                first = np.concatenate([[True], (low[1:] != low[:-1]) | (use[1:] != use[:-1])])
-                at = np.flatnonzero(first)
-                cut = (np.arange(len(low)) - at[np.cumsum(first) - 1]) % LONGEST == 0
-                edges = np.flatnonzero(cut)
-                ends = np.append(edges[1:], len(low))
-                whole = part.tobytes()
-                for a, b in zip(edges[use[edges]].tolist(), ends[use[edges]].tolist()):
-                    seg = whole[a : b + width - 1]
-                    name = xxhash.xxh3_128_digest(seg)
-                    out[0].append(doc[i])
-                    out[1].append(h[i])
-                    out[2].append(a)
-                    out[3].append(low[a])
-                    out[4].append(name)
-                    out[5].append(None if name in seen else seg)
-                    seen.add(name)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "h", "start", "anchor", "sid", "seg"])
+            once = [None if name in seen or seen.add(name) else seg for name, seg in zip(names, segs)]
+            doc, h, row = batch.column("doc_id").to_numpy(), batch.column("h").to_numpy(), row[which]
+            cells = [doc[row], h[row], begin - off[row], anchor[which], names, once]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "h", "start", "anchor", "sid", "seg"])
 
     return run
 
@@ -265,33 +296,45 @@ class Shard:
         inside = np.ones(n, bool)
         inside[stops] = False
         text[inside] = raw
-        # seven characters at once, none after an end; suffixes that end so soon go by their string
+        # some characters at once, none after an end, and the place; suffixes that end so soon go by their string
+        bits = n.bit_length()
+        if 3 * bits > 63:
+            raise ValueError("a shard holds at most 2^21 characters")
         left = np.repeat(stops, lengths + 1) - np.arange(n)
+        size = (63 - bits) // int(end).bit_length()
         key = np.zeros(n, np.int64)
-        for k in range(7):
-            key <<= 9
+        for k in range(min(size, n)):
+            key <<= int(end).bit_length()
             key[: n - k] += np.where(left[: n - k] >= k, text[k:], 0)
-        order = np.argsort(key, kind="stable")
-        fresh = (key[order[1:]] != key[order[:-1]]) | (left[order[1:]] < 7)
-        size, longest = 7, int(lengths.max(initial=0)) + 1
+        order, fresh = self._sorted(key, np.arange(n), bits)
+        fresh[1:] |= left[order[1:]] < size
+        # then by ranks of twice as many, those only that are not alone in theirs
+        rank, place = np.empty(n, np.int64), np.arange(n)
+        now = order
         while True:
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(fresh)])
-            if size >= longest or rank[order[-1]] == n - 1:
+            heads = np.flatnonzero(fresh)
+            several = np.repeat(np.diff(np.append(heads, len(now))) > 1, np.diff(np.append(heads, len(now))))
+            rank[now] = place[heads][np.cumsum(fresh) - 1]
+            now, place = now[several], place[several]
+            if not len(now):
                 break
-            key = rank * (n + 1)
-            key[: n - size] += rank[size:] + 1
-            order = np.argsort(key)
-            fresh = key[order[1:]] != key[order[:-1]]
+            now, fresh = self._sorted(rank[now] << bits | rank[now + size], now, bits)
+            order[place] = now
             size *= 2
         self.order, self.bwt = order, text[order - 1]
 
+    @staticmethod
+    def _sorted(key: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places by (key, place), and where the key is another than before."""
+        both = np.sort(key << bits | place)
+        return both & (1 << bits) - 1, np.diff(both >> bits, prepend=-1) != 0
+
 
 def merge(shards: list[np.ndarray], owner: list[np.ndarray], depth: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, block) of the suffixes that agree with one of another owner in ``depth`` characters, in merged order.
 
     Takes the transforms and each row's owner; rows count through all shards.
-    Round k distributes the interleave of round k - 1 by the characters before.
+    A round distributes the interleave of the last one by the two characters before, or by one.
     Blocks of one owner are left out: what lies before them is such a block too.
     """
     bwt, held = np.concatenate(shards), np.concatenate(owner)
@@ -301,12 +344,19 @@ def merge(shards: list[np.ndarray], owner: list[np.ndarray], depth: int, end: in
         before[start + np.argsort(part, kind="stable")] = np.arange(start, start + len(part), dtype=np.int32)
         start += len(part)
     row, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
-    for k in range(1, depth + 1):
-        char = bwt[row]
-        order = np.argsort(char, kind="stable")[: len(row) - int((char == end).sum())]
+    # two characters at once, where both fit into 16 bits; none is above the end
+    steps = [(1, bwt, before)]
+    if bwt.dtype == np.uint8:
+        steps.append((2, np.where(bwt == end, np.uint16(0xFFFF), bwt[before].astype(np.uint16) << 8 | bwt), before[before]))
+    k = 0
+    while k < depth:
+        size, chars, back = steps[-1 if depth - k > 1 else 0]
+        k += size
+        char = chars[row]
+        order = np.argsort(char, kind="stable")[: len(row) - int((char >= end << 8 * (size - 1)).sum())]
         if not len(order):
             return row[:0], block[:0]
-        char, old, row = char[order], block[order], before[row[order]]
+        char, old, row = char[order], block[order], back[row[order]]
         fresh = np.concatenate([[True], (char[1:] != char[:-1]) | (old[1:] != old[:-1])])
         block = np.cumsum(fresh, dtype=np.int32) - 1
         if k % PRUNE == 0 or k == depth:
@@ -384,15 +434,19 @@ def _digest(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             raw, off = buffer_of(batch.column("text"))
-            rows = []
-            for i, gone in enumerate(batch.column("gone").to_pylist()):
-                part = raw[off[i] : off[i + 1]]
-                out = np.zeros(len(part), bool)
-                for g in gone or []:
-                    out[g["at"] : g["at"] + g["n"] + width - 1] = True
-                spans = int(np.diff(out.astype(np.int8), prepend=0).clip(0).sum())
-                rows.append((len(part), int(out.sum()), spans, hashlib.sha256(part[~out].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]], names=["doc_id", *kinds.names])
+            out = np.zeros(len(raw) + 1, bool)
+            for a, b in bounds(batch.column("gone"), off):
+                out[a : b + width - 1] = True
+            begins = out[:-1].copy()
+            begins[1:] &= ~out[:-2]
+            heads = off[:-1][off[:-1] < len(raw)]
+            begins[heads] = out[heads]
+            counts = [np.diff(np.concatenate([[0], np.cumsum(x)])[off]) for x in (out[:-1], begins)]
+            digests = []
+            for a, b, n in zip(off[:-1].tolist(), off[1:].tolist(), counts[0].tolist()):
+                part = raw[a:b]
+                digests.append(hashlib.sha256(part[~out[a:b]] if n else part).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip((np.diff(off), *counts, digests), kinds)]], names=["doc_id", *kinds.names])
 
     return run
 
