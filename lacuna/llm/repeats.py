@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, buffer_of, discard, materialize, ranges, reclaim, table
@@ -49,6 +49,8 @@ WIDTH, GRAM, CHUNK = 50, 16, 128
 SHARD, BATCH, LONGEST, HOT = 1 << 18, 2 << 20, 256, 1 << 16
 #: Characters from one look for blocks of one owner to the next.
 PRUNE = 6
+#: Ranges of places of an anchor in a string that are looked at together.
+BANDS = 4
 #: Bytes that are hashed at once: short texts together, a longer one whole.
 PIECE = 1 << 15
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -197,7 +199,7 @@ def _anchor_rows(width: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, anchor) of shared anchors, from rows sorted by (done, anchor); of the last run only its state is kept."""
+    """(doc_id, anchor) of shared anchors, from rows sorted by anchor; of the last run only its state is kept."""
     last, lone, known = None, None, False
     for batch in batches:
         if not batch.num_rows:
@@ -252,13 +254,12 @@ def _segments(width: int):
 
 
 def promising(raw: np.ndarray, off: np.ndarray, anchor: np.ndarray, owner: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
-    """Segments that may hold a repeat: several documents have what half a string adds to the anchor on one side.
+    """Segments that may hold a repeat: several documents have what all strings with the anchor about one place have in common.
 
-    A string holds at least that much on one of its sides. Where an anchor
+    The places of the anchor in a string fall into ``BANDS``. Where an anchor
     occurs twice in a segment, all its segments go on.
     """
     gram = min(GRAM, width)
-    half = (width - gram + 1) // 2
     string = np.repeat(np.arange(len(anchor)), np.diff(off))
     found = gram_hashes(raw, gram, _BASE).view(np.int64)
     place = np.flatnonzero(found == anchor[string[: len(found)]])
@@ -268,21 +269,21 @@ def promising(raw: np.ndarray, off: np.ndarray, anchor: np.ndarray, owner: np.nd
     at = np.zeros(len(anchor), np.int64)
     at[which] = place
     out = np.isin(anchor, anchor[~alone])
-    weight = np.cumprod(np.full(half + 1, _BASE))
-    sides = []
-    for fits, first, step in ((off[1:] - at - gram >= half, at + gram, 1), (at - off[:-1] >= half, at - 1, -1)):
-        who = np.flatnonzero(fits & ~out)
-        key = anchor[who].view(np.uint64) * weight[half] + np.uint64(step == 1)
-        for k in range(half):
-            key += (raw[first[who] + step * k].astype(np.uint64) + np.uint64(1)) * weight[k]
-        sides.append((who, _mix(key)))
-    who, key = (np.concatenate(x) for x in zip(*sides))
-    _, which = np.unique(key, return_inverse=True)
-    lo = np.full(len(key), np.iinfo(np.int64).max)
-    hi = np.full(len(key), np.iinfo(np.int64).min)
-    np.minimum.at(lo, which, owner[who])
-    np.maximum.at(hi, which, last[who])
-    out[who[(lo < hi)[which]]] = True
+    single = ~out
+    edges = np.linspace(0, width - gram + 1, BANDS + 1).astype(int)
+    for low, high in zip(edges[:-1], edges[1:]):
+        first, size = at - low, width - (high - 1 - low)
+        who = np.flatnonzero((first >= off[:-1]) & (first + size <= off[1:]) & single)
+        if low == high or not len(who):
+            continue
+        key = np.zeros(len(who), np.uint64)
+        for k in range(size):
+            key = key * _BASE + _BYTES[raw[first[who] + k]]
+        order = np.argsort(key)
+        who, key = who[order], key[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        several = np.minimum.reduceat(owner[who], heads) < np.maximum.reduceat(last[who], heads)
+        out[who[np.repeat(several, np.diff(np.append(heads, len(who))))]] = True
     return out
 
 
@@ -466,19 +467,21 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     known = rows.where("doc_id IS NOT NULL")
     run = F.struct("at", "n")
-    chunks = materialize(known.mapInArrow(_chunks(width), "doc_id long, h long, at int, n int, cid binary"), "chunks")
-    several = chunks.groupBy("cid").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("cid", "owner")
-    copied = materialize(chunks.join(several, "cid").where("owner < doc_id").select("doc_id", "h", "at", "n"), "copied")
-    discard(chunks)
+    chunks = known.mapInArrow(_chunks(width), "doc_id long, h long, at int, n int, cid binary")
+    owner = F.min("doc_id").over(Window.partitionBy("cid"))
+    copied = materialize(chunks.withColumn("owner", owner).where("owner < doc_id").select("doc_id", "h", "at", "n"), "copied")
     reclaim(docs.sparkSession)
     listed = copied.groupBy("doc_id", "h").agg(F.collect_list(run).alias("gone"))
 
     made = known.join(listed, ["doc_id", "h"], "left").select("doc_id", "text", "gone").mapInArrow(_anchor_rows(width), "anchor long, doc_id long, done boolean")
-    dealt = made.repartition(F.when(F.col("done"), F.col("doc_id")).otherwise(F.col("anchor"))).sortWithinPartitions("done", "anchor")
+    dealt = made.repartition(F.when(F.col("done"), F.col("doc_id")).otherwise(F.col("anchor"))).sortWithinPartitions("anchor")
     shared = materialize(dealt.mapInArrow(_shared, "doc_id long, anchor long"), "anchors")
     reclaim(docs.sparkSession)
     lists = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
-    left = known.join(lists, "doc_id").join(listed, ["doc_id", "h"], "left").select("doc_id", "h", "text", "shared", "gone")
+    # by the id alone, as the anchors are, so that texts are dealt once
+    runs = copied.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n")).alias("gone"))
+    gone = F.filter("gone", lambda g: g["h"] == F.col("h")).alias("gone")
+    left = known.join(lists, "doc_id").join(runs, "doc_id", "left").select("doc_id", "h", "text", "shared", gone)
     cut = materialize(left.mapInArrow(_segments(width), "doc_id long, h long, start int, anchor long, sid binary, seg binary"), "segments")
     discard(shared)
     reclaim(docs.sparkSession)

@@ -62,3 +62,21 @@ def test_owners(width, alphabet):
         got = repeats.owners(np.frombuffer(b"".join(strings), np.uint8), off, owner, width, shard)
         none = np.iinfo(np.int64).max
         assert got.tolist() == [least[s[p : p + width]] if p <= len(s) - width else none for s in strings for p in range(len(s) + 1)]
+
+
+def test_segments_that_may_hold_a_repeat():
+    """A segment goes on if and only if a string about its anchor may be in another document; 34 common bytes at one side were enough before."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 123, 66).astype(np.uint8)
+    low = repeats.lowest(text, 50)
+    gram = int(np.flatnonzero(repeats.gram_hashes(text, 16, repeats._BASE).view(np.int64) == low[0])[0])
+    assert (low == low[0]).sum() > 1
+    strings = [text, text.copy(), text.copy()]
+    strings[1][: max(gram - 1, 0)] += 1
+    strings[1][gram + 16 + 20 :] += 1
+    off = np.cumsum([0, *map(len, strings)])
+    for some, want in (([0, 2], [True, True]), ([0, 1], [False, False]), ([0, 1, 2], [True, False, True])):
+        raw = np.concatenate([strings[i] for i in some])
+        owner = np.arange(len(some), dtype=np.int64)
+        got = repeats.promising(raw, off[: len(some) + 1], np.full(len(some), low[0]), owner, owner, 50)
+        assert got.tolist() == want, (some, gram)
