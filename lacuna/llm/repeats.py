@@ -122,7 +122,7 @@ def bounds(lists: pa.Array, off: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _chunks(width: int):
-    """(doc_id, h, at, n, cid): the n strings from ``at`` on, and the hash of all their bytes."""
+    """(doc_id, h, at, n, cid, other): the n strings from ``at`` on, and the hash of all their bytes; other is null but where the block itself holds them in a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -138,7 +138,13 @@ def _chunks(width: int):
             whole = raw.tobytes()
             cid = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(at.tolist(), (at + n + width - 1).tolist())]
             doc, h = batch.column("doc_id").to_numpy()[row], batch.column("h").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h), pa.array(at - off[row], pa.int32()), pa.array(n, pa.int32()), pa.array(cid, pa.binary())], names=["doc_id", "h", "at", "n", "cid"])
+            least: dict[bytes, int] = {}
+            for name, d in zip(cid, doc.tolist()):
+                if d < least.setdefault(name, d):
+                    least[name] = d
+            first = doc == np.array([least[name] for name in cid], np.int64)
+            cells = [pa.array(doc), pa.array(h), pa.array(at - off[row], pa.int32()), pa.array(n, pa.int32()), pa.array(cid, pa.binary()), pa.array(doc, mask=first)]
+            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "h", "at", "n", "cid", "other"])
 
     return run
 
@@ -467,9 +473,10 @@ def repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     known = rows.where("doc_id IS NOT NULL")
     run = F.struct("at", "n")
-    chunks = known.mapInArrow(_chunks(width), "doc_id long, h long, at int, n int, cid binary")
-    owner = F.min("doc_id").over(Window.partitionBy("cid"))
-    copied = materialize(chunks.withColumn("owner", owner).where("owner < doc_id").select("doc_id", "h", "at", "n"), "copied")
+    chunks = known.mapInArrow(_chunks(width), "doc_id long, h long, at int, n int, cid binary, other long")
+    # of a common chunk, a block sends one document to the others
+    owner = F.min("doc_id").over(Window.partitionBy("cid", "other"))
+    copied = materialize(chunks.withColumn("owner", owner).where("other IS NOT NULL OR owner < doc_id").select("doc_id", "h", "at", "n"), "copied")
     reclaim(docs.sparkSession)
     listed = copied.groupBy("doc_id", "h").agg(F.collect_list(run).alias("gone"))
 

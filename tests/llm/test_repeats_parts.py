@@ -80,3 +80,11 @@ def test_segments_that_may_hold_a_repeat():
         owner = np.arange(len(some), dtype=np.int64)
         got = repeats.promising(raw, off[: len(some) + 1], np.full(len(some), low[0]), owner, owner, 50)
         assert got.tolist() == want, (some, gram)
+
+
+def test_a_block_sends_one_document_of_a_common_chunk():
+    """The others learn from the block that a smaller document has it, so that its rows do not meet in one task."""
+    (out,) = repeats._chunks(50)(iter([batch(["p" * 70 + "q" * 5] * 40)]))
+    rows = out.to_pylist()
+    assert {r["doc_id"] for r in rows if r["other"] is None} == {0}
+    assert all(r["other"] == r["doc_id"] for r in rows if r["doc_id"]) and {r["doc_id"] for r in rows} == set(range(40))
