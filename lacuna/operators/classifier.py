@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasProbabilityCol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.missing import is_missing
+from ..functions.missing import is_missing, is_numeric, observed
 from ..functions.scratch import removed, written
 from . import cells, regression
 from .checks import check_frame, missing_counts, predictors
 
 #: Names that a classifier's columns get, where it has them.
 OWN = {"featuresCol": "__features", "labelCol": "__label", "probabilityCol": "__probability", "predictionCol": "__prediction", "rawPredictionCol": "__raw"}
+#: Boosted trees that train at a time, rows of a training table for each of its partitions, and steps of the quantiles that bins are picked from.
+SIDE = 8
+ROWS = 50_000
+STEPS = 1024
 
 
 class Stump(Estimator, HasFeaturesCol, HasLabelCol, HasProbabilityCol):
@@ -47,6 +54,45 @@ class StumpModel(Model, HasFeaturesCol, HasProbabilityCol):
         return df.withColumn(self.getProbabilityCol(), array_to_vector(F.array(1 - p, p)))
 
 
+class Boosting(GBTClassifier):
+    """Gradient-boosted trees; those of several label columns train side by side, since each is a series of short jobs."""
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Any) -> Iterator[tuple[int, Any]]:
+        fits = [inheritable_thread_target(dataset.sparkSession)(lambda i=i, own=own: (i, self.fit(dataset, own))) for i, own in enumerate(paramMaps)]
+        with ThreadPool(min(SIDE, len(fits))) as pool:
+            return iter(pool.map(lambda f: f(), fits, chunksize=1))
+
+
+def cuts(df: DataFrame, names: list[str], bins: int) -> dict[str, list[float]]:
+    """Where the bins of numbers end: at each value but the largest where there are so few, else at quantiles that differ.
+
+    Two aggregates. A value that many rows share takes one bin, and the other bins are dealt to the rest.
+    """
+    if not names:
+        return {}
+    x = {c: observed(df, c).cast("double") for c in names}
+    sums = [f(v) for v in x.values() for f in (F.max, F.approx_count_distinct, lambda v: F.percentile_approx(v, [i / STEPS for i in range(1, STEPS)], 10 * STEPS))]
+    row = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+    out, few = {}, []
+    for i, c in enumerate(names):
+        top, n, at = row[3 * i : 3 * i + 3]
+        at = sorted({v for v in at if v < top})
+        out[c] = at if len(at) < bins else [at[len(at) * j // bins] for j in range(1, bins)]
+        few += [c] if n <= 2 * bins else []
+    if few:
+        for c, own in zip(few, df.agg(*[F.collect_set(x[c]).alias(f"s{i}") for i, c in enumerate(few)]).first()):
+            out[c] = sorted(own)[:-1] if len(own) <= bins else out[c]
+    return out
+
+
+def binned(x: Column, at: list[float], first: int = 0) -> Column:
+    """How many of the sorted numbers are below x, by halves."""
+    if not at:
+        return F.lit(first)
+    mid = len(at) // 2
+    return F.when(x <= at[mid], binned(x, at[:mid], first)).otherwise(binned(x, at[mid + 1 :], first + mid + 1))
+
+
 class MissingnessClassifier:
     """P(missing) of each cell from the row's other columns, by gradient-boosted trees or any classifier of pyspark.ml with probabilities.
 
@@ -54,8 +100,11 @@ class MissingnessClassifier:
     beyond 256), and whether it is missing; this plan is frozen by ``fit``. Dates
     and times are no predictors, and they count as never missing. The predictors
     of all columns are written once, as one array a row, and each classifier
-    trains on its part of it. A column that is always or never missing needs no
-    classifier. ``key``: columns that are left out and address cells.
+    trains on its part of it. Trees tell a number by its bin alone, so they get the
+    bins, and rows that are alike are one row with their count as its weight; where
+    such rows are few, those that were in the fit are also scored once.
+    A column that is always or never missing needs no classifier. ``key``:
+    columns that are left out and address cells.
     """
 
     def __init__(self, classifier: Any = None, predictors: Any = "all", key: Iterable[str] = (), rounds: int = 100, seed: int = 0, depth: int = 6, step: float = 0.3):
@@ -64,22 +113,40 @@ class MissingnessClassifier:
         self.classifier, self.predictors, self.key, self.rounds, self.seed, self.depth, self.step = classifier, predictors, list(key), rounds, seed, depth, step
 
     def _estimator(self) -> Any:
-        if self.classifier is None:
-            from pyspark.ml.classification import GBTClassifier
-
-            one = GBTClassifier(maxIter=self.rounds, maxDepth=self.depth, stepSize=self.step, seed=self.seed)
-        else:
-            one = self.classifier
+        one = self.classifier
+        if one is None:
+            one = Boosting(maxIter=self.rounds, maxDepth=self.depth, stepSize=self.step, seed=self.seed, weightCol="__weight")
         return one.copy({one.getParam(p): name for p, name in OWN.items() if one.hasParam(p)})
 
-    def _all(self, df: DataFrame) -> Column:
-        """The plan's columns as an array, predictor after predictor, each followed by its flag."""
-        out = [F.array().cast("array<double>")]
+    def _cells(self, df: DataFrame) -> Column:
+        """What the predictors' cells tell, as a struct: a number or its bin, a string or its hash bucket; null where it is missing."""
+        out = {}
+        for c in self.spans_:
+            if c in self.cuts_:
+                out[c] = F.when(~is_missing(df, c), binned(F.col(f"`{c}`").cast("double"), self.cuts_[c]))
+            else:
+                out[c] = regression.Design(self.terms_[c], {}).cells(df).get(c, observed(df, c))
+        return F.struct(*[x.alias(c) for c, x in out.items()])
+
+    def _all(self, cells: Column) -> Column:
+        """The plan's columns as an array, predictor after predictor, each followed by its flag. A missing number counts as 0."""
+        out = []
         for c in self.spans_:
-            own = regression.Design(self.terms_[c], {c: {None: 0.0 if not self.terms_[c] or self.terms_[c][0][1] is None else 0 if isinstance(self.terms_[c][0][1], int) else ""}})
-            out += [own.array(df), F.array(is_missing(df, c).cast("double"))]
+            x, levels = cells.getField(c), [v for _, v in self.terms_[c]]
+            if levels == [None]:
+                out.append(F.array(F.coalesce(x.cast("double"), F.lit(float(sum(v < 0 for v in self.cuts_.get(c, [])))))))
+            elif levels:
+                out.append(regression.flags(levels, F.coalesce(x, F.lit(0 if isinstance(levels[0], int) else ""))))
+            out.append(F.array(x.isNull().cast("double")))
         return F.concat(*out)
 
+    def _table(self, df: DataFrame, todo: list[str]) -> DataFrame:
+        """Cells, the array of all predictors, whether the cells of each column are missing, and a weight: of each row, or for boosted trees of rows that are alike."""
+        rows = df.select(self._cells(df).alias("__cells"), F.struct(*[is_missing(df, c).cast("double").alias(c) for c in todo]).alias("gone"), F.lit(1).alias("n"))
+        if self.classifier is None:
+            rows = rows.groupBy("__cells", "gone").agg(F.count("n").alias("n"))
+        return rows.select("__cells", "gone", self._all(F.col("__cells")).alias("__x"), F.col("n").cast("double").alias("__weight"))
+
     def _part(self, whole: Column, c: str) -> Column:
         """The elements of the array of all predictors that belong to those of a column."""
         return F.concat(*[F.slice(whole, self.spans_[x][0] + 1, self.spans_[x][1]) for x in self.names_[c]])
@@ -91,7 +158,7 @@ class MissingnessClassifier:
             raise ValueError(f"all values missing in {gone}")
         self.columns_ = [c for c in df.columns if c not in self.key]
         self.names_ = {c: regression.usable(df, names) for c, names in predictors(self.predictors, self.columns_).items()}
-        self.models_, self.constant_, self.terms_, self.spans_ = {}, {}, {}, {}
+        self.models_, self.constant_, self.terms_, self.spans_, self.cuts_, self.known_ = {}, {}, {}, {}, {}, None
         start = 0
         for c in dict.fromkeys(x for names in self.names_.values() for x in names):
             self.terms_[c] = regression.design(df, [c], fill=False).terms
@@ -101,11 +168,20 @@ class MissingnessClassifier:
         self.constant_ = {c: counts[c] / max(1, counts[""]) if counts[c] else 0.0 for c in self.columns_ if c not in todo}
         if not todo:
             return self
-        labels = F.struct(*[is_missing(df, c).cast("double").alias(c) for c in todo])
-        table, path = written(df.select(labels.alias("gone"), self._all(df).alias("x")), "cells")
-        for c in todo:
-            train = table.select(F.col(f"gone.`{c}`").alias(OWN["labelCol"]), array_to_vector(self._part(F.col("x"), c)).alias(OWN["featuresCol"]))
-            self.models_[c] = self._estimator().fit(train)
+        one = self._estimator()
+        if self.classifier is None:
+            self.cuts_ = cuts(df, [c for c in self.spans_ if is_numeric(df, c)], one.getMaxBins())
+        table, path = written(self._table(df, todo), "cells")
+        if self.classifier is None:
+            n = table.count()
+            table = table.coalesce(1 + n // ROWS)
+        self.own_ = {c: {p: f"{OWN[p]}{i}" for p in ("labelCol", "featuresCol")} for i, c in enumerate(todo)}
+        train = table.select("__weight", *[F.col(f"gone.`{c}`").alias(own["labelCol"]) for c, own in self.own_.items()], *[array_to_vector(self._part(F.col("__x"), c)).alias(own["featuresCol"]) for c, own in self.own_.items()])
+        models = one.fit(train, [{one.getParam(p): name for p, name in own.items()} for own in self.own_.values()])
+        self.models_ = dict(zip(todo, models))
+        if self.classifier is None and n <= ROWS:
+            known = self._chances(table.select("__cells", "__x").dropDuplicates(["__cells"]))
+            self.known_ = written(known.select("__cells", F.struct(*[F.col(f"`{c}_pred`").alias(c) for c in todo]).alias("__known")), "known")[0]
         removed(df.sparkSession, path)
         return self
 
@@ -116,17 +192,27 @@ class MissingnessClassifier:
         if set(own) != set(self.columns_):
             raise ValueError(f"fit and predict need the same columns: {sorted(set(own) ^ set(self.columns_))}")
 
+    def _chances(self, df: DataFrame) -> DataFrame:
+        """df, which has the array __x, with <column>_pred by the column's model."""
+        for c, model in self.models_.items():
+            own = self.own_[c]
+            scored = model.transform(df.withColumn(own["featuresCol"], array_to_vector(self._part(F.col("__x"), c))))
+            p = vector_to_array(OWN["probabilityCol"])[1]
+            # trees are walked only where no row like this one was when they were fitted
+            p = F.coalesce(F.col("__known").getField(c), p) if "__known" in df.columns else p
+            df = scored.withColumn(f"{c}_pred", p).drop(*OWN.values(), *own.values())
+        return df
+
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """df with <column>_pred, the chance that the cell is missing."""
         self._checked(df)
-        out = df.withColumn("__x", self._all(df))
-        for c in self.columns_:
-            if c in self.constant_:
-                out = out.withColumn(f"{c}_pred", F.lit(self.constant_[c]))
-                continue
-            scored = self.models_[c].transform(out.withColumn(OWN["featuresCol"], array_to_vector(self._part(F.col("__x"), c))))
-            out = scored.withColumn(f"{c}_pred", vector_to_array(OWN["probabilityCol"])[1]).drop(*OWN.values())
-        return out.drop("__x")
+        out = df
+        if self.models_:
+            out = df.withColumn("__cells", self._cells(df))
+            out = out if self.known_ is None else out.join(F.broadcast(self.known_), "__cells", "left")
+            out = self._chances(out.withColumn("__x", self._all(F.col("__cells"))))
+        out = out.withColumns({f"{c}_pred": F.lit(p) for c, p in self.constant_.items()})
+        return out.select(*[f"`{c}`" for c in df.columns], *[f"`{c}_pred`" for c in self.columns_])
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with <column>_pred, 1 where the cell is likelier missing than not."""

@@ -43,7 +43,7 @@ def _bucket(x: Column) -> Column:
     return F.pmod(digest(x), F.lit(BUCKETS)).cast("int")
 
 
-def _flags(levels: list[str | int], cell: Column) -> Column:
+def flags(levels: list[str | int], cell: Column) -> Column:
     """An array with a 0/1 for each level."""
     held = F.from_json(F.lit(json.dumps(levels)), "array<int>" if isinstance(levels[0], int) else "array<string>")
     return F.transform(held, lambda v: (v == cell).cast("double"))
@@ -83,7 +83,7 @@ class Design:
         """The columns but the first, as one array: a predictor's cell is read once, whatever its levels."""
         cells, parts = self.cells(df, by), []
         for c, own in self.levels().items():
-            parts.append(F.array(cells[c].cast("double")) if own == [None] else _flags(own, cells[c]))
+            parts.append(F.array(cells[c].cast("double")) if own == [None] else flags(own, cells[c]))
         return F.concat(*parts) if parts else F.array().cast("array<double>")
 
     def dot(self, df: DataFrame, betas: dict[Any, list[float]], by: str | None = None) -> Column:
