@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Iterable, Iterator
 from multiprocessing.pool import ThreadPool
@@ -71,7 +72,9 @@ def cuts(df: DataFrame, names: list[str], bins: int) -> dict[str, list[float]]:
     if not names:
         return {}
     x = {c: observed(df, c).cast("double") for c in names}
-    sums = [f(v) for v in x.values() for f in (F.max, F.approx_count_distinct, lambda v: F.percentile_approx(v, [i / STEPS for i in range(1, STEPS)], 10 * STEPS))]
+    # one literal, since an array of literals makes the plan of many columns slow
+    steps = F.from_json(F.lit(json.dumps([i / STEPS for i in range(1, STEPS)])), "array<double>")
+    sums = [f(v) for v in x.values() for f in (F.max, F.approx_count_distinct, lambda v: F.percentile_approx(v, steps, 10 * STEPS))]
     row = df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
     out, few = {}, []
     for i, c in enumerate(names):
